@@ -70,7 +70,11 @@ def raw_spans(text: Column) -> dict[str, Column]:
     """Per kind, the passing matches with their surroundings."""
     needs = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": F.lit(True), "card": F.lit(True)}
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string,after:string>>)")
-    return {k: F.when(needs[k], F.filter(spans(text, p, ROOM), lambda s, k=k: passes(k, s["value"]))).otherwise(none) for k, p in BASE.items()}
+
+    def passing(kind: str) -> Column:
+        return F.filter(spans(text, BASE[kind], ROOM), lambda s: passes(kind, s["value"]))
+
+    return {k: F.when(needs[k], passing(k)).otherwise(none) for k in BASE}
 
 
 def base_spans(text: Column) -> Column:

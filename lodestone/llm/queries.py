@@ -7,18 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, secrets, sharding, topk
+from . import decontam, langid, pii, secrets, sentencepieces, sharding, tokencount, topk
+
+#: The public tokenizer that operators 1, 2 and 8 use; a parameter of each.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepieces.encode(docs, MODEL).select("doc_id", "n_tokens", "ids", "parity", "round_trip")
+
+
+def held_out(id_col: str = "doc_id"):
+    """Rows that languages are not learned from: crc32 of the id as text is 2 modulo 4 (a null id: learned from by neither, held out by neither)."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~held_out()), MODEL)
+    out = langid.identify(docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.sanitise(docs))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.digest(decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), ["doc_id"]))
+
+
 def op7_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
@@ -31,6 +56,11 @@ def op7_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "source", "stratum_rank")
 
 
+def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, MODEL).select("doc_id", "n_tokens")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
@@ -42,8 +72,12 @@ def op10_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_langid": op2_langid,
     "op5_sanitise": op5_sanitise,
+    "op6_decontaminate": op6_decontaminate,
     "op7_interleave": op7_interleave,
+    "op8_tokencount": op8_tokencount,
     "op9_topk": op9_topk,
     "op10_ledger": op10_ledger,
 }
