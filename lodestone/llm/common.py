@@ -49,6 +49,17 @@ def size_of(df: DataFrame) -> int:
     return total
 
 
+#: A table up to this size on disk is sent to all tasks; a larger one is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, marked for broadcast if its files are small."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if size_of(df) <= limit else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each slice (one longer row stays whole)."""
     for batch in batches:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import size_of, stored
+from .common import sized, stored
 from .native import joined, replaced, spans
 
 #: The contract's patterns; failing matches are dropped, never retried.
@@ -40,8 +40,6 @@ NEAR_WORDS = 8
 FOUND = "array<struct<no:int,start:int,end:int,kind:string,entity:string>>"
 NEAR = "array<struct<entity:string,term:string,start:int,end:int>>"
 TERMS = "array<struct<no:int,start:int,end:int,kind:string>>"
-#: A table up to this size on disk is sent to all tasks, a larger one is joined by shuffle.
-BROADCAST_BYTES = 16 << 20
 
 
 def digits(value: Column) -> Column:
@@ -108,11 +106,6 @@ def neighbours(text: Column) -> Column:
     return F.flatten(F.array(*[of(k, c) for k, c in raw_spans(text).items()]))
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast if its files are small."""
-    return F.broadcast(df) if size_of(df) <= BROADCAST_BYTES else df
-
-
 def disclosures(docs: DataFrame, text_col: str = "text", support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """(pairs, contexts): the disclosing pairs (entity, term, kind, no, disclosure), and the neighbours of base spans for each distinct text."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
