@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, pii, secrets, sentencepieces, sharding, tokencount, topk
+from . import decontam, langid, neardup, pii, secrets, sentencepieces, sharding, tokencount, topk, wrappers
 
 #: The public tokenizer that operators 1, 2 and 8 use; a parameter of each.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,6 +34,11 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wrappers.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = neardup.near_duplicates(docs)
@@ -80,6 +85,7 @@ def op10_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_langid": op2_langid,
+    "op3_wrappers": op3_wrappers,
     "op4_neardup": op4_neardup,
     "op5_sanitise": op5_sanitise,
     "op6_decontaminate": op6_decontaminate,
