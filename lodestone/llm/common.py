@@ -85,8 +85,9 @@ def tokens(texts: pa.Array, gap: str = WORD_GAP) -> tuple[pa.Array, np.ndarray]:
     """Words of each text after lower-casing A-Z, flattened, and the number of words of each text (null: none)."""
     import pyarrow.compute as pc
 
-    lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    return split_runs(lowered, gap)
+    # copied first: ascii_lower() misreads an array whose values start inside a shared buffer, as a cast slice's do
+    own = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    return split_runs(pc.ascii_lower(pc.fill_null(own, "")), gap)
 
 
 def split_runs(texts: pa.Array, gap: str) -> tuple[pa.Array, np.ndarray]:
