@@ -12,6 +12,8 @@ hold it are reported (``parity`` false).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,19 +80,16 @@ class Coder:
         from sentencepiece import SentencePieceProcessor
 
         model = parse(path)
-        self.whole = build(model)
         self.check = SentencePieceProcessor(model_file=path)
         spec = model.normalizer_spec
         self.simple = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix
         if not separable([p.piece for p in model.pieces if p.type in (1, 4)]):
             raise ValueError("pieces reach over a word's start; units can't be encoded apart")
-        self.bare = build(model)
         from tokenizers import normalizers
 
-        self.bare.normalizer = normalizers.Sequence([])
+        self.bare = build(model)
+        self.normalizer, self.bare.normalizer = self.bare.normalizer, normalizers.Sequence([])
         # bytes that each id stands for
-        kinds = {p.type for p in model.pieces}
-        assert kinds
         table = []
         for p in model.pieces:
             if p.type == 6:
@@ -108,31 +107,25 @@ class Coder:
         self.unit_start, self.unit_size, self.unit_same = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.ids = np.zeros(0, np.int32)
 
-    def learn(self, fresh: list[str]) -> None:
+    def learn(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, n, same) of units: all ids, their number for each unit, whether both libraries agree."""
         got = [e.ids for e in self.bare.encode_batch_fast(fresh, add_special_tokens=False)]
-        wanted = self.check.encode([u[1:].replace(SPACE, " ") if len(u) > 1 else " " for u in fresh], num_threads=2)
-        # a lone marker can't be asked for by itself: with the dummy prefix it is a text of one space less
-        same = []
-        for i, u in enumerate(fresh):
-            if u == SPACE:
-                same.append(True)
-                continue
-            same.append(got[i] == wanted[i])
-            if not same[-1]:
-                got[i] = wanted[i]
-        base, at = len(self.known), len(self.ids)
-        self.known.update({u: base + i for i, u in enumerate(fresh)})
-        sizes = np.array([len(g) for g in got], np.int64)
-        self.unit_start = np.concatenate([self.unit_start, at + np.cumsum(sizes) - sizes])
-        self.unit_size = np.concatenate([self.unit_size, sizes])
-        self.unit_same = np.concatenate([self.unit_same, np.array(same, bool)])
-        self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.int32, int(sizes.sum()))])
+        # a lone marker can't be asked for by itself: with the dummy prefix it is no text
+        asked = [i for i, u in enumerate(fresh) if u != SPACE] if SPACE in fresh else range(len(fresh))
+        wanted = self.check.encode([fresh[i][1:].replace(SPACE, " ") for i in asked], num_threads=2)
+        same = np.ones(len(fresh), bool)
+        if (got if len(asked) == len(got) else [got[i] for i in asked]) != wanted:
+            for i, ids in zip(asked, wanted, strict=True):
+                if got[i] != ids:
+                    got[i], same[i] = ids, False
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int32, int(n.sum())), n, same
 
     def normalised(self, texts: pa.Array) -> pa.Array:
         """Texts as the units expect them: without the marker of the dummy prefix."""
         if self.simple:
             return texts
-        n = self.whole.normalizer
+        n = self.normalizer
         return pa.array([None if t is None else n.normalize_str(t).replace(SPACE, " ")[1:] for t in texts.to_pylist()], pa.large_string())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,16 +134,27 @@ class Coder:
         if len(self.known) > CACHE:
             self.known = {}
             self.unit_start, self.unit_size, self.unit_same, self.ids = self.unit_start[:0], self.unit_size[:0], self.unit_same[:0], self.ids[:0]
-        some = coded.dictionary.to_pylist()
-        fresh = [u for u in some if u not in self.known]
-        if fresh:
-            self.learn(fresh)
-        row = np.array([self.known[u] for u in some], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if some else np.zeros(0, np.int64)
+        some, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        row = np.fromiter((self.known.get(u, -1) for u in some), np.int64, len(some))
+        new = np.flatnonzero(row < 0)
+        starts, sizes, same, ids = self.unit_start, self.unit_size, self.unit_same, self.ids
+        if len(new):
+            fresh = [some[i] for i in new.tolist()]
+            got, n, agree = self.learn(fresh)
+            row[new] = len(sizes) + np.arange(len(new))
+            first = len(ids) + np.cumsum(n) - n
+            # units that recur in a slice are worth keeping for the next ones
+            keep = np.flatnonzero(np.bincount(index, minlength=len(some))[new] > 1)
+            self.known.update(zip([fresh[i] for i in keep.tolist()], range(len(sizes), len(sizes) + len(keep)), strict=True))
+            self.unit_start = np.concatenate([starts, len(ids) + np.cumsum(n[keep]) - n[keep]])
+            self.unit_size, self.unit_same = np.concatenate([sizes, n[keep]]), np.concatenate([same, agree[keep]])
+            self.ids = np.concatenate([ids, got[gather(first[keep] - len(ids), n[keep])]])
+            starts, sizes, same, ids = np.concatenate([starts, first]), np.concatenate([sizes, n]), np.concatenate([same, agree]), np.concatenate([ids, got])
+        row = row[index]
         owner = np.repeat(np.arange(len(counts)), counts)
-        ids = self.ids[gather(self.unit_start[row], self.unit_size[row])]
-        n = np.bincount(owner, weights=self.unit_size[row], minlength=len(counts)).astype(np.int64)
-        same = np.bincount(owner, weights=~self.unit_same[row], minlength=len(counts)) == 0
-        return ids, n, same
+        total = np.bincount(owner, weights=sizes[row], minlength=len(counts)).astype(np.int64)
+        parity = np.ones(len(counts), bool) if same.all() else np.bincount(owner, weights=~same[row], minlength=len(counts)) == 0
+        return ids[gather(starts[row], sizes[row])], total, parity
 
     def decode(self, ids: np.ndarray, n: np.ndarray) -> list[str]:
         """Texts of runs of ids: markers are spaces, the dummy prefix goes, byte pieces join to characters (U+FFFD where they can't)."""
@@ -164,17 +168,23 @@ class Coder:
         return out
 
 
+@lru_cache(maxsize=1)
+def coder(path: str) -> Coder:
+    """The worker's coder: tasks that follow on one another share it and what it has learned."""
+    return Coder(path)
+
+
 def encoder(path: str, check: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
-        for batch in slices(batches, "__text", 2 << 20):
+        own = coder(path)
+        for batch in slices(batches, "__text"):
             texts = batch.column(batch.schema.get_field_index("__text"))
-            ids, n, same = coder.encode(texts)
+            ids, n, same = own.encode(texts)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             out = {c: batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__text"}
             out |= {"ids": pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), "n_tokens": pa.array(n, pa.int64()), "parity": same}
             if check:
-                back = pa.array(coder.decode(ids, n), pa.large_string())
+                back = pa.array(own.decode(ids, n), pa.large_string())
                 out["round_trip"] = pc.equal(back, pc.fill_null(texts.cast(pa.large_string()), ""))
             yield pa.RecordBatch.from_pydict(out)
 
@@ -199,11 +209,11 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame
     """``coded`` with ``decoded``, the text of each row's ids (null: null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(model_path)
+        own = coder(model_path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("__ids"))
             n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            text = coder.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n)
+            text = own.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n)
             text = [t if ok else None for t, ok in zip(text, column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__ids"} | {"decoded": pa.array(text, pa.string())})
 
