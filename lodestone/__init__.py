@@ -1,0 +1,4 @@
+"""Spatial-candidate analytics on PySpark.
+
+Operators are functions from DataFrame to DataFrame, to be used with ``df.transform``.
+"""
