@@ -122,14 +122,20 @@ def disclosures(docs: DataFrame, text_col: str = "text", support: int = 3, gener
     one = one.select("copies", "entity", F.xxhash64("terms").alias("around"), F.explode("terms").alias("term"))
     # first by neighbourhood, so that the exact count of them is a plain count
     both = one.groupBy("entity", "term", "around").agg(F.sum("copies").alias("copies")).groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_around"))
-    pairs = stored(both.where(F.col("n_around") >= support).join(by_entity, "entity"), "pii-pairs")
+    # A term occurs in at least as many documents as it stands near an entity in.  From there on its
+    # disclosure only falls with further documents, so pairs that are below the threshold already
+    # need no count over the corpus: an exact bound that leaves out common words.
+    by_term = contexts.select("copies", F.explode(F.array_distinct(F.transform("near", lambda w: w["term"]))).alias("term")).groupBy("term").agg(F.sum("copies").alias("n_near"))
+    n = float(docs.count())
+    best = F.col("n_both") * F.pow(F.lit(n) / F.col("n_entity"), F.lit(1.0 - min(generalise, remove)))
+    pairs = both.where(F.col("n_around") >= support).join(by_entity, "entity").join(by_term, "term").where(F.col("n_near") <= best * 1.000001).drop("n_near")
+    pairs = stored(pairs, "pii-pairs")
     schema = "entity string, term string, kind string, no int, disclosure double"
     if not pairs.limit(1).count():
         return docs.sparkSession.createDataFrame([], schema), contexts
     wanted = stored(pairs.select("term").distinct(), "pii-terms")
     words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))
     counts = rows.select(F.explode(words).alias("term")).join(sized(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    n = float(docs.count())
     information = F.log2(F.lit(n) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
     scored = pairs.join(counts, "term").where(F.col("n_entity") < n).withColumn("disclosure", pmi / information)
