@@ -111,10 +111,11 @@ def disclosures(docs: DataFrame, text_col: str = "text", support: int = 3, gener
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(text.alias("t"))
     near = rows.withColumn("base", base_spans(F.col("t"))).where(F.size("base") > 0)
-    near = near.select(F.sha2("t", 256).alias("text_key"), neighbours(F.col("t")).alias("near"), "base")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))
+    near = near.select(F.sha2("t", 256).alias("text_key"), neighbours(F.col("t")).alias("near"), "base", words.alias("words"))
     clear = F.filter("near", lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
-    near = near.select("text_key", clear.alias("near"), F.array_distinct(F.transform("base", lambda b: b["entity"])).alias("entities"))
-    contexts = stored(near.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("near").alias("near"), F.first("entities").alias("entities")), "pii-contexts")
+    near = near.select("text_key", "words", clear.alias("near"), F.array_distinct(F.transform("base", lambda b: b["entity"])).alias("entities"))
+    contexts = stored(near.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("near").alias("near"), F.first("words").alias("words"), F.first("entities").alias("entities")), "pii-contexts")
     by_entity = contexts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     one = contexts.select("copies", "near", F.explode("entities").alias("entity"))
     terms = F.array_sort(F.array_distinct(F.transform(F.filter("near", lambda w: w["entity"] == F.col("entity")), lambda w: w["term"])))
@@ -122,19 +123,18 @@ def disclosures(docs: DataFrame, text_col: str = "text", support: int = 3, gener
     one = one.select("copies", "entity", F.xxhash64("terms").alias("around"), F.explode("terms").alias("term"))
     # first by neighbourhood, so that the exact count of them is a plain count
     both = one.groupBy("entity", "term", "around").agg(F.sum("copies").alias("copies")).groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_around"))
-    # A term occurs in at least as many documents as it stands near an entity in.  From there on its
+    # A term occurs in at least as many documents as hold an entity and it.  From there on its
     # disclosure only falls with further documents, so pairs that are below the threshold already
     # need no count over the corpus: an exact bound that leaves out common words.
-    by_term = contexts.select("copies", F.explode(F.array_distinct(F.transform("near", lambda w: w["term"]))).alias("term")).groupBy("term").agg(F.sum("copies").alias("n_near"))
+    by_term = contexts.select("copies", F.explode("words").alias("term")).groupBy("term").agg(F.sum("copies").alias("n_held"))
     n = float(docs.count())
     best = F.col("n_both") * F.pow(F.lit(n) / F.col("n_entity"), F.lit(1.0 - min(generalise, remove)))
-    pairs = both.where(F.col("n_around") >= support).join(by_entity, "entity").join(by_term, "term").where(F.col("n_near") <= best * 1.000001).drop("n_near")
+    pairs = both.where(F.col("n_around") >= support).join(by_entity, "entity").join(by_term, "term").where(F.col("n_held") <= best * 1.000001).drop("n_held")
     pairs = stored(pairs, "pii-pairs")
     schema = "entity string, term string, kind string, no int, disclosure double"
     if not pairs.limit(1).count():
         return docs.sparkSession.createDataFrame([], schema), contexts
     wanted = stored(pairs.select("term").distinct(), "pii-terms")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))
     counts = rows.select(F.explode(words).alias("term")).join(sized(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     information = F.log2(F.lit(n) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
