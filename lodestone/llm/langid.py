@@ -202,8 +202,8 @@ class Scorer:
         return self.rows[[self.known[w] for w in some]] if some else np.zeros((0, len(self.p)))
 
 
-def predictor(model):
-    """mapInArrow: appends lang_pred, score to rows whose last column is the text (which is dropped unless kept twice)."""
+def predictor(model, into: tuple[str, str]):
+    """mapInArrow: rows with a column __text to the same rows with prediction and score in its place."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -223,17 +223,18 @@ def predictor(model):
                 rest = np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 share = np.where(full, np.round(1 / rest, 9), 0.0)
             kept = {c: batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__text"}
-            yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(names[best], pa.string()), "score": share})
+            yield pa.RecordBatch.from_pydict(kept | {into[0]: pa.array(names[best], pa.string()), into[1]: share})
 
     return predict
 
 
-def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the posterior of that language among the learned ones at equal priors.
+def identify(docs: DataFrame, model: dict, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with a prediction and its score, the posterior of that language among the learned ones at equal priors.
 
     Text that is null or has no letter: ``und``, score 0; so is every text if no
-    language was learned.  Ties: the first by name.  Columns of these names give way.
+    language was learned.  Ties: the first by name.  Input columns with the names
+    of ``into`` give way.
     """
-    rows = docs.drop("lang_pred", "score").withColumn("__text", F.col(f"`{text_col}`").cast("string")) if text_col not in ("lang_pred", "score") else docs.withColumn("__text", F.col(text_col).cast("string")).drop("lang_pred", "score")
-    schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(predictor(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    rows = docs.withColumn("__text", F.col(f"`{text_col}`").cast("string")).drop(*into)
+    schema = rows.drop("__text").schema.add(into[0], "string").add(into[1], "double")
+    return rows.mapInArrow(predictor(docs.sparkSession.sparkContext.broadcast(model), into), schema)
