@@ -15,7 +15,11 @@ BOND = "struct<a:int,b:int,order:int>"
 WEIGHTS = {"H": 1.008, "B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Si": 28.085, "P": 30.974, "S": 32.06, "Cl": 35.45, "Br": 79.904, "I": 126.904}
 DOCKABLE = ["H", "C", "N", "O", "F", "P", "S", "Cl", "Br", "I"]
 
-DESCRIPTORS = T.StructType.fromDDL("MW double, LogP double, HBD int, HBA int, TPSA double, RotBonds int, Rings int, ArRings int, Fsp3 double, HAC int, QED double, SA double, InChIKey string, canonical string, alert boolean")
+DESCRIPTORS = T.StructType(
+    [T.StructField(n, T.DoubleType()) for n in ("MW", "LogP", "TPSA", "Fsp3", "QED", "SA")]
+    + [T.StructField(n, T.IntegerType()) for n in ("HBD", "HBA", "RotBonds", "Rings", "ArRings", "HAC")]
+    + [T.StructField("InChIKey", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("alert", T.BooleanType())]
+)
 
 
 def heavy_atoms(atoms: Column) -> Column:
