@@ -60,6 +60,30 @@ def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size_of(df) <= limit else df
 
 
+def with_text(docs: DataFrame, text_col: str, keep: list[str] | None, results: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """Rows for a Python step and the name of their text column: the columns to keep, and the text once only.
+
+    Columns named like a result give way.  Where the text itself isn't kept it is called __text."""
+    from pyspark.sql import functions as F
+
+    names = [c for c in (docs.columns if keep is None else keep) if c not in results]
+    own = [F.col(f"`{c}`") for c in names]
+    if text_col in names and docs.schema[text_col].dataType.simpleString() == "string":
+        return docs.select(*own), text_col
+    return docs.select(*own, F.col(f"`{text_col}`").cast("string").alias("__text")), "__text"
+
+
+def release() -> None:
+    """Give memory that a step no longer uses back to the system; workers live on."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each slice (one longer row stays whole)."""
     for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, tokens
+from .common import release, slices, stored, tokens
 
 BLOCK_BYTES = 32 << 20
 #: Words between documents on a segment's axis; no phrase or proximity may be longer.
@@ -60,6 +60,7 @@ def builder(ids: list[str], vocabulary: list[str] | None, schema: pa.Schema | No
                 column = batch.column(batch.schema.get_field_index(c))
                 one[c] = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
             yield pa.RecordBatch.from_pydict(one)
+        release()
 
     return build
 

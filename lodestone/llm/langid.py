@@ -12,6 +12,7 @@ language, chosen by a hash.  Scoring covers whole texts.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_runs
+from .common import release, slices, split_runs, with_text
 
 SPACE = "▁"
 NO_LETTERS = r"\PL+"
@@ -29,7 +30,7 @@ LONGEST = 40
 #: Keeps sums over segmentations within the range of a double: every character counts so many times its probability.
 LIFT = 32.0
 #: Words whose scores a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def vocabulary(path: str) -> list[str]:
@@ -56,7 +57,7 @@ class Lattice:
     """All matches of pieces in a list of words (each at most LONGEST letters), as edges ordered by end."""
 
     def __init__(self, words: list[str], matches, unknown: int):
-        word, start, end, piece = [], [], [], []
+        word, start, end, piece = array("i"), array("i"), array("i"), array("i")
         self.lengths = np.array([len(w) + 1 for w in words], np.int64)
         for i, w in enumerate(words):
             single = set()
@@ -73,8 +74,8 @@ class Lattice:
                     start.append(j)
                     end.append(j + 1)
                     piece.append(unknown)
-        order = np.argsort(np.array(end, np.int64), kind="stable")
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int64)[order] for x in (word, start, end, piece))
+        order = np.argsort(np.frombuffer(end, np.int32), kind="stable") if len(end) else np.zeros(0, np.int64)
+        self.word, self.start, self.end, self.piece = (np.frombuffer(x, np.int32)[order] if len(x) else np.zeros(0, np.int32) for x in (word, start, end, piece))
         self.cuts = np.searchsorted(self.end, np.arange(self.lengths.max(initial=0) + 2))
         self.n = len(words)
 
@@ -148,7 +149,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(used), pa.string()), "word": coded.dictionary.take(pa.array(used)).cast(pa.string()), "n": pa.array(n[used], pa.int64())})
 
 
-def train(labelled: DataFrame, model_path: str, *, lang_col: str = "lang", text_col: str = "text", max_docs: int = 1500, max_words: int = 20_000, seed: int = 5) -> dict:
+def train(labelled: DataFrame, model_path: str, *, lang_col: str = "lang", text_col: str = "text", max_docs: int = 1500, max_words: int = 10_000, seed: int = 5) -> dict:
     """A model from rows with a language: about ``max_docs`` documents of each, its ``max_words`` commonest words (ties by the word).
 
     Rows with null text or language take no part.  Without any, the model knows no language.
@@ -162,10 +163,20 @@ def train(labelled: DataFrame, model_path: str, *, lang_col: str = "lang", text_
     # copies of one text are one text, so that a large group of them neither swamps nor misses the sample
     sample = rows.where(draw < share)
     got = sample.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, list[tuple[int, str]]] = {k: [] for k in sizes}
-    for r in got.where(F.length("word") <= LONGEST).collect():  # bounded by the sample
-        counts[r.lang].append((-r.n, r.word))
-    return fit({k: {w: -n for n, w in sorted(v)[:max_words]} for k, v in counts.items()}, vocabulary(model_path))
+    # bounded by the sample; columns, not row objects
+    found = got.where(F.length("word") <= LONGEST).toArrow()
+    langs, every, n = (found.column(c).to_numpy() for c in ("lang", "word", "n"))
+    counts = {}
+    for k in sizes:
+        own = np.flatnonzero(langs == k)
+        own = own[np.argsort(-n[own], kind="stable")]
+        if len(own) > max_words:
+            least = n[own[max_words - 1]]
+            tied = sorted(own[n[own] == least].tolist(), key=lambda i: every[i])
+            own = np.concatenate([own[n[own] > least], tied])[:max_words]
+        counts[k] = {every[i]: int(n[i]) for i in own.tolist()}
+    del found, langs, every, n
+    return fit(counts, vocabulary(model_path))
 
 
 class Scorer:
@@ -202,15 +213,15 @@ class Scorer:
         return self.rows[[self.known[w] for w in some]] if some else np.zeros((0, len(self.p)))
 
 
-def predictor(model, into: tuple[str, str]):
-    """mapInArrow: rows with a column __text to the same rows with prediction and score in its place."""
+def predictor(model, into: tuple[str, str], text_col: str):
+    """mapInArrow: rows to the same rows with prediction and score; a column __text goes."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         scorer = Scorer(m)
         names = np.array([*m["langs"], "und"], object)
-        for batch in slices(batches, "__text"):
-            flat, counts = words(batch.column(batch.schema.get_field_index("__text")))
+        for batch in slices(batches, text_col):
+            flat, counts = words(batch.column(batch.schema.get_field_index(text_col)))
             n = len(counts)
             coded = flat.dictionary_encode()
             best, share = np.full(n, len(names) - 1), np.zeros(n)
@@ -224,17 +235,19 @@ def predictor(model, into: tuple[str, str]):
                 share = np.where(full, np.round(1 / rest, 9), 0.0)
             kept = {c: batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__text"}
             yield pa.RecordBatch.from_pydict(kept | {into[0]: pa.array(names[best], pa.string()), into[1]: share})
+        del scorer
+        release()
 
     return predict
 
 
-def identify(docs: DataFrame, model: dict, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with a prediction and its score, the posterior of that language among the learned ones at equal priors.
+def identify(docs: DataFrame, model: dict, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (columns ``keep``, by default all) with a prediction and its score, the posterior of that language among the learned ones at equal priors.
 
     Text that is null or has no letter: ``und``, score 0; so is every text if no
     language was learned.  Ties: the first by name.  Input columns with the names
     of ``into`` give way.
     """
-    rows = docs.withColumn("__text", F.col(f"`{text_col}`").cast("string")).drop(*into)
+    rows, name = with_text(docs, text_col, keep, into)
     schema = rows.drop("__text").schema.add(into[0], "string").add(into[1], "double")
-    return rows.mapInArrow(predictor(docs.sparkSession.sparkContext.broadcast(model), into), schema)
+    return rows.mapInArrow(predictor(docs.sparkSession.sparkContext.broadcast(model), into, name), schema)

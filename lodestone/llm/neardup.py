@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import letters_digest, row_groups, sized, slices, stored, tokens
+from .common import letters_digest, release, row_groups, sized, slices, stored, tokens
 from .components import components
 
 TREES, DEPTH = 32, 8
@@ -102,6 +102,7 @@ def signer(width: int):
                 signs.append(None if key is None or key in seen else signature(s, a, b).tobytes())
                 seen.add(key)
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "text_key": batch.column(1), "set_key": pa.array(keys, pa.binary()), "n": pa.array(sizes, pa.int32()), "sig": pa.array(signs, pa.binary())})
+        release()
 
     return sign
 
@@ -194,6 +195,7 @@ def tier(depth: int, floor: float):
             tied = np.flatnonzero(roots != np.arange(len(keys)))
             if len(tied):
                 yield pa.RecordBatch.from_pydict({"a": pa.array([keys[i] for i in tied], pa.binary()), "b": pa.array([keys[r] for r in roots[tied]], pa.binary())})
+        release()
 
     return tie
 
@@ -221,6 +223,7 @@ def set_maker(width: int):
             if len(seen) > 100_000:
                 seen.clear()
             yield pa.RecordBatch.from_pydict({"set_key": pa.array(keys, pa.binary()), "shingles": pa.array(sets, pa.binary())})
+        release()
 
     return make
 
@@ -272,6 +275,7 @@ def counter(t: Fraction):
                     ties.tie(i, i + 1 + j)
             roots = ties.roots()
             yield pa.RecordBatch.from_pydict({"set_key": pa.array(keys, pa.binary()), "blocks": table.column("blocks").combine_chunks(), "root": pa.array([keys[r] for r in roots], pa.binary()), "set_links": match.sum(axis=1).astype(np.int64), "doc_links": (match * copies[None, :]).sum(axis=1).astype(np.int64)})
+        release()
 
     return count
 

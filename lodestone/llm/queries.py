@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepieces.encode(docs, MODEL).select("doc_id", "n_tokens", "ids", "parity", "round_trip")
+    return sentencepieces.encode(docs, MODEL, keep=["doc_id"]).select("doc_id", "n_tokens", "ids", "parity", "round_trip")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -30,7 +30,7 @@ def held_out(id_col: str = "doc_id"):
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where(~held_out()), MODEL)
-    out = langid.identify(docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out")), model)
+    out = langid.identify(docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out")), model, keep=["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -69,7 +69,7 @@ def op7_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokencount.count_tokens(docs, MODEL).select("doc_id", "n_tokens")
+    return tokencount.count_tokens(docs, MODEL, keep=["doc_id"]).select("doc_id", "n_tokens")
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

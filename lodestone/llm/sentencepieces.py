@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import release, slices, with_text
 from .units import SPACE, gather, separable, units
 
 #: Units whose ids a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
+#: Units that the libraries encode in one batch; bounds what their results take.
+BATCH = 16_384
 UNIGRAM, BPE = 1, 2
 
 
@@ -109,6 +111,10 @@ class Coder:
 
     def learn(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, n, same) of units: all ids, their number for each unit, whether both libraries agree."""
+        parts = [self.learned(fresh[i : i + BATCH]) for i in range(0, len(fresh), BATCH)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def learned(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         got = [e.ids for e in self.bare.encode_batch_fast(fresh, add_special_tokens=False)]
         # a lone marker can't be asked for by itself: with the dummy prefix it is no text
         asked = [i for i, u in enumerate(fresh) if u != SPACE] if SPACE in fresh else range(len(fresh))
@@ -174,11 +180,11 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def encoder(path: str, check: bool):
+def encoder(path: str, check: bool, text_col: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
-        for batch in slices(batches, "__text"):
-            texts = batch.column(batch.schema.get_field_index("__text"))
+        for batch in slices(batches, text_col, 2 << 20):
+            texts = batch.column(batch.schema.get_field_index(text_col))
             ids, n, same = own.encode(texts)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             out = {c: batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__text"}
@@ -187,22 +193,23 @@ def encoder(path: str, check: bool):
                 back = pa.array(own.decode(ids, n), pa.large_string())
                 out["round_trip"] = pc.equal(back, pc.fill_null(texts.cast(pa.large_string()), ""))
             yield pa.RecordBatch.from_pydict(out)
+        release()
 
     return encode
 
 
-RESULTS = ["ids", "n_tokens", "parity", "round_trip"]
+RESULTS = ("ids", "n_tokens", "parity", "round_trip")
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", check: bool = True) -> DataFrame:
-    """``docs`` with ids, n_tokens, parity and, with ``check``, round_trip: whether decoding the ids gives the text again.
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", check: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (columns ``keep``, by default all) with ids, n_tokens, parity and, with ``check``, round_trip: whether decoding the ids gives the text again.
 
     Null and empty texts have no ids.  A text that holds the marker U+2581 itself
     can't come back as it was.  Columns of these names give way to the results.
     """
-    rows = docs.withColumn("__text", F.col(f"`{text_col}`").cast("string")).drop(*[c for c in RESULTS if c in docs.columns])
+    rows, name = with_text(docs, text_col, keep, RESULTS)
     schema = rows.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("parity", "boolean")
-    return rows.mapInArrow(encoder(model_path, check), schema.add("round_trip", "boolean") if check else schema)
+    return rows.mapInArrow(encoder(model_path, check, name), schema.add("round_trip", "boolean") if check else schema)
 
 
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:

@@ -17,13 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import slices
+from .common import release, slices, with_text
 from .sentencepieces import parse
 from .units import separable, units
 
-CACHE = 300_000
+CACHE = 100_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -82,24 +81,26 @@ class Counter:
         return np.array([self.known[u] for u in some], np.int64)
 
 
-def counting(path: str):
+def counting(path: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
-        for batch in slices(batches, "__text"):
-            coded, n, _ = units(batch.column(batch.schema.get_field_index("__text")))
+        for batch in slices(batches, text_col):
+            coded, n, _ = units(batch.column(batch.schema.get_field_index(text_col)))
             own = counter.counts(coded.dictionary.to_pylist())
             index = coded.indices.to_numpy(zero_copy_only=False)
             total = np.bincount(np.repeat(np.arange(len(n)), n), weights=own[index] if len(own) else None, minlength=len(n)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__text"} | {"n_tokens": total})
+        del counter
+        release()
 
     return run
 
 
-def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, the pieces of the best unigram segmentation of the whole text under the model's scores.
+def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (columns ``keep``, by default all) with ``n_tokens``, the pieces of the best unigram segmentation of the whole text under the model's scores.
 
     Null and empty texts have none.  A model of another type is read as a unigram
     model with the scores that it states.  A column of this name gives way.
     """
-    rows = docs.withColumn("__text", F.col(f"`{text_col}`").cast("string")).drop(*({"n_tokens"} & set(docs.columns)))
-    return rows.mapInArrow(counting(model_path), rows.drop("__text").schema.add("n_tokens", "long"))
+    rows, name = with_text(docs, text_col, keep, ("n_tokens",))
+    return rows.mapInArrow(counting(model_path, name), rows.drop("__text").schema.add("n_tokens", "long"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_groups, sized, slices, stored
+from .common import release, row_groups, sized, slices, stored
 
 # Element names of HTML by their role here.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label map mark meter nobr output picture progress q ruby rb rp rt s samp small source span strike strong sub sup time track tt u var wbr".split())
@@ -428,6 +428,7 @@ def inferrer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(held) > 5000:
             yield from out()
     yield from out()
+    release()
 
 
 def merger(keys: list[str]):
@@ -479,6 +480,7 @@ def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known[role] = json.loads(role)
             texts.append(article(source, known[role]))
         yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(batch.schema.names) if not c.startswith("__")} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+    release()
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
