@@ -19,6 +19,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +48,8 @@ ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|aria-hidden|hidden)(?:\s*=\s*(
 VARIES = -1
 #: Children of a wrapper node that are kept in order; beyond, they become one repeated group of optional nodes.
 WIDEST = 24
+#: Levels of nesting that a path shows in full.
+DEEPEST = 120
 
 
 def part_of(tag: str, attributes: str) -> str:
@@ -65,6 +68,7 @@ def part_of(tag: str, attributes: str) -> str:
     return ".".join([tag, *kept])
 
 
+@lru_cache(maxsize=10_000)
 def noisy(key: str) -> bool:
     """Whether an element is no part of an article wherever it stands."""
     tag, *words = key.split(".")
@@ -90,9 +94,28 @@ class Node:
 
 
 def walk(source: str) -> Iterator[tuple[str, str | tuple[str, ...]]]:
-    """('open', keys), ('close', keys) and ('text', raw): block structure with the path of open elements; implied ends are closed."""
+    """('open', path), ('close', path), ('break', path) and ('text', raw): block structure with the path of open elements; implied ends are closed.
+
+    Elements nested deeper than DEEPEST show in the path only if they have a part to play."""
     stack: list[str] = []
     keys: list[str] = []
+    shown: list[bool] = []
+
+    def push(tag: str, key: str) -> bool:
+        stack.append(tag)
+        shown.append(len(keys) < DEEPEST or noisy(key) or holds_article(key, "any"))
+        if shown[-1]:
+            keys.append(key)
+        return shown[-1]
+
+    def pop() -> str:
+        if shown.pop():
+            keys.pop()
+        return stack.pop()
+
+    def closing_event() -> tuple[str, tuple[str, ...]]:
+        return "close" if shown[-1] else "break", tuple(keys)
+
     at, n = 0, len(source)
     lowered = None
     while at < n:
@@ -132,29 +155,25 @@ def walk(source: str) -> Iterator[tuple[str, str | tuple[str, ...]]]:
                     below = len(stack) - 1 - stack[::-1].index(tag)
                     if all(t in INLINE for t in stack[below:]):
                         while len(stack) > below:
-                            stack.pop()
-                            keys.pop()
+                            pop()
                 continue
             key = part_of(tag, m[3])
             if noisy(key) and not m[3].endswith("/"):
-                stack.append(tag)
-                keys.append(key)
+                push(tag, key)
             continue
         if closing:
             if tag in stack:
                 while True:
-                    yield "close", tuple(keys)
-                    keys.pop()
-                    if stack.pop() == tag:
+                    yield closing_event()
+                    if pop() == tag:
                         break
             continue
         if tag in CLOSES_P and "p" in stack:
             below = len(stack) - 1 - stack[::-1].index("p")
             if not any(t in ("table", "td", "th", "button") for t in stack[below:]):
                 while len(stack) > below:
-                    yield "close", tuple(keys)
-                    keys.pop()
-                    stack.pop()
+                    yield closing_event()
+                    pop()
         if tag in SIBLINGS:
             ends, within = SIBLINGS[tag]
             for i in range(len(stack) - 1, -1, -1):
@@ -162,13 +181,10 @@ def walk(source: str) -> Iterator[tuple[str, str | tuple[str, ...]]]:
                     break
                 if stack[i] in ends:
                     while len(stack) > i:
-                        yield "close", tuple(keys)
-                        keys.pop()
-                        stack.pop()
+                        yield closing_event()
+                        pop()
                     break
-        stack.append(tag)
-        keys.append(part_of(tag, m[3]))
-        yield "open", tuple(keys)
+        yield "open" if push(tag, part_of(tag, m[3])) else "break", tuple(keys)
 
 
 def squeezed(parts: list[str]) -> str:
@@ -383,6 +399,8 @@ def roles(node: Node) -> dict:
 
 def holds_article(key: str, main: str) -> bool:
     tag, *words = key.split(".")
+    if main == "any":
+        return tag in ("article", "main") or bool(MAIN_WORDS & set(words))
     if main == "words":
         return bool(MAIN_WORDS & set(words))
     return tag == main
