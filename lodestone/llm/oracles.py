@@ -1,3 +1,32 @@
 """SQL of the training-data queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"list_filter(regexp_split_to_array({LOWERED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+sh AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END)) AS s FROM w),
+k AS (SELECT s, len(s) AS n, min(doc_id) AS rep, count(*) AS copies FROM sh WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT rep, n, unnest(s) AS g FROM k),
+p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+r(a, b) AS (SELECT rep, rep FROM k UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS rep, min(b) AS class_id FROM r GROUP BY a),
+l AS (SELECT p.a AS rep, count(*) AS sets, sum(k.copies) AS docs FROM p JOIN k ON k.rep = p.b GROUP BY p.a)
+SELECT sh.doc_id, coalesce(c.class_id, sh.doc_id) AS class_id, (coalesce(k.copies, 1) - 1 + coalesce(l.docs, 0))::BIGINT AS n_links, coalesce(k.copies, 1)::BIGINT AS n_copies, coalesce(l.sets, 0)::BIGINT AS n_set_links
+FROM sh LEFT JOIN k ON sh.s = k.s AND len(sh.s) > 0 LEFT JOIN c ON c.rep = k.rep LEFT JOIN l ON l.rep = k.rep"""
+
+HITS = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, n, list_slice(w, i, i + n - 1) AS g FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+grams AS (SELECT r, i, n, list_slice(w, i, i + n - 1) AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT r, i, grams.n AS n, item FROM grams JOIN win ON win.g = grams.g),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+TOP = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS c FROM embeddings
+ WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, list_sum(list_transform(list_zip(q.c, d.c), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.c) = len(d.c) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+ORACLES: dict[str, str] = {"op4_neardup": NEAR, "op6_decontaminate": HITS, "op9_topk": TOP}
