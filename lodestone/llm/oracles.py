@@ -29,4 +29,30 @@ TOP = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::
 s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, list_sum(list_transform(list_zip(q.c, d.c), lambda z: z[1] * z[2]))::BIGINT AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.c) = len(d.c) WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
-ORACLES: dict[str, str] = {"op4_neardup": NEAR, "op6_decontaminate": HITS, "op9_topk": TOP}
+#: Kind, leading context (a look-behind elsewhere; its length is no part of the span), pattern, group that must have six characters.
+SECRETS = [
+    ("assign", "()", r"""((?i:password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+))""", 3),
+    ("access", "()", "(AKIA[A-Z0-9]{16,})", 2),
+    ("hex", "()", "([0-9a-f]{24,})", 2),
+    ("pem", "()", "(-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----)", 2),
+    ("github", "(^|[^A-Za-z0-9_])", "(gh[pousr]_[A-Za-z0-9]{36,})", 2),
+    ("slack", "(^|[^A-Za-z0-9_])", "(xox[abprs]-[A-Za-z0-9-]{10,})", 2),
+    ("jwt", "(^|[^A-Za-z0-9_-])", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 2),
+]
+
+
+def _matches(no: int, kind: str, before: str, pattern: str, group: int) -> str:
+    p = "'" + (before + pattern).replace("'", "''") + "'"
+    return f"SELECT r, {no} AS no, '{kind}' AS kind, regexp_split_to_array(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, 1) AS lead, regexp_extract_all(t, {p}, {group}) AS v FROM d"
+
+
+LEDGER = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_matches(i, *x) for i, x in enumerate(SECRETS))}),
+g AS (SELECT r, no, kind, gaps, m, lead, v, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+s AS (SELECT r, no, kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n, length(lead[i]) AS l, length(v[i]) AS k FROM g),
+q AS (SELECT r, no, kind, (a + l)::BIGINT AS s, (a + n)::BIGINT AS e FROM s WHERE k >= 6),
+o AS (SELECT r, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
+ string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans FROM q GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (r)"""
+
+ORACLES: dict[str, str] = {"op4_neardup": NEAR, "op6_decontaminate": HITS, "op9_topk": TOP, "op10_ledger": LEDGER}
