@@ -1,25 +1,31 @@
-"""Connected components by alternating large and small stars, as DataFrame operations."""
+"""Connected components by alternating large and small stars, as DataFrame operations.
+
+The least neighbours of nodes are aggregated (partially first) and stored before
+edges are joined to them.  The join is then a broadcast while that table is small,
+and else one that AQE can split where a star's centre is hot, which it can't do
+with an aggregate in the same stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized, stored
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(sized(stored(least, "least")), "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    tied = down.join(least, "a")
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+    tied = down.join(sized(least), "a")
     return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 

@@ -301,8 +301,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # forest: nodes with more than one member
     depth = depth_for(threshold, recall)
     nodes = reps.select("set_key", "sig").mapInArrow(planter(depth), "node long, tree int, set_key binary")
-    full = nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
-    members = nodes.join(full, "node").join(reps.select("set_key", "sig"), "set_key")
+    # stored before joins, here and below, so that no aggregate keeps AQE from splitting a hot node or family
+    full = stored(nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"), "near-nodes")
+    members = nodes.join(sized(full), "node").join(reps.select("set_key", "sig"), "set_key")
     members = blocked(members, F.ceil(F.col("members") / NODE_BLOCK), "set_key").select("node", "i", "j", "tree", "set_key", "sig")
     members = members.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
     # four and a half standard errors of the estimate below the threshold
@@ -316,7 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = sizes.select("family", F.greatest(F.ceil(F.col("m") / FAMILY_BLOCK), F.ceil(F.col("total") / FAMILY_SHINGLES)).cast("int").alias("blocks"))
     wanted = stored(belongs.select("text_key").distinct(), "near-texts")
     sets = rows.join(sized(wanted), "text_key", "left_semi").select("__text").mapInArrow(set_maker(width), "set_key binary, shingles binary")
-    dealt = belongs.select("set_key", "family", "copies").join(sizes, "family").join(sets, "set_key")
+    dealt = belongs.select("set_key", "family", "copies").join(sized(stored(sizes, "near-sizes")), "family").join(sets, "set_key")
     dealt = blocked(dealt, F.col("blocks"), "set_key").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     links = stored(dealt.mapInArrow(counter(Fraction(str(threshold))), "set_key binary, blocks int, root binary, set_links long, doc_links long"), "near-links")
 
@@ -328,11 +329,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         total = total.join(joined.select(F.col("a").alias("set_key"), F.col("b").alias("whole")), "set_key", "left").withColumn("root", F.when(F.col("whole").isNotNull(), F.col("whole")).otherwise(F.col("root"))).drop("whole")
         own = split.select("set_key").distinct().join(joined.select(F.col("a").alias("set_key")), "set_key", "left_anti").withColumn("self", F.col("set_key"))
         total = total.join(own, "set_key", "left").withColumn("root", F.coalesce("self", "root")).drop("self")
-    known = reps.select("set_key", "rep", "copies").join(total, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = known.join(least, "root").select("set_key", "class_id", "copies", F.coalesce("set_links", F.lit(0)).alias("set_links"), F.coalesce("doc_links", F.lit(0)).alias("doc_links"))
+    total = stored(total.join(reps.select("set_key", "rep"), "set_key"), "near-totals")
+    least = total.groupBy("root").agg(F.min("rep").alias("class_id"))
+    classes = total.join(sized(stored(least, "near-least")), "root").select("set_key", "class_id", "set_links", "doc_links")
+    zero = F.lit(0).cast("long")
+    known = reps.select("set_key", "rep", "copies").join(sized(stored(classes, "near-classes")), "set_key", "left")
+    known = known.select("set_key", F.coalesce("class_id", "rep").alias("class_id"), "copies", F.coalesce("set_links", zero).alias("set_links"), F.coalesce("doc_links", zero).alias("doc_links"))
     with_words = signed.where("set_key is not null").select("id", "set_key").join(known, "set_key")
     with_words = with_words.select("id", "class_id", (F.col("doc_links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("set_links").alias("n_set_links"))
-    zero = F.lit(0).cast("long")
     without = signed.where("set_key is null").select("id", F.col("id").alias("class_id"), zero.alias("n_links"), F.lit(1).cast("long").alias("n_copies"), zero.alias("n_set_links"))
     return with_words.unionByName(without)
