@@ -202,15 +202,22 @@ class Scorer:
                 np.add.at(out[:, k], [owner[i] for i in chunk], lattice.log_likelihood(p))
         return out
 
-    def score(self, some: list[str]) -> np.ndarray:
+    def score(self, some: list[str], uses: np.ndarray) -> np.ndarray:
+        """Scores of distinct words; those used more than once in a slice are kept for the next ones."""
         if len(self.known) > CACHE:
             self.known, self.rows = {}, self.rows[:0]
-        new = [w for w in some if w not in self.known]
-        if new:
-            base = len(self.known)
-            self.known.update({w: base + i for i, w in enumerate(new)})
-            self.rows = np.concatenate([self.rows, self.fresh(new)])
-        return self.rows[[self.known[w] for w in some]] if some else np.zeros((0, len(self.p)))
+        row = np.fromiter((self.known.get(w, -1) for w in some), np.int64, len(some))
+        new = np.flatnonzero(row < 0)
+        if not len(new):
+            return self.rows[row]
+        fresh = [some[i] for i in new.tolist()]
+        scores = self.fresh(fresh)
+        row[new] = len(self.rows) + np.arange(len(new))
+        out = np.concatenate([self.rows, scores])[row]
+        keep = np.flatnonzero(uses[new] > 1)
+        self.known.update(zip([fresh[i] for i in keep.tolist()], range(len(self.rows), len(self.rows) + len(keep)), strict=True))
+        self.rows = np.concatenate([self.rows, scores[keep]])
+        return out
 
 
 def predictor(model, into: tuple[str, str], text_col: str):
@@ -226,7 +233,8 @@ def predictor(model, into: tuple[str, str], text_col: str):
             coded = flat.dictionary_encode()
             best, share = np.full(n, len(names) - 1), np.zeros(n)
             if m["langs"]:
-                own = scorer.score(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+                index = coded.indices.to_numpy(zero_copy_only=False)
+                own = scorer.score(coded.dictionary.to_pylist(), np.bincount(index, minlength=len(coded.dictionary)))[index]
                 owner = np.repeat(np.arange(n), counts)
                 total = np.stack([np.bincount(owner, weights=own[:, k], minlength=n) for k in range(own.shape[1])], axis=1)
                 full = counts > 0

@@ -72,13 +72,19 @@ class Counter:
             score[e], pieces[e], run[e] = best, count, fused
         return pieces[n]
 
-    def counts(self, some: list[str]) -> np.ndarray:
+    def counts(self, some: list[str], uses: np.ndarray) -> np.ndarray:
+        """Counts of distinct units; those used more than once in a slice are kept for the next ones."""
         if len(self.known) > CACHE:
             self.known = {}
-        for u in some:
-            if u not in self.known:
-                self.known[u] = self.count(u)
-        return np.array([self.known[u] for u in some], np.int64)
+        out = np.empty(len(some), np.int64)
+        for i, (u, n) in enumerate(zip(some, uses.tolist(), strict=True)):
+            c = self.known.get(u)
+            if c is None:
+                c = self.count(u)
+                if n > 1:
+                    self.known[u] = c
+            out[i] = c
+        return out
 
 
 def counting(path: str, text_col: str):
@@ -86,8 +92,8 @@ def counting(path: str, text_col: str):
         counter = Counter(path)
         for batch in slices(batches, text_col):
             coded, n, _ = units(batch.column(batch.schema.get_field_index(text_col)))
-            own = counter.counts(coded.dictionary.to_pylist())
             index = coded.indices.to_numpy(zero_copy_only=False)
+            own = counter.counts(coded.dictionary.to_pylist(), np.bincount(index, minlength=len(coded.dictionary)))
             total = np.bincount(np.repeat(np.arange(len(n)), n), weights=own[index] if len(own) else None, minlength=len(n)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__text"} | {"n_tokens": total})
         del counter
