@@ -122,7 +122,7 @@ def interface_two_roles(spark, sf):
     return out.select("anchor", F.col("N_even").alias("n_even"), F.col("N_odd").alias("n_odd"), F.col("ratio_N").alias("ratio"), F.col("mean_bfactor_even").alias("mean_even"), F.col("mean_bfactor_odd").alias("mean_odd"))
 
 
-@query(f"""{RES}, c AS (SELECT *, CASE resid % 7 WHEN 0 THEN 'H' WHEN 1 THEN 'G' WHEN 2 THEN 'E' WHEN 3 THEN 'B' WHEN 4 THEN 'T' END AS code FROM res)
+@query(f"""{RES}, c AS (SELECT *, CASE resid % 7 WHEN 0 THEN 'H' WHEN 1 THEN 'G' WHEN 2 THEN 'E' WHEN 3 THEN 'B' WHEN 4 THEN 'T' ELSE '-' END AS code FROM res)
  SELECT anchor, chain, count_if(code IN ('H', 'G', 'I')) AS helix, count_if(code IN ('E', 'B')) AS sheet, count_if(code IS NULL OR code NOT IN ('H', 'G', 'I', 'E', 'B')) AS loop FROM c GROUP BY 1, 2""", BIGINT="helix sheet loop")
 def secondary_structure(spark, sf):
     m = F.col("resid") % 7
