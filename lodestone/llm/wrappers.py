@@ -48,6 +48,8 @@ ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|aria-hidden|hidden)(?:\s*=\s*(
 VARIES = -1
 #: Children of a wrapper node that are kept in order; beyond, they become one repeated group of optional nodes.
 WIDEST = 24
+#: Different pages that have to agree before text counts as their template.
+DIFFERENT = 5
 #: Levels of nesting that a path shows in full.
 DEEPEST = 120
 
@@ -76,20 +78,22 @@ def noisy(key: str) -> bool:
 
 
 class Node:
-    __slots__ = ("key", "children", "text", "optional", "repeated", "pages")
+    __slots__ = ("key", "children", "text", "optional", "repeated", "pages", "seen")
 
     def __init__(self, key: str):
         self.key, self.children, self.text = key, [], None
         self.optional, self.repeated, self.pages = False, False, 1
+        self.seen: tuple[int, ...] = ()  # up to DIFFERENT of the different pages that hold the constant text
 
     def to(self) -> list:
-        return [self.key, self.text, int(self.optional) + 2 * int(self.repeated), self.pages, [c.to() for c in self.children]]
+        return [self.key, self.text, int(self.optional) + 2 * int(self.repeated), self.pages, [c.to() for c in self.children], self.seen]
 
     @staticmethod
     def of(x: list) -> Node:
         n = Node(x[0])
         n.text, n.optional, n.repeated, n.pages = tuple(x[1]) if isinstance(x[1], list) else x[1], bool(x[2] & 1), bool(x[2] & 2), x[3]
         n.children = [Node.of(c) for c in x[4]]
+        n.seen = tuple(x[5])
         return n
 
 
@@ -207,30 +211,54 @@ def blocks(source: str) -> Iterator[tuple[tuple[str, ...], str]]:
         yield path, text
 
 
-def tree(source: str) -> Node:
-    """A page as a wrapper of one page."""
-    from xxhash import xxh3_64_intdigest
+def outline(source: str) -> tuple[Node, list[Node | None], int]:
+    """(a page's elements as they stand, the element of each of its :func:`blocks`, what tells different pages apart: the text outside noise)."""
+    from xxhash import xxh3_64, xxh3_64_intdigest
 
     root = Node("")
     open_nodes = [root]
+    owners: list[Node | None] = []
+    held: list[str] = []
+    whole = xxh3_64()
+    path: tuple[str, ...] = ()
+
+    def flush(path: tuple[str, ...]) -> None:
+        if held and (text := squeezed(held)):
+            del open_nodes[len(path) + 1 :]  # inline elements that have ended
+            # text in an inline element has no node: such elements are noise
+            node = open_nodes[-1] if len(open_nodes) == len(path) + 1 else None
+            owners.append(node)
+            if not any(noisy(k) for k in path):
+                whole.update(text + "\n")
+            if node is not None:
+                slot = (xxh3_64_intdigest(text) >> 1, len(text))
+                node.text = slot if node.text is None else (xxh3_64_intdigest(f"{node.text}{slot}") >> 1, node.text[1] + slot[1])
+        held.clear()
+
     for kind, what in walk(source):
+        if kind == "text":
+            held.append(what)
+            continue
+        flush(what[:-1] if kind == "open" else what)
+        path = what[:-1] if kind == "close" else what
         if kind == "open":
-            while len(open_nodes) > len(what):  # inline elements that a block closes
-                open_nodes.pop()
-            while len(open_nodes) < len(what):
-                node = Node(what[len(open_nodes) - 1])
+            del open_nodes[len(what) :]  # inline elements that a block closes
+            for key in what[len(open_nodes) - 1 :]:
+                node = Node(key)
                 open_nodes[-1].children.append(node)
                 open_nodes.append(node)
-            node = Node(what[-1])
-            open_nodes[-1].children.append(node)
-            open_nodes.append(node)
         elif kind == "close":
             del open_nodes[max(1, len(what)) :]
-        elif kind == "text" and what.strip():
-            text = squeezed([what])
-            slot = (xxh3_64_intdigest(text) >> 1, len(text))
-            node = open_nodes[-1]
-            node.text = slot if node.text is None else (xxh3_64_intdigest(f"{node.text}{slot}") >> 1, node.text[1] + slot[1])
+    flush(path)
+    return root, owners, whole.intdigest() >> 1
+
+
+def tree(source: str) -> Node:
+    """A page as a wrapper of one page."""
+    root, owners, page = outline(source)
+    for node in owners:
+        if node is not None:
+            node.seen = (page,)
     return folded(root)
 
 
@@ -299,6 +327,7 @@ def merge(a: Node, b: Node, within: bool = False) -> None:
         a.pages += b.pages
     if a.text != b.text:
         a.text = VARIES if a.text is not None and b.text is not None or VARIES in (a.text, b.text) else (a.text if a.text is not None else b.text)
+    a.seen = () if a.text == VARIES else tuple(sorted({*a.seen, *b.seen})[:DIFFERENT])
     x, y = a.children, b.children
     if [c.key for c in x] != [c.key for c in y]:
         x = grouped(x, [c for c in y if c.key.startswith("(")])
@@ -373,12 +402,10 @@ def pattern(node: Node) -> str:
 
 
 def roles(node: Node) -> dict:
-    """What extraction needs of a wrapper: the kind of element that holds the article, and the paths of template text."""
+    """What extraction needs of a wrapper: the kind of element that holds the article, and the template, as what :func:`skeleton` leaves of the wrapper."""
     found: set[str] = set()
-    template: list[str] = []
 
-    def visit(x: Node, path: tuple[str, ...], inside: bool, noise: bool) -> None:
-        here = path if not x.key or x.key.startswith("(") else (*path, x.key)
+    def visit(x: Node, noise: bool) -> None:
         tag, *words = x.key.split(".") if x.key and not x.key.startswith("(") else [""]
         noise = noise or bool(tag) and noisy(x.key)
         if not noise and tag:
@@ -386,15 +413,69 @@ def roles(node: Node) -> dict:
                 found.add(tag)
             elif MAIN_WORDS & set(words):
                 found.add("words")
-        # the same text at the same place of several pages, in an element of its own
-        if not noise and isinstance(x.text, tuple) and x.pages >= 5 and tag not in ("h1", "p", "article", "main"):
-            template.append("/".join(here))
         for c in x.children:
-            visit(c, here, inside, noise)
+            visit(c, noise)
 
-    visit(node, (), False, False)
+    visit(node, False)
     main = next((k for k in ("article", "main", "words") if k in found), "")
-    return {"main": main, "template": sorted(set(template))}
+    return {"main": main, "template": skeleton(node)}
+
+
+def skeleton(node: Node) -> list | None:
+    """[key, constant or none, whether it recurs, children] of the nodes around template text, None if there is none.
+
+    Template is the same text at the same place of DIFFERENT pages, in an element of its own.  Siblings
+    without any stay, as they tell the place of the others."""
+    bare = not node.key or node.key.startswith("(")
+    if not bare and noisy(node.key):
+        return None
+    fixed = not bare and isinstance(node.text, tuple) and len(node.seen) >= DIFFERENT and node.key.split(".")[0] not in ("h1", "p", "article", "main")
+    inner = [skeleton(c) for c in node.children]
+    if not fixed and not any(inner):
+        return None
+    children = [k or [c.key, None, c.repeated, [[g.key, None, False, []] for g in c.children] if c.key.startswith("(") else []] for k, c in zip(inner, node.children, strict=True)] if any(inner) else []
+    return [node.key, node.text[0] if fixed else None, node.repeated, children]
+
+
+def placed(children: list[Node], bones: list[list]) -> Iterator[tuple[Node, list]]:
+    """Elements of a page with the skeleton's node at their place: the longest alignment of siblings, equal constants deciding between equally long ones."""
+
+    def member(c: Node, bone: list) -> tuple[int, list | None]:
+        some = [b for b in (bone[3] if bone[0].startswith("(") else [bone]) if b[0] == c.key]
+        same = next((b for b in some if b[1] is not None and c.text is not None and b[1] == c.text[0]), None)
+        return (1_000_001, same) if same else (1_000_000, some[0]) if some else (0, None)
+
+    n, m = len(children), len(bones)
+    match = [[member(c, b) for b in bones] for c in children]
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            worth = match[i][j][0]
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], worth + best[i + 1][j if bones[j][2] else j + 1] if worth else 0)
+    i = j = 0
+    while i < n and j < m:
+        worth, bone = match[i][j]
+        then = j if bones[j][2] else j + 1
+        if worth and best[i][j] == worth + best[i + 1][then]:
+            yield children[i], bone
+            i, j = i + 1, then
+        elif best[i][j] == best[i][j + 1]:
+            j += 1
+        else:
+            i += 1
+
+
+def template_nodes(root: Node, bones: list) -> set[int]:
+    """ids of a page's elements whose text is the template's at their place."""
+    out: set[int] = set()
+    todo = [(root, bones)]
+    while todo:
+        node, bone = todo.pop()
+        if bone[1] is not None and node.text is not None and node.text[0] == bone[1]:
+            out.add(id(node))
+        if bone[3]:
+            todo.extend(placed(node.children, bone[3]))
+    return out
 
 
 def holds_article(key: str, main: str) -> bool:
@@ -410,19 +491,21 @@ def article(source: str | None, known: dict) -> str:
     """The main text of a page: its blocks joined by line breaks."""
     if not source:
         return ""
-    every = [(path, text) for path, text in blocks(source) if not any(noisy(k) for k in path)]
+    every = [(path, text, i) for i, (path, text) in enumerate(blocks(source)) if not any(noisy(k) for k in path)]
     # the host's place of the article; a page without it is read by what it has itself
     for main in dict.fromkeys([known.get("main", ""), "article", "main", "words"]):
-        if main and (some := [(p, t) for p, t in every if any(holds_article(k, main) for k in p)]):
+        if main and (some := [b for b in every if any(holds_article(k, main) for k in b[0])]):
             inside = True
             break
     else:
         # a page header is no article; without an article's element the rest of the body is
-        some, inside = [(p, t) for p, t in every if not any(k.split(".")[0] == "header" for k in p)], False
-    template = set(known.get("template", ()))
-    if template and not inside:
-        some = [(p, t) for p, t in some if "/".join(p) not in template]
-    return "\n".join(t for _, t in some)
+        some, inside = [b for b in every if not any(k.split(".")[0] == "header" for k in b[0])], False
+    if some and known.get("template") and not inside:
+        root, owners, _ = outline(source)
+        drop = template_nodes(root, known["template"])
+        # a page that is nothing but template is read whole
+        some = [b for b in some if id(owners[b[2]]) not in drop] or some
+    return "\n".join(t for _, t, _ in some)
 
 
 def inferrer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,32 @@ def test_many_different_siblings_stay_bounded():
     assert len(one.children[0].children) <= wrappers.WIDEST
 
 
+def wrapper_of(pages):
+    one = wrappers.tree(pages[0])
+    for p in pages[1:]:
+        wrappers.merge(one, wrappers.tree(p))
+    return json.loads(json.dumps(wrappers.roles(wrappers.Node.of(json.loads(json.dumps(one.to()))))))
+
+
+def test_template_text_is_dropped_at_its_place_only():
+    page = "<body><div>Daily news</div><h2>Topic</h2><div>Text of article {0}</div><p>more {0}</p><h2>Title {0}</h2></body>"
+    pages = [page.format(i) for i in range(7)]
+    for i, p in enumerate(pages):
+        assert wrappers.article(p, wrapper_of(pages)) == f"Text of article {i}\nmore {i}\nTitle {i}"
+    # the same words elsewhere are no template; neither is another text at its place
+    odd = "<body><div>Other head</div><h2>Topic</h2><div>Daily news</div><p>more</p></body>"
+    assert wrappers.article(odd, wrapper_of(pages)) == "Other head\nDaily news\nmore"
+    # an optional sibling before doesn't move the place
+    some = [p.replace("<body>", "<body><section>Only here</section>") if i % 2 else p for i, p in enumerate(pages)]
+    assert wrappers.article(some[0], wrapper_of(some)) == "Text of article 0\nmore 0\nTitle 0"
+
+
+def test_copies_of_a_page_are_no_template():
+    page = "<body><script>{}</script><div>Head</div><p>text</p><blockquote>quote</blockquote><table><tr><td>cell</td></tr></table></body>"
+    copies = [page.format(i) for i in range(9)]
+    assert wrappers.article(copies[0], wrapper_of(copies)) == "Head\ntext\nquote\ncell"
+
+
 def test_pages_match_a_plain_reading(spark, sf_dir):
     got = {r.page_id: r for r in Q.op3_wrappers(spark, sf_dir).collect()}
     rows = table(sf_dir, "pages")
