@@ -10,7 +10,12 @@ in two shuffles (salted, then by host), each page's text being reduced to the
 hash of its slots by then.
 
 The wrapper tells where the article is on a host's pages and which blocks are
-its template.  Each page is then read whole against its host's wrapper.
+its template: an element whose whole text is the same on several different pages
+holds no article, whatever its name or class, and constants at their aligned
+place are dropped inside an article too.  Text that varies is never dropped for
+being optional or in a repeated group, as paragraphs are both.  Names and classes
+choose between the elements that are left, and alone on hosts with few pages.
+Each page is then read whole against its host's wrapper.
 """
 
 from __future__ import annotations
@@ -78,15 +83,17 @@ def noisy(key: str) -> bool:
 
 
 class Node:
-    __slots__ = ("key", "children", "text", "optional", "repeated", "pages", "seen")
+    __slots__ = ("key", "children", "text", "optional", "repeated", "pages", "seen", "whole")
 
     def __init__(self, key: str):
         self.key, self.children, self.text = key, [], None
         self.optional, self.repeated, self.pages = False, False, 1
         self.seen: tuple[int, ...] = ()  # up to DIFFERENT of the different pages that hold the constant text
+        #: Of an element that can hold an article: hash of all its text and up to DIFFERENT pages, while all pages agree; then VARIES.
+        self.whole: tuple[int, tuple[int, ...]] | int | None = None
 
     def to(self) -> list:
-        return [self.key, self.text, int(self.optional) + 2 * int(self.repeated), self.pages, [c.to() for c in self.children], self.seen]
+        return [self.key, self.text, int(self.optional) + 2 * int(self.repeated), self.pages, [c.to() for c in self.children], self.seen, self.whole]
 
     @staticmethod
     def of(x: list) -> Node:
@@ -94,6 +101,7 @@ class Node:
         n.text, n.optional, n.repeated, n.pages = tuple(x[1]) if isinstance(x[1], list) else x[1], bool(x[2] & 1), bool(x[2] & 2), x[3]
         n.children = [Node.of(c) for c in x[4]]
         n.seen = tuple(x[5])
+        n.whole = (x[6][0], tuple(x[6][1])) if isinstance(x[6], (list, tuple)) else x[6]
         return n
 
 
@@ -220,8 +228,17 @@ def outline(source: str) -> tuple[Node, list[Node | None], int]:
     owners: list[Node | None] = []
     held: list[str] = []
     whole = xxh3_64()
+    holders: list[tuple[Node, object]] = []
     path: tuple[str, ...] = ()
 
+    def open_holders() -> list[tuple[Node, object]]:
+        while holders and not any(holders[-1][0] is x for x in open_nodes):
+            ended(*holders.pop())
+        return holders
+
+    def ended(node: Node, own) -> None:
+        node.whole = (own.intdigest() >> 1, ())
+
     def flush(path: tuple[str, ...]) -> None:
         if held and (text := squeezed(held)):
             del open_nodes[len(path) + 1 :]  # inline elements that have ended
@@ -230,6 +247,8 @@ def outline(source: str) -> tuple[Node, list[Node | None], int]:
             owners.append(node)
             if not any(noisy(k) for k in path):
                 whole.update(text + "\n")
+                for _, own in open_holders():
+                    own.update(text + "\n")
             if node is not None:
                 slot = (xxh3_64_intdigest(text) >> 1, len(text))
                 node.text = slot if node.text is None else (xxh3_64_intdigest(f"{node.text}{slot}") >> 1, node.text[1] + slot[1])
@@ -245,11 +264,16 @@ def outline(source: str) -> tuple[Node, list[Node | None], int]:
             del open_nodes[len(what) :]  # inline elements that a block closes
             for key in what[len(open_nodes) - 1 :]:
                 node = Node(key)
+                open_holders()
                 open_nodes[-1].children.append(node)
                 open_nodes.append(node)
+                if holds_article(key, "any"):
+                    holders.append((node, xxh3_64()))
         elif kind == "close":
             del open_nodes[max(1, len(what)) :]
     flush(path)
+    for holder in holders:
+        ended(*holder)
     return root, owners, whole.intdigest() >> 1
 
 
@@ -259,12 +283,14 @@ def tree(source: str) -> Node:
     for node in owners:
         if node is not None:
             node.seen = (page,)
-    return folded(root)
+    return folded(root, page)
 
 
-def folded(node: Node) -> Node:
-    """Fold recurring siblings of a fresh tree into repeated nodes and groups, bottom up."""
-    node.children = fold([folded(c) for c in node.children])
+def folded(node: Node, page: int) -> Node:
+    """Fold recurring siblings of a fresh tree into repeated nodes and groups, bottom up; mark what holds an article with the page."""
+    if node.whole is not None:
+        node.whole = (node.whole[0], (page,))
+    node.children = fold([folded(c, page) for c in node.children])
     return node
 
 
@@ -328,6 +354,12 @@ def merge(a: Node, b: Node, within: bool = False) -> None:
     if a.text != b.text:
         a.text = VARIES if a.text is not None and b.text is not None or VARIES in (a.text, b.text) else (a.text if a.text is not None else b.text)
     a.seen = () if a.text == VARIES else tuple(sorted({*a.seen, *b.seen})[:DIFFERENT])
+    if a.whole is None or b.whole is None:
+        a.whole = b.whole if a.whole is None else a.whole
+    elif VARIES in (a.whole, b.whole) or a.whole[0] != b.whole[0]:
+        a.whole = VARIES
+    else:
+        a.whole = (a.whole[0], tuple(sorted({*a.whole[1], *b.whole[1]})[:DIFFERENT]))
     x, y = a.children, b.children
     if [c.key for c in x] != [c.key for c in y]:
         x = grouped(x, [c for c in y if c.key.startswith("(")])
@@ -401,14 +433,26 @@ def pattern(node: Node) -> str:
     return f"({body}){mark}" if mark else body
 
 
+def fixed_whole(node: Node) -> bool:
+    """Whether an element that could hold an article has the same text on DIFFERENT pages, and so holds none."""
+    return isinstance(node.whole, tuple) and len(node.whole[1]) >= DIFFERENT
+
+
 def roles(node: Node) -> dict:
-    """What extraction needs of a wrapper: the kind of element that holds the article, and the template, as what :func:`skeleton` leaves of the wrapper."""
+    """What extraction needs of a wrapper: the kind of element that holds the article, and the template, as what :func:`skeleton` leaves of the wrapper.
+
+    The kind is the first of article, main and words whose text varies between the host's
+    pages (or whose pages are too few to tell); ``body`` if there are such elements, but all are template."""
     found: set[str] = set()
+    fixed = False
 
     def visit(x: Node, noise: bool) -> None:
+        nonlocal fixed
         tag, *words = x.key.split(".") if x.key and not x.key.startswith("(") else [""]
         noise = noise or bool(tag) and noisy(x.key)
-        if not noise and tag:
+        if not noise and tag and fixed_whole(x):
+            fixed = True
+        elif not noise and tag:
             if tag in ("article", "main"):
                 found.add(tag)
             elif MAIN_WORDS & set(words):
@@ -417,12 +461,12 @@ def roles(node: Node) -> dict:
             visit(c, noise)
 
     visit(node, False)
-    main = next((k for k in ("article", "main", "words") if k in found), "")
+    main = next((k for k in ("article", "main", "words") if k in found), "body" if fixed else "")
     return {"main": main, "template": skeleton(node)}
 
 
 def skeleton(node: Node) -> list | None:
-    """[key, constant or none, whether it recurs, children] of the nodes around template text, None if there is none.
+    """[key, constant or none, whether it recurs, children, constant of all its text or none] of the nodes around template text, None if there is none.
 
     Template is the same text at the same place of DIFFERENT pages, in an element of its own.  Siblings
     without any stay, as they tell the place of the others."""
@@ -430,11 +474,13 @@ def skeleton(node: Node) -> list | None:
     if not bare and noisy(node.key):
         return None
     fixed = not bare and isinstance(node.text, tuple) and len(node.seen) >= DIFFERENT and node.key.split(".")[0] not in ("h1", "p", "article", "main")
+    if not bare and fixed_whole(node):
+        return [node.key, None, node.repeated, [], node.whole[0]]
     inner = [skeleton(c) for c in node.children]
     if not fixed and not any(inner):
         return None
-    children = [k or [c.key, None, c.repeated, [[g.key, None, False, []] for g in c.children] if c.key.startswith("(") else []] for k, c in zip(inner, node.children, strict=True)] if any(inner) else []
-    return [node.key, node.text[0] if fixed else None, node.repeated, children]
+    children = [k or [c.key, None, c.repeated, [[g.key, None, False, [], None] for g in c.children] if c.key.startswith("(") else [], None] for k, c in zip(inner, node.children, strict=True)] if any(inner) else []
+    return [node.key, node.text[0] if fixed else None, node.repeated, children, None]
 
 
 def placed(children: list[Node], bones: list[list]) -> Iterator[tuple[Node, list]]:
@@ -442,7 +488,7 @@ def placed(children: list[Node], bones: list[list]) -> Iterator[tuple[Node, list
 
     def member(c: Node, bone: list) -> tuple[int, list | None]:
         some = [b for b in (bone[3] if bone[0].startswith("(") else [bone]) if b[0] == c.key]
-        same = next((b for b in some if b[1] is not None and c.text is not None and b[1] == c.text[0]), None)
+        same = next((b for b in some if b[1] is not None and c.text is not None and b[1] == c.text[0] or b[4] is not None and c.whole is not None and b[4] == c.whole[0]), None)
         return (1_000_001, same) if same else (1_000_000, some[0]) if some else (0, None)
 
     n, m = len(children), len(bones)
@@ -473,6 +519,11 @@ def template_nodes(root: Node, bones: list) -> set[int]:
         node, bone = todo.pop()
         if bone[1] is not None and node.text is not None and node.text[0] == bone[1]:
             out.add(id(node))
+        if bone[4] is not None and node.whole is not None and node.whole[0] == bone[4]:
+            inner = [node]
+            while inner:
+                out.add(id(inner[-1]))
+                inner.extend(inner.pop().children)
         if bone[3]:
             todo.extend(placed(node.children, bone[3]))
     return out
@@ -492,19 +543,22 @@ def article(source: str | None, known: dict) -> str:
     if not source:
         return ""
     every = [(path, text, i) for i, (path, text) in enumerate(blocks(source)) if not any(noisy(k) for k in path)]
+    main = known.get("main", "")
+    if known.get("template"):
+        root, owners, _ = outline(source)
+        drop = template_nodes(root, known["template"])
+        # a page that is nothing but template is read whole
+        if kept := [b for b in every if id(owners[b[2]]) not in drop]:
+            every = kept
+        else:
+            main = ""
     # the host's place of the article; a page without it is read by what it has itself
-    for main in dict.fromkeys([known.get("main", ""), "article", "main", "words"]):
-        if main and (some := [b for b in every if any(holds_article(k, main) for k in b[0])]):
-            inside = True
+    for kind in dict.fromkeys([main, "article", "main", "words"]):
+        if kind and (some := [b for b in every if kind != "body" and any(holds_article(k, kind) for k in b[0])]):
             break
     else:
         # a page header is no article; without an article's element the rest of the body is
-        some, inside = [b for b in every if not any(k.split(".")[0] == "header" for k in b[0])], False
-    if some and known.get("template") and not inside:
-        root, owners, _ = outline(source)
-        drop = template_nodes(root, known["template"])
-        # a page that is nothing but template is read whole
-        some = [b for b in some if id(owners[b[2]]) not in drop] or some
+        some = [b for b in every if not any(k.split(".")[0] == "header" for k in b[0])]
     return "\n".join(t for _, t, _ in some)
 
 

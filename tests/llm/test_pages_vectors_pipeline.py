@@ -94,6 +94,23 @@ def test_template_text_is_dropped_at_its_place_only():
     assert wrappers.article(some[0], wrapper_of(some)) == "Text of article 0\nmore 0\nTitle 0"
 
 
+def test_wrapper_decides_where_the_article_is():
+    promo = "<article><h1>Join us</h1><p>Become a member</p><p>today</p></article>"
+    page = "<body>" + promo + "<div>Text {0}</div><p>more {0}</p></body>"
+    pages = [page.format(i) for i in range(6)]
+    known = wrapper_of(pages)
+    assert known["main"] == "body" and wrappers.article(pages[2], known) == "Text 2\nmore 2"
+    inner = ["<body><main>" + promo + f"<div>Text {i}</div><p>more</p></main></body>" for i in range(6)]
+    known = wrapper_of(inner)
+    assert known["main"] == "main" and wrappers.article(inner[2], known) == "Text 2\nmore"
+    # constants of the template are dropped inside an article; varying, optional and repeated text stays
+    own = [f"<body><article><h1>T</h1><p>a {i}</p><p>b</p><div>Share this</div>" + f"<h2>opt {i}</h2>" * (i % 2) + "</article></body>" for i in range(6)]
+    assert [wrappers.article(p, wrapper_of(own)) for p in own[:2]] == ["T\na 0\nb", "T\na 1\nb\nopt 1"]
+    # too few different pages: names and classes decide
+    few = wrapper_of(pages[:4] + pages[:4])
+    assert wrappers.article(pages[2], few) == "Join us\nBecome a member\ntoday"
+
+
 def test_copies_of_a_page_are_no_template():
     page = "<body><script>{}</script><div>Head</div><p>text</p><blockquote>quote</blockquote><table><tr><td>cell</td></tr></table></body>"
     copies = [page.format(i) for i in range(9)]
