@@ -9,8 +9,8 @@ that stands near an entity e,
 which is 1 when t occurs only where e does.  p counts documents of the whole
 corpus.  A pair needs ``support`` different neighbourhoods of the entity, so
 that copies of one document are no evidence.  Terms at or above ``remove`` are
-removed, those at or above ``generalise`` become their class, in the documents
-that hold the entity; documents without base spans stay as they are.
+removed, those at or above ``generalise`` become their class, wherever they stand
+in the documents that hold the entity; documents without base spans stay as they are.
 
 Only DataFrame functions run here.  Counts are partial aggregates; exact copies
 of a text are one row with a weight before anything is exploded.
@@ -85,6 +85,25 @@ def base_spans(text: Column) -> Column:
     return F.flatten(F.array(*[of(i, k, c) for i, (k, c) in enumerate(raw_spans(text).items())]))
 
 
+def outside(rows: DataFrame, text: Column, base: str, name: str) -> DataFrame:
+    """``rows`` with a column ``name``: the text with blanks for its base spans, code point by code point, so that positions stay."""
+
+    def blanked(kind: str) -> Column:
+        own = F.filter(base, lambda b: b["kind"] == kind)
+        changes = F.transform(own, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.repeat(F.lit(" "), b["end"] - b["start"]).alias("label")))
+        return F.when(F.col(name) != "", replaced(F.col(name), changes)).otherwise("")
+
+    rows = rows.withColumn(name, text)
+    for kind in KINDS:  # spans of one kind don't overlap
+        rows = rows.withColumn(name, blanked(kind))
+    return rows
+
+
+def terms_of(text: Column) -> Column:
+    """Its different terms in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
+
+
 def neighbours(text: Column) -> Column:
     """Terms among the nearest words on either side of each base span: array<struct<entity,term,start,end>>."""
 
@@ -111,7 +130,7 @@ def disclosures(docs: DataFrame, text_col: str = "text", support: int = 3, gener
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(text.alias("t"))
     near = rows.withColumn("base", base_spans(F.col("t"))).where(F.size("base") > 0)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))
+    words = terms_of(F.col("t"))
     near = near.select(F.sha2("t", 256).alias("text_key"), neighbours(F.col("t")).alias("near"), "base", words.alias("words"))
     clear = F.filter("near", lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
     near = near.select("text_key", "words", clear.alias("near"), F.array_distinct(F.transform("base", lambda b: b["entity"])).alias("entities"))
@@ -154,21 +173,28 @@ def sanitise(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     pairs, contexts = disclosures(docs, text_col, **thresholds)
-    hit = contexts.select("text_key", F.explode("near").alias("w")).select("text_key", "w.*").join(sized(pairs) if pairs.inputFiles() else pairs, ["entity", "term"])
-    # a term can disclose several entities: the stronger measure counts
-    hit = hit.groupBy("text_key", "start", "end").agg(F.min("no").alias("no"))
-    kind = F.when(F.col("no") == 4, DERIVED[0]).otherwise(DERIVED[1])
-    hit = hit.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("no", "start", "end", kind.alias("kind")))).alias("__terms"))
-    hit = sized(stored(hit, "pii-terms-by-text")).withColumnRenamed("text_key", "__key")
+    # by entity, so that no text is repeated for each of its terms; what matters of them is what it has
+    known = pairs.groupBy("entity").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(k) for k in DERIVED])
+    known = stored(known, "pii-terms-of-entities")
+    hit = contexts.select("text_key", "words", F.explode("entities").alias("entity")).join(sized(known), "entity")
+    hit = hit.groupBy("text_key").agg(*[F.array_distinct(F.flatten(F.collect_list(F.array_intersect(k, "words")))).alias(f"__{k}") for k in DERIVED])
+    hit = sized(stored(hit.where(" or ".join(f"size(__{k}) > 0" for k in DERIVED)), "pii-terms-by-text")).withColumnRenamed("text_key", "__key")
     rows = docs.withColumn("__base", base_spans(text))
     rows = rows.withColumn("__own", F.when(F.size("__base") > 0, F.sha2(text, 256)))
     rows = rows.join(hit, F.col("__own") == F.col("__key"), "left")
     plain = F.transform("__base", lambda b: F.struct(b["no"].alias("no"), b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind"))).cast(TERMS)
-    found = F.concat(plain, F.coalesce("__terms", F.expr(f"cast(array() as {TERMS})")))
+    # a term can disclose several entities: the stronger measure counts
+    kind_of = lambda w: F.when(F.array_contains(f"__{DERIVED[0]}", w), 4).when(F.array_contains(f"__{DERIVED[1]}", w), 5)
+    # every occurrence in the document, wherever its entities stand
+    rows = outside(rows, F.when(F.col("__key").isNotNull(), text).otherwise(""), "__base", "__free")
+    every = F.transform(spans(F.col("__free"), TERM), lambda w: F.struct(kind_of(F.lower(w["value"])).alias("no"), w["start"].alias("start"), w["end"].alias("end")))
+    every = F.filter(every, lambda w: w["no"].isNotNull())
+    terms = F.array_sort(F.transform(every, lambda w: F.struct(w["no"].alias("no"), w["start"].alias("start"), w["end"].alias("end"), F.when(w["no"] == 4, DERIVED[0]).otherwise(DERIVED[1]).alias("kind")))).cast(TERMS)
+    found = F.concat(plain, F.when(F.col("__key").isNotNull(), terms).otherwise(F.expr(f"cast(array() as {TERMS})")))
     rows = rows.withColumn("spans", found)
     label = lambda s: F.when(s["kind"] == DERIVED[0], "").when(s["kind"] == DERIVED[1], "<TERM>").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     changes = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label")))
-    return rows.withColumn("sanitised", F.when(F.col(f"`{text_col}`").isNotNull(), replaced(text, changes))).drop("__base", "__own", "__key", "__terms")
+    return rows.withColumn("sanitised", F.when(F.col(f"`{text_col}`").isNotNull(), replaced(text, changes))).drop("__base", "__own", "__key", "__free", *[f"__{k}" for k in DERIVED])
 
 
 def digest(sanitised: DataFrame, id_col: str = "doc_id") -> DataFrame:

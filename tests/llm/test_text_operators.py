@@ -264,6 +264,18 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(docs(spark).where("false")).count() == 0
 
 
+def test_every_occurrence_of_a_disclosing_term_goes(spark):
+    far = "and so it was in the end of that day " * 8
+    texts = [f"{a} zorblax wrote to jane@corp.example about {a}. {far} Zorblax again, {far} ZORBLAX (zorblax); zorblaxes x@zorblax.org stay" for a in ("cats", "dogs", "cows", "hens")]
+    texts += [f"{far} about {w}" for w in "abcdefghijklmnopqrstuvwxyz" * 4]
+    out = {r.doc_id: r for r in pii.sanitise(docs(spark, texts)).collect()}
+    for i in range(4):
+        assert re.findall("zorblax[a-z]*", out[i].sanitised.lower()) == ["zorblaxes"] and far in out[i].sanitised
+        want = [m.span() for m in re.finditer(r"(?i)(?<!@)\bzorblax\b", texts[i])]
+        assert [(s.start, s.end) for s in out[i].spans if s.kind == "remove" and texts[i][s.start : s.end].lower() == "zorblax"] == want and len(want) == 4
+    assert all(out[i].sanitised == texts[i] for i in range(4, 108))
+
+
 # ---- decontamination
 
 
