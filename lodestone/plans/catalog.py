@@ -435,9 +435,9 @@ def line_parser(spark, sf):
 
 @query(f"WITH {ATOMS} SELECT chain, count(*) AS n, round(sum(round(x, 3)), 3) AS sx, round(sum(round(y, 3)), 3) AS sy, round(sum(round(z, 3)), 3) AS sz FROM atoms WHERE ord < 9000 GROUP BY chain")
 def pdb_roundtrip(spark, sf):
-    rows = atoms(spark, sf).where("ord < 9000")
-    # lines as a writer would give them, read back by the parser
-    line = F.format_string("HETATM%5d  DU  %3s %1s%4d    %8.3f%8.3f%8.3f  1.00  0.00          DU", F.col("ord"), F.lit("DU"), F.lit("Z"), F.col("ord"), F.round("x", 3), F.round("y", 3), F.round("z", 3))
+    rows = atoms(spark, sf)
+    # lines as a writer would give them, read back by the parser; serial and residue numbers wrap at their columns' width
+    line = F.format_string("HETATM%5d  DU  %3s %1s%4d    %8.3f%8.3f%8.3f  1.00  0.00          DU", F.col("ord") % 100_000, F.lit("DU"), F.lit("Z"), F.col("ord") % 10_000, F.round("x", 3), F.round("y", 3), F.round("z", 3))
     lines = rows.select(F.col("chain").alias("pdb_id"), F.col("ord").cast("int").alias("line_no"), line.alias("value"))
     back = pdb.anchors(pdb.atoms(lines))
     return back.groupBy(F.col("pdb_id").alias("chain")).agg(F.count("*").alias("n"), *[F.round(F.sum(c), 3).alias(f"s{c[1]}") for c in ("ax", "ay", "az")])

@@ -234,3 +234,14 @@ def test_beam_expansions(spark):
     frags = spark.createDataFrame([(n,) for n in "abcd"], "name string")
     out = beam.expansions(states, frags, ["g", "state"], 2, 3, 11)
     assert out.count() == 6 and sorted(map(tuple, out.collect())) == sorted(map(tuple, beam.expansions(states, frags, ["g", "state"], 2, 3, 11).collect()))
+
+
+def test_every_atom_makes_the_round_trip(spark, tmp_path):
+    from lodestone.plans import catalog
+
+    rows = [(i, [i % 7 / 8, -0.5, 0.25], i % 2) for i in (0, 1, 8_999, 9_000, 10_001, 99_999, 100_000, 1_234_567)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.chain: (r.n, r.sx, r.sy, r.sz) for r in catalog.pdb_roundtrip(spark, str(tmp_path)).collect()}
+    for chain in (0, 1):
+        own = [v for i, v, c in rows if c == chain]
+        assert got[chain] == (len(own), *[round(sum(round(v[k] * 10, 3) for v in own), 3) for k in range(3)])
