@@ -40,18 +40,27 @@ def running(lengths: Column) -> Column:
     )
 
 
-def spans(text: Column, pattern: str, context: int = 0) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start,end,value,before,after>>.
+def spans(text: Column, pattern: str, context: int = 0, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Leftmost non-overlapping matches (those whose value passes ``keep``) as array<struct<start,end,value,before,after>>.
 
-    ``before`` and ``after`` hold up to ``context`` code points between this match
-    and its neighbours.  No match, or null text: an empty array.
+    ``before`` and ``after`` hold the ``context`` code points beside the match, other
+    matches included (they have two code points at least).  No match, or null text: an empty array.
     """
     none = F.expr(f"cast(array() as {SPAN})")
 
     def build(found: Column, gaps: Column) -> Column:
         lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-        ends = let(lengths, running)
-        cut = (lambda g, at: F.substring(g, at, context)) if context else (lambda g, at: F.lit(""))
+        # pieces that reach over the context whatever they hold
+        reach = context // 2 + 1
+
+        def before(i: Column) -> Column:
+            first = F.greatest(i - reach, F.lit(0)).cast("int")
+            parts = F.zip_with(F.slice(gaps, first + 1, (i - first + 1).cast("int")), F.slice(found, first + 1, (i - first).cast("int")), lambda g, m: F.concat(F.substring(g, -context, context), F.coalesce(F.substring(m, -context, context), F.lit(""))))
+            return F.substring(F.array_join(parts, ""), -context, context)
+
+        def after(i: Column) -> Column:
+            parts = F.zip_with(F.slice(gaps, (i + 2).cast("int"), F.lit(reach + 1)), F.slice(found, (i + 2).cast("int"), F.lit(reach)), lambda g, m: F.concat(F.coalesce(F.substring(g, 1, context), F.lit("")), F.coalesce(F.substring(m, 1, context), F.lit(""))))
+            return F.substring(F.array_join(parts, ""), 1, context)
 
         def one(end: Column, i: Column) -> Column:
             value = F.get(found, i)
@@ -59,11 +68,14 @@ def spans(text: Column, pattern: str, context: int = 0) -> Column:
                 (end - F.length(value)).cast("int").alias("start"),
                 end.cast("int").alias("end"),
                 value.alias("value"),
-                cut(F.get(gaps, i), -context).alias("before"),
-                cut(F.get(gaps, i + 1), 1).alias("after"),
+                (before(i) if context else F.lit("")).alias("before"),
+                (after(i) if context else F.lit("")).alias("after"),
             )
 
-        return F.transform(ends, one)
+        if keep is None:
+            return F.transform(let(lengths, running), one)
+        passing = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: keep(F.get(found, i)))
+        return let(let(lengths, running), lambda ends: F.transform(passing, lambda i: one(F.get(ends, i), i)))
 
     return let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),

@@ -2,13 +2,15 @@
 
 Base spans (e-mail, IP, card, phone) are the protected entities.  Corpus
 co-occurrence then tells how strongly other terms reveal them.  For a term t
-that stands near an entity e,
+of the documents that hold an entity e,
 
     disclosure(t, e) = PMI(t; e) / IC(e),   IC(e) = -log2 p(e)
 
 which is 1 when t occurs only where e does.  p counts documents of the whole
-corpus.  A pair needs ``support`` different neighbourhoods of the entity, so
-that copies of one document are no evidence.  Terms at or above ``remove`` are
+corpus, and so does t stand with e: anywhere in the same document, outside base
+spans.  A pair needs ``support`` different neighbourhoods of the entity (the terms
+among the NEAR_WORDS words within ROOM code points on either side, evidence only),
+so that copies of one document are no evidence.  Terms at or above ``remove`` are
 removed, those at or above ``generalise`` become their class, wherever they stand
 in the documents that hold the entity; documents without base spans stay as they are.
 
@@ -70,7 +72,7 @@ def raw_spans(text: Column) -> dict[str, Column]:
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string,after:string>>)")
 
     def passing(kind: str) -> Column:
-        return F.filter(spans(text, BASE[kind], ROOM), lambda s: passes(kind, s["value"]))
+        return spans(text, BASE[kind], ROOM, lambda v: passes(kind, v))
 
     return {k: F.when(needs[k], passing(k)).otherwise(none) for k in BASE}
 
@@ -130,16 +132,21 @@ def disclosures(docs: DataFrame, text_col: str = "text", support: int = 3, gener
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(text.alias("t"))
     near = rows.withColumn("base", base_spans(F.col("t"))).where(F.size("base") > 0)
+    near = outside(near, F.col("t"), "base", "free")
     words = terms_of(F.col("t"))
-    near = near.select(F.sha2("t", 256).alias("text_key"), neighbours(F.col("t")).alias("near"), "base", words.alias("words"))
+    near = near.select(F.sha2("t", 256).alias("text_key"), neighbours(F.col("t")).alias("near"), "base", words.alias("words"), terms_of(F.col("free")).alias("own"))
     clear = F.filter("near", lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
-    near = near.select("text_key", "words", clear.alias("near"), F.array_distinct(F.transform("base", lambda b: b["entity"])).alias("entities"))
-    contexts = stored(near.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("near").alias("near"), F.first("words").alias("words"), F.first("entities").alias("entities")), "pii-contexts")
-    by_entity = contexts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    one = contexts.select("copies", "near", F.explode("entities").alias("entity"))
-    terms = F.array_sort(F.array_distinct(F.transform(F.filter("near", lambda w: w["entity"] == F.col("entity")), lambda w: w["term"])))
-    one = one.select("copies", "entity", terms.alias("terms"))
-    one = one.select("copies", "entity", F.xxhash64("terms").alias("around"), F.explode("terms").alias("term"))
+    near = near.select("text_key", "words", "own", clear.alias("near"), F.array_distinct(F.transform("base", lambda b: b["entity"])).alias("entities"))
+    contexts = stored(near.groupBy("text_key").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("near", "words", "own", "entities")]), "pii-contexts")
+    one = contexts.select("text_key", "copies", "near", F.explode("entities").alias("entity"))
+    around = F.xxhash64(F.array_sort(F.array_distinct(F.transform(F.filter("near", lambda w: w["entity"] == F.col("entity")), lambda w: w["term"]))))
+    one = stored(one.select("text_key", "copies", "entity", around.alias("around")), "pii-neighbourhoods")
+    by_around = one.groupBy("entity", "around").agg(F.sum("copies").alias("copies"))
+    # an entity with fewer neighbourhoods than a pair needs has no pair
+    by_entity = stored(by_around.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n_around")).where(F.col("n_around") >= support).drop("n_around"), "pii-entities")
+    # candidates are all terms of the documents that hold the entity, outside its spans
+    one = one.join(sized(by_entity.select("entity")), "entity", "left_semi")
+    one = one.join(contexts.select("text_key", "own"), "text_key").select("copies", "entity", "around", F.explode("own").alias("term"))
     # first by neighbourhood, so that the exact count of them is a plain count
     both = one.groupBy("entity", "term", "around").agg(F.sum("copies").alias("copies")).groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_around"))
     # A term occurs in at least as many documents as hold an entity and it.  From there on its
@@ -153,8 +160,8 @@ def disclosures(docs: DataFrame, text_col: str = "text", support: int = 3, gener
     schema = "entity string, term string, kind string, no int, disclosure double"
     if not pairs.limit(1).count():
         return docs.sparkSession.createDataFrame([], schema), contexts
-    wanted = stored(pairs.select("term").distinct(), "pii-terms")
-    counts = rows.select(F.explode(words).alias("term")).join(sized(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    # counted before they meet the pairs, so that tasks add up a common word first (a semi join would be moved below the count)
+    counts = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     information = F.log2(F.lit(n) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
     scored = pairs.join(counts, "term").where(F.col("n_entity") < n).withColumn("disclosure", pmi / information)

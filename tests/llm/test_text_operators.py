@@ -267,7 +267,7 @@ def test_disclosing_terms(spark):
 def test_every_occurrence_of_a_disclosing_term_goes(spark):
     far = "and so it was in the end of that day " * 8
     texts = [f"{a} zorblax wrote to jane@corp.example about {a}. {far} Zorblax again, {far} ZORBLAX (zorblax); zorblaxes x@zorblax.org stay" for a in ("cats", "dogs", "cows", "hens")]
-    texts += [f"{far} about {w}" for w in "abcdefghijklmnopqrstuvwxyz" * 4]
+    texts += [f"{far} about {w} zorblaxes" for w in "abcdefghijklmnopqrstuvwxyz" * 4]
     out = {r.doc_id: r for r in pii.sanitise(docs(spark, texts)).collect()}
     for i in range(4):
         assert re.findall("zorblax[a-z]*", out[i].sanitised.lower()) == ["zorblaxes"] and far in out[i].sanitised
@@ -276,6 +276,33 @@ def test_every_occurrence_of_a_disclosing_term_goes(spark):
     assert all(out[i].sanitised == texts[i] for i in range(4, 108))
 
 
+def test_terms_far_from_the_entity_disclose_it(spark):
+    far = "and so it was in the end of that day " * 8
+    texts = [f"{a} {b} wrote in 1999 and 2001 from jane@corp.example in 12 or {c} 2003. {far} Signed zorblax" for a, b, c in [("cats", "red", "up"), ("dogs", "blue", "down"), ("cows", "green", "left"), ("hens", "grey", "right")]]
+    # numbers beside a card are failing matches of its kind and cut no neighbourhood
+    texts += [f"{a} paid in 1999 or 12 by 4111 1111 1111 1111 in 2004. {far} Signed quuxil" for a in ("peter", "paula", "petra", "pablo")]
+    texts += [f"{far} wrote paid by from Signed {w}" for w in "abcdefghijklmnopqrstuvwxyz" * 4]
+    out = {r.doc_id: r for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert all("zorblax" not in out[i].sanitised and far in out[i].sanitised for i in range(4))
+    assert all("quuxil" not in out[i].sanitised and far in out[i].sanitised for i in range(4, 8))
+    assert all(out[i].sanitised == texts[i] for i in range(8, 112))
+    few = pii.sanitise(docs(spark, texts[:2] + [texts[0]] * 9 + texts[8:])).where("doc_id = 0").first()
+    assert "zorblax" in few.sanitised
+
+
+def test_context_of_spans_is_plain(spark):
+    from lodestone.llm import native
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("a1 é5😀7") for _ in range(rng.randrange(0, 60))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for keep, plain in ((None, lambda v: True), (lambda v: F.length(v) > 2, lambda v: len(v) > 2)):
+        for r in df.select("i", native.spans(F.col("t"), r"[0-9]{2,}+", 6, keep).alias("s")).collect():
+            t = texts[r.i]
+            want = [(m.start(), m.end(), m[0], t[max(0, m.start() - 6) : m.start()], t[m.end() : m.end() + 6]) for m in re.finditer("[0-9]{2,}", t) if plain(m[0])]
+            assert [tuple(x) for x in r.s] == want
+
+
 # ---- decontamination
 
 
