@@ -55,4 +55,29 @@ o AS (SELECT r, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access')
  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans FROM q GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (r)"""
 
-ORACLES: dict[str, str] = {"op4_neardup": NEAR, "op6_decontaminate": HITS, "op9_topk": TOP, "op10_ledger": LEDGER}
+
+
+def _remainder(i: int) -> int:
+    for _ in range(8):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT)),
+ lambda c, b: xor(c >> 8, {[_remainder(i) for i in range(256)]}[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"""
+
+
+def _draw(*parts: str) -> str:
+    text = " || chr(0) || ".join(f"coalesce({p}::VARCHAR, chr(0))" for p in parts)
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+SHARDS = f"""WITH d AS (SELECT doc_id, source, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, {CRC} AS crc FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, crc) AS copy FROM d),
+h AS (SELECT *, coalesce(source, chr(0)) AS stratum, {_draw("17", "doc_id", "source", "size", "crc", "copy")} AS hash FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY hash, doc_id NULLS FIRST, size, crc, copy) AS rank, count(*) OVER (PARTITION BY stratum) AS rows FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY (rank - 1 + {_draw("18", "stratum")}::DOUBLE / 2.0::DOUBLE ** 60)::DOUBLE / rows, stratum, rank) - 1 AS position, count(*) OVER () AS n FROM k),
+s AS (SELECT *, position * 16 // n AS shard FROM p)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INT AS shard, (position - (shard * n + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard, source, rank::BIGINT AS stratum_rank FROM s"""
+
+ORACLES: dict[str, str] = {"op4_neardup": NEAR, "op6_decontaminate": HITS, "op7_interleave": SHARDS, "op9_topk": TOP, "op10_ledger": LEDGER}

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, with awkward rows."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -373,24 +374,47 @@ def test_shards_match_the_mixture(spark, sf_dir):
     assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in got)
 
 
-def test_interleaving_is_brute_force(spark):
-    rows = docs(spark, ODD * 4, extra=False).select("doc_id", "source").unionByName(docs(spark, ODD, extra=False).select("doc_id", "source"))
-    out = sharding.interleave(rows, "source", bucket_rows=8).collect()
-    assert len(out) == 5 * len(ODD)
-    by = {}
-    for r in out:
-        by.setdefault(r.source, []).append(r)
-    assert all(sorted(r.stratum_rank for r in v) == list(range(1, len(v) + 1)) for v in by.values())
-    ordered = sorted(out, key=lambda r: r.position)
-    assert [r.position for r in ordered] == list(range(len(out)))
-    # within the order, each stratum's ranks rise, and its share of any prefix is its share of all rows
-    for s, v in by.items():
-        assert [r.stratum_rank for r in ordered if r.source == s] == list(range(1, len(v) + 1))
-        for i in range(len(out)):
-            assert abs(sum(r.source == s for r in ordered[: i + 1]) - (i + 1) * len(v) / len(out)) <= 2
+def plain_draw(*parts):
+    text = "\0".join("\0" if p is None else str(p) for p in parts)
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def plain_order(rows, seed=17):
+    """[(row, rank in its stratum)] in interleaved order; rows are (doc_id, source)."""
+    strata, seen = {}, Counter()
+    for row in rows:
+        seen[row] += 1
+        strata.setdefault(row[1], []).append((plain_draw(seed, *row, seen[row]), row))
+    placed = []
+    for s, own in strata.items():
+        name = "\0" if s is None else s
+        start = plain_draw(seed + 1, name) / 2.0**60
+        for rank, (_, row) in enumerate(sorted(own, key=lambda x: x[0]), 1):
+            placed.append(((rank - 1 + start) / len(own), name, rank, row))
+    return [(row, rank) for _, _, rank, row in sorted(placed, key=lambda x: x[:3])]
+
+
+def test_interleaving_is_brute_force(spark, monkeypatch):
+    base = docs(spark, ODD * 4, extra=False).select("doc_id", "source")
+    rows = base.unionByName(base.where("doc_id < 20")).unionByName(spark.createDataFrame([(None, None), (None, "s1")] * 3, "doc_id long, source string"))
+    want = plain_order([tuple(r) for r in rows.collect()])
+    # copies of one row are spread over several runs, and names of results give way
+    for copies, some in ((1 << 16, rows), (1, rows.withColumns({c: F.lit(9) for c in sharding.RESULTS}))):
+        monkeypatch.setattr(sharding, "COPIES", copies)
+        out = sorted(sharding.interleave(some, "source", bucket_rows=8).collect(), key=lambda r: r.position)
+        assert out[0].asDict().keys() == {"doc_id", "source", "stratum_rank", "position"}
+        assert [r.position for r in out] == list(range(len(want)))
+        assert [((r.doc_id, r.source), r.stratum_rank) for r in out] == want
+    got = sorted(sharding.shard(rows.withColumn("slot", F.lit("x")), "source").collect(), key=lambda r: r.position)
+    n = len(want)
+    assert [(r.shard, r.slot) for r in got] == [(i * 16 // n, i - -(-(i * 16 // n) * n // 16)) for i in range(n)]
     assert sharding.shard(rows.where("false"), "source").count() == 0
     one = spark.createDataFrame([(i, f"s{i}") for i in range(64)], "doc_id long, source string")
     assert set(Counter(r.shard for r in sharding.shard(one, "source").collect()).values()) == {4}
+    same = sharding.shard(spark.createDataFrame([(1, "a")] * 50, "doc_id long, source string"), "source")
+    check_shards(same.collect())
+    with pytest.raises(ValueError):
+        sharding.interleave(one.withColumnRenamed("source", "slot"), "slot")
 
 
 # ---- secrets
