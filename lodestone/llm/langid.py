@@ -5,9 +5,13 @@ probability is the sum over all its segmentations into pieces, by the forward
 algorithm; expectation-maximisation (forward-backward) fits the piece
 probabilities.  No piece reaches over a word's start, so a text's likelihood is
 the product of its words', and each distinct word of a slice is scored once.
+A run of more than LONGEST letters counts as words of that length, in fitting and
+in scoring alike.
 
-Fitting uses a bounded sample of labelled rows: about ``max_docs`` of each
-language, chosen by a hash.  Scoring covers whole texts.
+Fitting uses a bounded sample of labelled rows: about ``max_docs`` different texts
+of each language, chosen by a hash; all their words take part.  Tasks add up the
+expected uses of pieces, so the driver holds the model only, never words.  Scoring
+covers whole texts.
 """
 
 from __future__ import annotations
@@ -21,12 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices, split_runs, with_text
+from .common import release, slices, split_runs, stored, with_text
 
 SPACE = "▁"
 NO_LETTERS = r"\PL+"
-#: Letters of a word scored together; a longer run of letters is scored in parts.
+#: Letters of a word; a longer run of letters is several words.
 LONGEST = 40
+#: Words whose lattice is held at once; their lengths are alike.
+LATTICE = 4096
+#: Expected uses are added up as whole numbers of this part, so that sums don't depend on their order.
+PART = 1 << 16
 #: Keeps sums over segmentations within the range of a double: every character counts so many times its probability.
 LIFT = 32.0
 #: Words whose scores a worker keeps.
@@ -102,33 +110,76 @@ class Lattice:
         z = self.forward(p)[np.arange(self.n), self.lengths]
         return np.log(np.maximum(z, 1e-300)) - self.lengths * np.log(LIFT)
 
-    def expected(self, p: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-        """Expected uses of each piece, words weighted by ``counts``."""
+    def expected(self, p: np.ndarray, counts: np.ndarray, size: int, whole: int = 0) -> np.ndarray:
+        """Expected uses of each piece, words weighted by ``counts``; with ``whole``, in whole parts of which so many make one."""
         alpha, beta = self.forward(p), self.backward(p)
         z = np.maximum(alpha[np.arange(self.n), self.lengths], 1e-300)
         use = counts[self.word] * alpha[self.word, self.start] * p[self.piece] * beta[self.word, self.end] / z[self.word]
-        return np.bincount(self.piece, weights=use, minlength=size)
+        return np.bincount(self.piece, weights=np.rint(use * whole) if whole else use, minlength=size)
+
+    def matched(self, counts: np.ndarray, size: int) -> np.ndarray:
+        """Matches of each piece, words weighted by ``counts``."""
+        return np.bincount(self.piece, weights=counts[self.word], minlength=size)
+
+
+def chunks(some: list[str]) -> Iterator[list[int]]:
+    """Places of words of like length, LATTICE at a time."""
+    by_length = sorted(range(len(some)), key=lambda i: len(some[i]))
+    for a in range(0, len(by_length), LATTICE):
+        yield by_length[a : a + LATTICE]
+
+
+def user(pieces: list[str], p):
+    """mapInArrow: (lang, word, n) to (lang, piece, uses): matches of each piece if ``p`` is none, else expected uses under p[lang]."""
+
+    def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, matches, known = len(pieces) + 1, automaton(pieces), None if p is None else p.value
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), object)
+            words_, n = batch.column(1), batch.column(2).to_numpy().astype(float)
+            for name in sorted(set(langs)):
+                own = np.flatnonzero(langs == name)
+                some = words_.take(pa.array(own)).to_pylist()
+                uses = total.setdefault(name, np.zeros(size))
+                for chunk in chunks(some):
+                    lattice = Lattice([some[i] for i in chunk], matches, size - 1)
+                    uses += lattice.matched(n[own[chunk]], size) * PART if known is None else lattice.expected(known[name], n[own[chunk]], size, PART)
+        for name, uses in total.items():
+            at = np.flatnonzero(uses)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "piece": pa.array(at, pa.int32()), "uses": pa.array(uses[at].astype(np.int64))})
+        release()
+
+    return use
+
 
+def fit(counts: DataFrame, pieces: list[str], rounds: int = 3, backing: float = 2000.0) -> dict:
+    """{langs, pieces, p}: p[language, piece], the last column for a character that is no piece; ``counts``: (lang, word, n).
 
-def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 3, backing: float = 2000.0) -> dict:
-    """{langs, pieces, p}: p[language, piece], the last column for a character that is no piece."""
-    langs = sorted(counts)
+    What comes to the driver has at most one row for each language and piece."""
+    spark = counts.sparkSession
     size = len(pieces) + 1
     lift = np.array([LIFT ** len(x) for x in pieces] + [LIFT])
-    words = sorted({w for c in counts.values() for w in c})
-    lattice = Lattice(words, automaton(pieces), size - 1)
-    tables = np.array([[counts[k].get(w, 0) for w in words] for k in langs], float).reshape(len(langs), len(words))
-    # first: every match of a piece counts
-    uses = np.array([np.bincount(lattice.piece, weights=t[lattice.word], minlength=size) for t in tables]).reshape(len(langs), size)
     flat = np.full(size, 1.0 / size)
 
+    def uses(p) -> tuple[list[str], np.ndarray]:
+        got = counts.mapInArrow(user(pieces, p), "lang string, piece int, uses long").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toArrow()
+        names = sorted(set(got.column("lang").to_pylist()))
+        out = np.zeros((len(names), size))
+        row = {k: i for i, k in enumerate(names)}
+        out[[row[k] for k in got.column("lang").to_pylist()], got.column("piece").to_numpy()] = got.column("uses").to_numpy() / PART
+        return names, out
+
     def normal(u: np.ndarray) -> np.ndarray:
         shared = (u.sum(axis=0) + flat * 10) / (u.sum() + 10)
         return (u + backing * (0.5 * shared + 0.5 * flat)) / (u.sum(axis=1, keepdims=True) + backing)
 
-    p = normal(uses)
-    for _ in range(rounds):
-        p = normal(np.array([lattice.expected(q * lift, t, size) for q, t in zip(p, tables, strict=True)]))
+    langs, u = uses(None)
+    p = normal(u)
+    for _ in range(rounds if langs else 0):
+        shared = spark.sparkContext.broadcast(dict(zip(langs, p * lift, strict=True)))
+        p = normal(uses(shared)[1])
+        shared.unpersist()
     return {"langs": langs, "pieces": pieces, "p": p * lift}
 
 
@@ -137,46 +188,42 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return split_runs(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), NO_LETTERS)
 
 
+def parts(word: str) -> list[str]:
+    return [word[j : j + LONGEST] for j in range(0, len(word), LONGEST)]
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         lang = np.array(batch.column(0).to_pylist(), object)
         flat, counts = words(batch.column(1))
         coded = flat.dictionary_encode()
         index, owner = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(counts)), counts)
+        long = pc.greater(pc.utf8_length(coded.dictionary), LONGEST).to_numpy(zero_copy_only=False)
         for name in sorted(set(lang)):
             n = np.bincount(index[(lang == name)[owner]], minlength=len(coded.dictionary))
-            used = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(used), pa.string()), "word": coded.dictionary.take(pa.array(used)).cast(pa.string()), "n": pa.array(n[used], pa.int64())})
+            used = np.flatnonzero((n > 0) & ~long)
+            cut = [(x, n[i]) for i in np.flatnonzero((n > 0) & long).tolist() for x in parts(coded.dictionary[i].as_py())]
+            word = pa.concat_arrays([coded.dictionary.take(pa.array(used)).cast(pa.string()), pa.array([w for w, _ in cut], pa.string())])
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(word), pa.string()), "word": word, "n": pa.array([*n[used].tolist(), *[int(k) for _, k in cut]], pa.int64())})
 
 
-def train(labelled: DataFrame, model_path: str, *, lang_col: str = "lang", text_col: str = "text", max_docs: int = 1500, max_words: int = 10_000, seed: int = 5) -> dict:
-    """A model from rows with a language: about ``max_docs`` documents of each, its ``max_words`` commonest words (ties by the word).
+def train(labelled: DataFrame, model_path: str, *, lang_col: str = "lang", text_col: str = "text", max_docs: int = 1500, seed: int = 5) -> dict:
+    """A model from rows with a language: about ``max_docs`` different texts of each, all their words.
 
     Rows with null text or language take no part.  Without any, the model knows no language.
+    Copies of one text are one text, so that a large group of them neither swamps nor misses the sample.
     """
     rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashed = F.xxhash64(F.lit(seed), "text")
+    # one row for each language; a sketch, as the bound is about so many
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(hashed).alias("n")).collect()}
     if not sizes:
         return {"langs": [], "pieces": [], "p": np.zeros((0, 1))}
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, max_docs / n)))])[F.col("lang")]
-    draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) / float(1 << 30)
-    # copies of one text are one text, so that a large group of them neither swamps nor misses the sample
-    sample = rows.where(draw < share)
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, max_docs / max(n, 1))))])[F.col("lang")]
+    draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.where(draw < share).dropDuplicates(["lang", "text"])
     got = sample.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # bounded by the sample; columns, not row objects
-    found = got.where(F.length("word") <= LONGEST).toArrow()
-    langs, every, n = (found.column(c).to_numpy() for c in ("lang", "word", "n"))
-    counts = {}
-    for k in sizes:
-        own = np.flatnonzero(langs == k)
-        own = own[np.argsort(-n[own], kind="stable")]
-        if len(own) > max_words:
-            least = n[own[max_words - 1]]
-            tied = sorted(own[n[own] == least].tolist(), key=lambda i: every[i])
-            own = np.concatenate([own[n[own] > least], tied])[:max_words]
-        counts[k] = {every[i]: int(n[i]) for i in own.tolist()}
-    del found, langs, every, n
-    return fit(counts, vocabulary(model_path))
+    return fit(stored(got, "language-words"), vocabulary(model_path))
 
 
 class Scorer:
@@ -188,16 +235,14 @@ class Scorer:
         self.rows = np.zeros((0, len(model["langs"])))
 
     def fresh(self, some: list[str]) -> np.ndarray:
-        parts, owner = [], []
+        cut, owner = [], []
         for i, w in enumerate(some):
-            for j in range(0, len(w), LONGEST):
-                parts.append(w[j : j + LONGEST])
-                owner.append(i)
+            own = parts(w)
+            cut.extend(own)
+            owner.extend([i] * len(own))
         out = np.zeros((len(some), len(self.p)))
-        by_length = sorted(range(len(parts)), key=lambda i: len(parts[i]))
-        for a in range(0, len(parts), 4096):
-            chunk = by_length[a : a + 4096]
-            lattice = Lattice([parts[i] for i in chunk], self.matches, self.p.shape[1] - 1)
+        for chunk in chunks(cut):
+            lattice = Lattice([cut[i] for i in chunk], self.matches, self.p.shape[1] - 1)
             for k, p in enumerate(self.p):
                 np.add.at(out[:, k], [owner[i] for i in chunk], lattice.log_likelihood(p))
         return out
@@ -253,8 +298,9 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", into: tuple[s
     """``docs`` (columns ``keep``, by default all) with a prediction and its score, the posterior of that language among the learned ones at equal priors.
 
     Text that is null or has no letter: ``und``, score 0; so is every text if no
-    language was learned.  Ties: the first by name.  Input columns with the names
-    of ``into`` give way.
+    language was learned.  Ties: the first by name.  Equal texts get the same result,
+    however long they are; repeated rows each get a row; an empty table gives an
+    empty table.  Input columns with the names of ``into`` give way.
     """
     rows, name = with_text(docs, text_col, keep, into)
     schema = rows.drop("__text").schema.add(into[0], "string").add(into[1], "double")
