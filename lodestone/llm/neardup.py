@@ -287,7 +287,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_links: other rows at least so similar to this one (equal sets included);
     n_copies: rows with the same set of shingles, this one included; n_set_links: different
     sets at least so similar.  A text of fewer than ``width`` words is one shingle; a text
-    without words (null too) is a class of its own with no links.  Ids may be null or repeated.
+    without words (null too) is a class of its own with no links.  Ids may be null or repeated,
+    and repeated rows each get a row; texts are read whole, however long; an empty table gives an
+    empty table; other columns of ``docs``, whatever their names, play no part.
     """
     text = F.col(f"`{text_col}`").cast("string")
     # the least id wins; a null id is no id
@@ -304,7 +306,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
     members = nodes.join(full, "node").join(reps.select("set_key", "sig"), "set_key")
     members = blocked(members, F.ceil(F.col("members") / NODE_BLOCK), "set_key").select("node", "i", "j", "tree", "set_key", "sig")
-    members = members.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+    # by key within a node, so that its ties lead to its least set, the same one in most tries
+    members = members.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "set_key")
     # four and a half standard errors of the estimate below the threshold
     floor = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
     found = components(members.mapInArrow(tier(depth, floor), "a binary, b binary"))

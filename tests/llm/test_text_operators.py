@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, langid, neardup, pii, secrets, sentencepieces, sharding, tokencount
 from lodestone.llm import queries as Q
+from lodestone.llm.components import components
 
 
 def table(sf_dir, name):
@@ -141,6 +142,37 @@ def test_language_of_odd_rows(spark):
 # ---- near duplicates
 
 
+def plain_components(edges):
+    up = {}
+
+    def root(k):
+        while up.setdefault(k, k) != k:
+            k = up[k]
+        return k
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {(k, root(k)) for k in up if root(k) != k}
+
+
+def test_components_are_brute_force(spark):
+    rng = random.Random(2)
+    chain = rng.sample(range(60), 60)
+    cases = [
+        [],
+        [(3, 3)],
+        [(0, i) for i in range(1, 300)],
+        [(1000, i) for i in range(300)],
+        list(zip(chain, chain[1:], strict=False)),
+        [(rng.randrange(500), rng.randrange(500)) for _ in range(300)],
+        [(rng.randrange(30) * 100, rng.randrange(3000)) for _ in range(2000)],
+    ]
+    for edges in cases:
+        got = components(spark.createDataFrame(edges, "a int, b int")).collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == plain_components(edges)
+
+
 def plain_near(rows, t=Fraction(4, 5)):
     sets = {}
     for k, text in rows:
