@@ -41,6 +41,50 @@ def dockable(atoms: Column) -> Column:
     return F.forall(atoms, lambda a: a["elem"].isin(DOCKABLE))
 
 
+def incompatible(atoms: Column, charges: Column | None = None) -> Column:
+    """Why a molecule can't be docked, null if it can: an element that isn't supported, or a charge (array of doubles) that is missing or not finite."""
+    bad = F.get(F.filter(atoms, lambda a: ~a["elem"].isin(DOCKABLE)), 0)
+    why = F.when(bad.isNotNull(), F.concat(F.lit("unsupported element "), bad["elem"]))
+    if charges is None:
+        return why
+    wrong = F.array_position(F.transform(charges, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))), True)
+    return why.when(wrong > 0, F.concat(F.lit("non-finite charge on atom "), (wrong - 1).cast("string")))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def fragment_labels(n_atoms: pd.Series, bonds: pd.Series) -> pd.Series:
+    """For each atom the place (from 0) of the first atom that it is bonded to, directly or not."""
+
+    def one(n: int, pairs) -> list[int]:
+        up = list(range(n))
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for b in pairs if pairs is not None else []:
+            i, j = root(b["a"] - 1), root(b["b"] - 1)
+            up[max(i, j)] = min(i, j)
+        return [root(i) for i in range(n)]
+
+    return pd.Series([one(int(n), p) for n, p in zip(n_atoms, bonds, strict=True)])
+
+
+def largest_fragment(df: DataFrame, atoms: str = "atoms", bonds: str = "bonds") -> DataFrame:
+    """With the atoms and bonds of the fragment that has most heavy atoms, then most atoms, then stands first; bonds are renumbered."""
+    rows = df.withColumn("__of", fragment_labels(F.size(atoms), F.col(bonds)))
+    size = lambda of: F.size(F.filter("__of", lambda x: x == of))
+    heavy = lambda of: F.size(F.filter(F.arrays_zip(F.col(atoms).alias("a"), F.col("__of").alias("o")), lambda z: (z["o"] == of) & (z["a"]["elem"] != "H")))
+    order = F.transform(F.array_distinct("__of"), lambda of: F.struct((-heavy(of)).alias("h"), (-size(of)).alias("n"), of.alias("of")))
+    rows = rows.withColumn("__best", F.array_min(order)["of"])
+    own = F.filter(F.sequence(F.lit(0), F.size(atoms) - 1), lambda i: F.get("__of", i) == F.col("__best"))
+    rows = rows.withColumn("__own", F.when(F.size(atoms) > 0, own).otherwise(F.expr("cast(array() as array<int>)")))
+    number = lambda i: F.array_position("__own", i - 1).cast("int")
+    kept = F.filter(F.transform(bonds, lambda b: F.struct(number(b["a"]).alias("a"), number(b["b"]).alias("b"), b["order"].alias("order"))), lambda b: b["a"] > 0)
+    return rows.withColumns({bonds: kept, atoms: F.transform("__own", lambda i: F.get(atoms, i))}).drop("__of", "__best", "__own")
+
+
 def lipinski(mw: Column, logp: Column, hbd: Column, hba: Column) -> Column:
     return (mw <= 500) & (logp <= 5) & (hbd <= 5) & (hba <= 10)
 
@@ -53,6 +97,11 @@ def lead_like(mw: Column, logp: Column, rotatable: Column) -> Column:
     return (mw <= 350) & (logp <= 3.5) & (rotatable <= 7)
 
 
+def canonical_key(smiles: Column) -> Column:
+    """The key of a SMILES without a toolkit: its trimmed text, blank for null."""
+    return F.trim(F.coalesce(smiles, F.lit("")))
+
+
 class Port:
     """A chemistry toolkit behind vectorised functions.
 
@@ -84,7 +133,7 @@ class Port:
         """A canonical key; without a toolkit the trimmed text."""
         if "canonical" in self.kernels:
             return self.apply(df, "canonical", source, T.StructType([T.StructField(into, T.StringType())]))
-        return df.withColumn(into, F.trim(F.coalesce(F.col(source), F.lit(""))))
+        return df.withColumn(into, canonical_key(F.col(source)))
 
 
 PORT = Port()

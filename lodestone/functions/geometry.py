@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def centroid(points: Column) -> Column:
 def plane_normal(points: Column) -> Column:
     """The unit normal of the plane through the first point and the first pair of others not in line with it; null if there is none."""
     first = F.get(points, 0)
-    arms = F.transform(F.slice(points, 2, 10_000), lambda p: F.zip_with(p, first, lambda a, b: a - b))
+    arms = F.transform(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), lambda p: F.zip_with(p, first, lambda a, b: a - b))
     normals = F.flatten(F.transform(arms, lambda a, i: F.transform(F.filter(arms, lambda b, j: j > i), lambda b: unit_vector(cross(a, b)))))
     return F.get(F.filter(normals, lambda n: n.isNotNull()), 0)
 
@@ -47,3 +49,23 @@ def docking_box(n: Column, lo: list[Column], hi: list[Column], mean: list[Column
         F.when(n > 0, F.array(*mean)).otherwise(F.array(*[F.lit(0.0)] * 3)).alias("center"),
         F.when(n > 0, F.array(*[F.greatest(b - a + margin, F.lit(least)) for a, b in zip(lo, hi, strict=True)])).otherwise(F.array(*[F.lit(20.0)] * 3)).alias("size"),
     )
+
+
+def rotation(u: Column) -> Column:
+    """The rotation matrix (array of rows) of a uniformly random quaternion, from an array of three numbers in [0, 1)."""
+    at = lambda i: F.get(u, i)
+    turn = lambda i: 2 * math.pi * at(i)
+    x, y = F.sqrt(1 - at(0)) * F.sin(turn(1)), F.sqrt(1 - at(0)) * F.cos(turn(1))
+    z, w = F.sqrt(at(0)) * F.sin(turn(2)), F.sqrt(at(0)) * F.cos(turn(2))
+    square = lambda a, b: 1 - 2 * (a * a + b * b)
+    plus, minus = (lambda a, b, c: 2 * (a * b + w * c)), (lambda a, b, c: 2 * (a * b - w * c))
+    return F.array(F.array(square(y, z), minus(x, y, z), plus(x, z, y)), F.array(plus(x, y, z), square(x, z), minus(y, z, x)), F.array(minus(x, z, y), plus(y, z, x), square(x, y)))
+
+
+def seeded(seed: Column, n: int = 3) -> Column:
+    """``n`` numbers in [0, 1) drawn from a seed: the same ones wherever it runs."""
+    return F.array(*[F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(1 << 52)) / float(1 << 52) for i in range(n)])
+
+
+def rotated(points: Column, matrix: Column) -> Column:
+    return F.transform(points, lambda p: F.transform(matrix, lambda row: dot(row, p)))

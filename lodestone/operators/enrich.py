@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lookup(df: DataFrame, cache: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """A left join to the first row of each key of a dimension."""
-    return df.join(cache.select(key, *values), key, "left")
+def first_of(cache: DataFrame, key: str, values: list[str], order: list[Column] | None = None) -> DataFrame:
+    """(key, values...): the first row of each key in the given order, by default that of the values."""
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order or [F.col(v) for v in values])])
+    first = cache.groupBy(key).agg(F.min_by(F.struct(*values), place).alias("__first"))
+    return first.select(key, *[F.col("__first").getField(v).alias(v) for v in values])
+
+
+def lookup(df: DataFrame, cache: DataFrame, key: str, values: list[str], order: list[Column] | None = None) -> DataFrame:
+    """A left join to the first row of each key of a dimension: a row of ``df`` stays one row."""
+    return df.join(first_of(cache, key, values, order), key, "left")
 
 
 def to_fetch(df: DataFrame, cache: DataFrame, key: str, retry: str | None = "error") -> DataFrame:
@@ -17,6 +24,16 @@ def to_fetch(df: DataFrame, cache: DataFrame, key: str, retry: str | None = "err
     return df.select(key).where(F.col(key).isNotNull()).distinct().join(known.select(key), key, "left_anti")
 
 
+def rescored(rows: DataFrame, scores: DataFrame, key: str, score: str) -> DataFrame:
+    """Rows without a score get the one that ``scores`` (key, score, error) holds for their key; scored rows stay as they are.
+
+    A failed score stays null, with its ``error``."""
+    fresh = first_of(scores, key, [score, "error"]).select(key, F.col(score).alias("__score"), F.col("error").alias("__error"))
+    out = rows.join(fresh, key, "left")
+    own = F.col(score).isNotNull()
+    return out.withColumn("error", F.when(~own & F.col("__score").isNull(), F.col("__error"))).withColumn(score, F.coalesce(score, "__score")).drop("__score", "__error")
+
+
 def merged_cache(cache: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """The cache with fresh rows in the place of old ones."""
     return cache.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)

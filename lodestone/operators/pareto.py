@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.session import kept
+
+#: Rows that local fronts may leave for one task to merge; more are compared by a join.
+MERGED = 100_000
+
 
 def front1_2d(df: DataFrame, by: list[str], high: str, low: str) -> DataFrame:
     """Rows that no row of their group dominates (``high`` larger is better, ``low`` smaller is better, null is +inf).
@@ -58,8 +63,10 @@ def local_front(high: list[str], low: list[str]):
 
 
 def front1(df: DataFrame, high: list[str], low: list[str]) -> DataFrame:
-    """The first front over any number of measures (nulls must be gone): local fronts first, then an anti join of what they leave."""
-    part = df.mapInPandas(local_front(high, low), df.schema)
+    """The first front over any number of measures (nulls must be gone): local fronts first, computed once, then the front of what they leave."""
+    part = kept(df.mapInPandas(local_front(high, low), df.schema))
+    if part.count() <= MERGED:
+        return part.coalesce(1).mapInPandas(local_front(high, low), df.schema)
     return part.alias("b").join(part.alias("a"), dominates("a", "b", high, low), "left_anti")
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import kept
+
 
 def bits(words: Column) -> Column:
     """Set bits of an array of 64-bit words."""
@@ -34,31 +35,30 @@ def similarity_join(df: DataFrame, key: str, words: str, cutoff: float) -> DataF
     return left.join(right, "nb").where("a < b").select("a", "b", sim.alias("sim")).where(F.col("sim") >= cutoff)
 
 
-def sphere_exclusion(df: DataFrame, key: str, pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+def sphere_exclusion(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """(key, centroid): largest neighbourhood first, ties by key.
 
     A row becomes a centroid once no open neighbour has a higher priority; its open
-    neighbours join it.  All such rows of a round are settled at once, which gives the
-    sequential result; members go to their neighbouring centroid of highest priority."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+    neighbours then can't become one.  All such rows of a round are settled at once, which
+    gives the centroids of the sequential search; at the end every other row goes to its
+    neighbouring centroid of highest priority, the one that search would meet first."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count("*").alias("deg"))
     nodes = df.select(F.col(key).alias("a")).join(degree, "a", "left").select("a", F.struct((-F.coalesce("deg", F.lit(0))).alias("d"), F.col("a").alias("k")).alias("p"))
-    edges = both.join(nodes, "a").withColumnRenamed("p", "pa").join(nodes.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b").checkpoint()
-    open_, settled = nodes.checkpoint(), None
-    for _ in range(rounds):
+    edges = kept(both.join(nodes, "a").withColumnRenamed("p", "pa").join(nodes.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b"))
+    open_, found = kept(nodes), None
+    while True:  # each round settles the open row of highest priority at least
         live = edges.join(open_.select("a"), "a", "left_semi").join(open_.select(F.col("a").alias("b")), "b", "left_semi")
         beaten = live.where("pb < pa").select("a").distinct()
-        centres = open_.join(beaten, "a", "left_anti")
-        members = live.join(centres.select(F.col("a").alias("b"), F.col("p").alias("pc")), "b").groupBy("a").agg(F.min_by("b", "pc").alias("centroid"))
-        step = centres.select("a", F.col("a").alias("centroid")).unionByName(members).checkpoint()
-        settled = step if settled is None else settled.unionByName(step)
-        open_ = open_.join(step.select("a"), "a", "left_anti").checkpoint()
-        if not open_.limit(1).count():
+        centres = kept(open_.join(beaten, "a", "left_anti"))
+        found = centres if found is None else found.unionByName(centres)
+        near = live.join(centres.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        open_ = kept(open_.join(centres.select("a").unionByName(near), "a", "left_anti"))
+        if open_.isEmpty():
             break
-    return settled.select(F.col("a").alias(key), "centroid")
+    members = edges.join(found.select(F.col("a").alias("b")), "b", "left_semi").join(found.select("a"), "a", "left_anti")
+    members = members.groupBy("a").agg(F.min_by("b", "pb").alias("centroid"))
+    return found.select("a", F.col("a").alias("centroid")).unionByName(members).select(F.col("a").alias(key), "centroid")
 
 
 def sign_words(vector: Column, dims: int = 64) -> Column:
@@ -69,3 +69,14 @@ def sign_words(vector: Column, dims: int = 64) -> Column:
         return F.aggregate(ones, F.lit(0).cast("long"), lambda s, w: s.bitwiseOR(w))
 
     return F.array(*[word(i) for i in range(math.ceil(dims / 64))])
+
+
+def cluster_count(settled: DataFrame) -> DataFrame:
+    """One row: how many clusters there are (0 of none)."""
+    return settled.agg(F.count_distinct("centroid").alias("clusters"))
+
+
+def cluster_representatives(rows: DataFrame, cluster: str, hit: str, composite: str, ord_col: str) -> DataFrame:
+    """With ``is_centroid``: 1 for a cluster's best row, a hit before others, then the larger composite, then the first; else 0."""
+    place = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc(hit), F.desc_nulls_last(composite), ord_col))
+    return rows.withColumn("is_centroid", (place == 1).cast("int"))

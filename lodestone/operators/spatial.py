@@ -1,41 +1,51 @@
 """Spatial joins: radius, nearest, semi and anti fractions, best pairs.
 
-Two strategies: a theta join, right while one side is small (Spark broadcasts it
-after its own size check), and a grid join, an equi-join on cells as wide as the
-radius, whose cost follows the data and which AQE can split where it is skewed.
+All are equi-joins on cells as wide as the radius, whose cost follows the data and
+which AQE can split where it is skewed; a side that Spark finds small is broadcast.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import geometry, numeric
+from lodestone.session import kept
+
+AXES = ("x", "y", "z")
+CELLS = ["__cx", "__cy", "__cz"]
 
 
 def d2(a: tuple[str, str, str] = ("ax", "ay", "az"), b: tuple[str, str, str] = ("x", "y", "z")) -> Column:
     return geometry.distance_sq(*[F.col(c) for c in (*a, *b)])
 
 
-def radius_join(anchors: DataFrame, points: DataFrame, radius: float, on: list[str] | None = None) -> DataFrame:
-    """Pairs with squared distance <= radius squared (inclusive), with ``d2``; ``on``: columns that must be equal too."""
-    pairs = anchors.join(points, on) if on else anchors.join(points, d2() <= radius * radius)
-    return pairs.withColumn("d2", d2()).where(F.col("d2") <= radius * radius)
+def in_cells(df: DataFrame, prefix: str, width: float, spread: bool) -> DataFrame:
+    """Each row in its cell or, with ``spread``, in that and its 26 neighbours."""
+    out = df
+    for axis, name in zip(AXES, CELLS, strict=True):
+        own = F.floor(F.col(prefix + axis) / F.lit(width)).cast("long")
+        out = out.withColumn(name, F.explode(F.sequence(own - 1, own + 1)) if spread else own)
+    return out
+
+
+def grid_join(anchors: DataFrame, points: DataFrame, radius: float, on: list[str] | None = None) -> DataFrame:
+    """Pairs with squared distance <= radius squared (inclusive), with ``d2``; ``on``: columns that must be equal too.
 
+    Each anchor goes to its 27 neighbouring cells, each point to one."""
+    width = max(radius, 1e-9)
+    pairs = in_cells(anchors, "a", width, True).join(in_cells(points, "", width, False), [*(on or []), *CELLS])
+    return pairs.withColumn("d2", d2()).where(F.col("d2") <= radius * radius).drop(*CELLS)
 
-def cell(c: str, width: float) -> Column:
-    return F.floor(F.col(c) / width).cast("long")
 
+radius_join = grid_join
 
-def grid_join(anchors: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """:func:`radius_join` by cells: each anchor goes to its 27 neighbouring cells, each point to one."""
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    out = anchors.withColumns({"__cx": cell("ax", radius), "__cy": cell("ay", radius), "__cz": cell("az", radius)})
-    for c in ("__cx", "__cy", "__cz"):
-        out = out.withColumn("__step", F.explode(steps)).withColumn(c, F.col(c) + F.col("__step")).drop("__step")
-    cells = points.withColumns({"__cx": cell("x", radius), "__cy": cell("y", radius), "__cz": cell("z", radius)})
-    pairs = out.join(cells, ["__cx", "__cy", "__cz"]).withColumn("d2", d2())
-    return pairs.where(F.col("d2") <= radius * radius).drop("__cx", "__cy", "__cz")
+
+def alpha_carbons(anchors: DataFrame, atom_rows: DataFrame, cutoff: float, on: list[str] | None = None) -> DataFrame:
+    """The radius join on alpha carbons only."""
+    return grid_join(anchors, atom_rows.where("record = 'ATOM' and atom_name = 'CA'"), cutoff, on)
 
 
 def min_distances(anchors: DataFrame, points: DataFrame, by: list[str], kind: str | None = None) -> DataFrame:
@@ -46,24 +56,53 @@ def min_distances(anchors: DataFrame, points: DataFrame, by: list[str], kind: st
     return pairs.groupBy(*by).agg(F.coalesce(F.sqrt(F.min(d2())), F.lit(float("inf"))).alias("dist"))
 
 
-def nearest(anchors: DataFrame, points: DataFrame, anchor_id: str, start: float, rounds: int = 32) -> DataFrame:
-    """(anchor_id, dist) with two large sides: grid joins of doubling radius for the anchors that aren't settled yet.
+def reach(anchors: DataFrame, points: DataFrame) -> float:
+    """A distance that no anchor and point exceed; 0 if there are none."""
+    ends = lambda df, p: df.agg(*[f(p + c) for c in AXES for f in (F.min, F.max)]).first()
+    a, b = ends(anchors, "a"), ends(points, "")
+    if a[0] is None or b[0] is None:
+        return 0.0
+    return math.sqrt(sum(max(a[2 * i + 1] - b[2 * i], b[2 * i + 1] - a[2 * i]) ** 2 for i in range(3)))
+
+
+def nearest(anchors: DataFrame, points: DataFrame, anchor_id: str, start: float, on: list[str] | None = None, where: Column | None = None) -> DataFrame:
+    """(anchor_id, on..., dist) with two large sides: grid joins of doubling radius for the anchors that aren't settled yet.
 
-    Within a radius that holds a point at all, the nearest is exact."""
-    open_, done, radius = anchors, None, start
-    for _ in range(rounds):
-        found = grid_join(open_, points, radius).groupBy(anchor_id).agg(F.sqrt(F.min("d2")).alias("dist")).persist()
+    Within a radius that holds a point at all, the nearest is exact.  The radius grows until
+    it covers all points; an anchor without any then has +inf.  ``where``: what a pair has to meet."""
+    keys = [anchor_id, *(on or [])]
+    whole, radius = reach(anchors, points), start
+    open_, done = anchors, None
+    while True:
+        pairs = grid_join(open_, points, radius, on)
+        found = kept((pairs if where is None else pairs.where(where)).groupBy(*keys).agg(F.sqrt(F.min("d2")).alias("dist")))
         done = found if done is None else done.unionByName(found)
-        open_ = open_.join(found.select(anchor_id), anchor_id, "left_anti")
-        if not open_.limit(1).count() or not points.limit(1).count():
+        open_ = kept(open_.join(found.select(*keys), keys, "left_anti"))
+        if radius > whole or open_.isEmpty():
             break
         radius *= 2
-    return done.unionByName(open_.select(anchor_id, F.lit(float("inf")).alias("dist")))
+    return done.unionByName(open_.select(*keys, F.lit(float("inf")).alias("dist")))
+
+
+def nearest_by_kind(anchors: DataFrame, points: DataFrame, anchor_id: str, kind: str, kinds: list, start: float, where: Column | None = None) -> DataFrame:
+    """(anchor_id, kind, dist): the nearest point of each of the given kinds."""
+    wanted = anchors.withColumn(kind, F.explode(F.array(*[F.lit(k) for k in kinds])))
+    return nearest(wanted, points, anchor_id, start, [kind], where)
+
+
+def near_any(atoms: DataFrame, obstacles: DataFrame, radius: float) -> DataFrame:
+    """Atoms with an obstacle within the radius (inclusive): a semi join on cells, obstacles spread over 27 of them."""
+    width = max(radius, 1e-9)
+    own = in_cells(atoms.withColumns({c: F.col("a" + c) for c in AXES}), "", width, False).drop(*AXES)
+    other = in_cells(obstacles.select(*[F.col(c).alias("a" + c) for c in AXES]), "a", width, True).withColumnsRenamed({"a" + c: c for c in AXES})
+    same = [F.col(f"o.{c}") == F.col(f"p.{c}") for c in CELLS]
+    dist = geometry.distance_sq(*[F.col(f"o.a{c}") for c in AXES], *[F.col(f"p.{c}") for c in AXES])
+    return own.alias("o").join(other.alias("p"), [*same, dist <= radius * radius], "left_semi").drop(*CELLS)
 
 
 def clash_fraction(atoms: DataFrame, obstacles: DataFrame, by: str, radius: float) -> DataFrame:
-    """Share of a molecule's atoms with an obstacle within the radius (inclusive): a semi join, then a ratio."""
-    hit = atoms.join(obstacles, d2() <= radius * radius, "left_semi").groupBy(by).agg(F.count("*").alias("n_hit"))
+    """Share of a molecule's atoms with an obstacle within the radius (inclusive)."""
+    hit = near_any(atoms, obstacles, radius).groupBy(by).agg(F.count("*").alias("n_hit"))
     total = atoms.groupBy(by).agg(F.count("*").alias("n"))
     return total.join(hit, by, "left").select(by, "n", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), numeric.ratio_zero(F.coalesce("n_hit", F.lit(0)), F.col("n")).alias("clash_frac"))
 
@@ -82,9 +121,19 @@ def match_fraction(n_match: Column, n_total: Column, unmatched_weight: float) ->
 
 def best_pairs(features: DataFrame, sites: DataFrame, feature_id: list[str], kind: str, score: Column, maximum: float) -> DataFrame:
     """Each feature's best score among the sites of its kind nearer than ``maximum``; 0 if there is none."""
-    reach = sites.withColumnRenamed(kind, "__kind")
-    pairs = features.join(reach, (F.col(kind) == F.col("__kind")) & (d2() < maximum * maximum), "left")
-    return pairs.groupBy(*feature_id).agg(F.greatest(F.lit(0.0), F.coalesce(F.max(score), F.lit(0.0))).alias("best"))
+    near = grid_join(features, sites, maximum, [kind]).where(F.col("d2") < maximum * maximum)
+    best = near.groupBy(*feature_id).agg(F.max(score).alias("best"))
+    return features.select(*feature_id).distinct().join(best, feature_id, "left").select(*feature_id, F.greatest(F.lit(0.0), F.coalesce("best", F.lit(0.0))).alias("best"))
+
+
+def cross_counts(left: DataFrame, right: DataFrame, radius: float, donor: tuple[Column, Column], acceptor: tuple[Column, Column], where: Column | None = None) -> DataFrame:
+    """Pairs within the radius: donor with acceptor, acceptor with donor, and both together (one row).
+
+    ``donor`` and ``acceptor`` say what a row of the left and of the right side is."""
+    pairs = grid_join(left, right, radius)
+    pairs = pairs if where is None else pairs.where(where)
+    one, two = donor[0] & acceptor[1], acceptor[0] & donor[1]
+    return pairs.agg(F.count_if(one).alias("donor_acceptor"), F.count_if(two).alias("acceptor_donor"), (F.count_if(one) + F.count_if(two)).alias("hbonds"))
 
 
 def hydrogen_bond_score(dist: Column, ligand_dir: Column, site_dir: Column, to_site: Column, maximum: float, preferred: float = 2.8) -> Column:

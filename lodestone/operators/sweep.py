@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import numeric
+from lodestone.session import kept
 
 
 def grid(spark: SparkSession, axes: dict[str, list[int]]) -> DataFrame:
@@ -48,7 +49,8 @@ def enriched(runs: DataFrame, docking: str, min_accepted: int, tolerance: float,
 
     The target length is the median over all runs that have a length, 25 without any.
     Scores are min-max over eligible runs; runs that aren't have none, unless no run is: then all have 0."""
-    rows = runs.withColumn("diversity_ratio", numeric.ratio_zero(F.col("cluster_count"), F.col("accepted_molecules")))
+    # read three times below: computed once
+    rows = kept(runs.withColumn("diversity_ratio", numeric.ratio_zero(F.col("cluster_count"), F.col("accepted_molecules"))))
     aim = rows.agg(F.coalesce(F.lit(target).cast("double"), F.median("median_heavy_atoms"), F.lit(25.0)).alias("target_length"))
     rows = rows.crossJoin(F.broadcast(aim))  # one row
     m, t = F.col("median_heavy_atoms").cast("double"), F.col("target_length")
@@ -73,3 +75,14 @@ def shortlist(rows: DataFrame, k: int) -> DataFrame:
 def heatmap(df: DataFrame, y: str, x: str, value: str, xs: list) -> DataFrame:
     """Means as a dense matrix, one column for each x; cells without rows are null."""
     return df.groupBy(y).pivot(x, xs).agg(F.avg(value))
+
+
+def with_sizes(runs: DataFrame, metrics: DataFrame, path: str = "sdf_path", file: str = "file") -> DataFrame:
+    """Runs with the size metrics of their molecule files (null without a file)."""
+    return runs.join(metrics.withColumnRenamed(file, path), path, "left")
+
+
+def bubbles(rows: DataFrame, docking: str) -> DataFrame:
+    """What a bubble chart shows: diversity against docking, sized by accepted molecules, coloured by their median size, labelled."""
+    label = F.concat_ws("/", *[F.concat(F.lit(n), F.col(c).cast("string")) for n, c in (("ns", "n_steps"), ("ne", "n_embed_attempts"), ("bw", "beam_width"), ("ma", "max_attach"), ("mf", "max_frags"))])
+    return rows.where(F.col(docking).isNotNull()).select("run_index", F.col("diversity_ratio").alias("x"), F.col(docking).alias("y"), F.col("accepted_molecules").alias("size"), F.col("median_heavy_atoms").alias("colour"), label.alias("label"))

@@ -8,37 +8,18 @@ by supplier are runs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import chemistry, numeric, text
 from lodestone.operators import beam, enrich, environment, pareto, selection, similarity, spatial, sweep
+from lodestone.session import shared_folder
 from lodestone.sinks import writers
 from lodestone.sources import pdb, sdf
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, **types: str):
-    """Register a function under its name, with its SQL; ``types``: columns that the SQL has to cast (type="column column")."""
-    casts = ", ".join(f"{c}::{t} AS {c}" for t, names in types.items() for c in names.split())
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
+from .registry import ORACLES, QUERIES, query, table
 
 SCALE = 10.0
 RADIUS = 2.0
@@ -113,13 +94,14 @@ def top2_chains_wide(spark, sf):
     return environment.top_chains(by_chain, "anchor", "chain", ["n_residues", "n_pos"])
 
 
-@query(f"""{RES} SELECT anchor, count_if(chain % 2 = 0) AS n_even, count_if(chain % 2 = 1) AS n_odd,
+@query(f"""{RES} SELECT anchor, count_if(chain % 2 = 0) AS n_even, count_if(chain % 2 = 1) AS n_odd, count_if(chain % 2 = 0 AND resid % 3 = 0) AS apolar_even, count_if(chain % 2 = 1 AND resid % 3 <> 0) AS polar_odd, count_if(chain % 2 = 0 AND resid % 5 = 0) AS aromatic_even,
  CASE WHEN count_if(chain % 2 = 1) > 0 THEN round(count_if(chain % 2 = 0) / count_if(chain % 2 = 1), 3) END AS ratio,
- round(avg(CASE WHEN chain % 2 = 0 THEN min_d2 END), 2) AS mean_even, round(avg(CASE WHEN chain % 2 = 1 THEN min_d2 END), 2) AS mean_odd FROM res GROUP BY anchor""", BIGINT="n_even n_odd")
+ CASE WHEN count_if(chain % 2 = 1 AND resid % 7 = 0) > 0 THEN round(count_if(chain % 2 = 0 AND resid % 7 = 0) / count_if(chain % 2 = 1 AND resid % 7 = 0), 3) END AS ratio_aliphatic,
+ round(avg(CASE WHEN chain % 2 = 0 THEN min_d2 END), 2) AS mean_even, round(avg(CASE WHEN chain % 2 = 1 THEN min_d2 END), 2) AS mean_odd FROM res GROUP BY anchor""", BIGINT="n_even n_odd apolar_even polar_odd aromatic_even")
 def interface_two_roles(spark, sf):
     res = nearby_residues(spark, sf).withColumn("role", F.when(F.col("chain") % 2 == 0, "even").otherwise("odd"))
-    out = environment.two_roles(res, ["anchor"], "role", "even", "odd", {k: F.lit(True) for k in ("is_apolar", "is_polar", "is_aromatic", "is_aliphatic")}, "min_d2")
-    return out.select("anchor", F.col("N_even").alias("n_even"), F.col("N_odd").alias("n_odd"), F.col("ratio_N").alias("ratio"), F.col("mean_bfactor_even").alias("mean_even"), F.col("mean_bfactor_odd").alias("mean_odd"))
+    out = environment.two_roles(res, ["anchor"], "role", "even", "odd", {"is_apolar": F.col("resid") % 3 == 0, "is_polar": F.col("resid") % 3 != 0, "is_aromatic": F.col("resid") % 5 == 0, "is_aliphatic": F.col("resid") % 7 == 0}, "min_d2")
+    return out.select("anchor", F.col("N_even").alias("n_even"), F.col("N_odd").alias("n_odd"), "apolar_even", "polar_odd", "aromatic_even", F.col("ratio_N").alias("ratio"), "ratio_aliphatic", F.col("mean_bfactor_even").alias("mean_even"), F.col("mean_bfactor_odd").alias("mean_odd"))
 
 
 @query(f"""{RES}, c AS (SELECT *, CASE resid % 7 WHEN 0 THEN 'H' WHEN 1 THEN 'G' WHEN 2 THEN 'E' WHEN 3 THEN 'B' WHEN 4 THEN 'T' ELSE '-' END AS code FROM res)
@@ -133,8 +115,9 @@ def secondary_structure(spark, sf):
 @query(f"WITH {ATOMS}, {ANCHORS} SELECT anchor, atoms.chain AS kind, round(sqrt(min({D2})), 6) AS dist FROM anchors, atoms WHERE ord <> anchor GROUP BY 1, 2")
 def nearest_complement(spark, sf):
     points = atoms(spark, sf).withColumnRenamed("chain", "site")
-    found = anchors(spark, sf).join(points, F.col("ord") != F.col("anchor")).groupBy("anchor", F.col("site").alias("kind"))
-    return found.agg(F.round(F.sqrt(F.min(spatial.d2())), 6).alias("dist"))
+    kinds = [r.site for r in points.select("site").distinct().orderBy("site").collect()]  # chains, a handful
+    found = spatial.nearest_by_kind(anchors(spark, sf).drop("kind"), points, "anchor", "site", kinds, 0.5, F.col("ord") != F.col("anchor"))
+    return found.where(F.col("dist") < float("inf")).select("anchor", F.col("site").alias("kind"), F.round("dist", 6).alias("dist"))
 
 
 @query(f"WITH {ATOMS}, {ANCHORS} SELECT anchor, round(sqrt(min({D2})), 6) AS dist FROM anchors, atoms WHERE ord % 50 <> 0 GROUP BY 1")
@@ -170,9 +153,8 @@ def pair_best_score(spark, sf):
 @query(f"""WITH {ATOMS}, {ANCHORS}, p AS (SELECT kind, chain FROM anchors JOIN atoms ON {D2} <= 2.25 AND ord <> anchor)
  SELECT count_if(kind % 2 = 0 AND chain % 2 = 1) AS donor_acceptor, count_if(kind % 2 = 1 AND chain % 2 = 0) AS acceptor_donor, count_if(kind % 2 <> chain % 2) AS hbonds FROM p""", BIGINT="donor_acceptor acceptor_donor hbonds")
 def cross_pair_count(spark, sf):
-    pairs = spatial.radius_join(anchors(spark, sf), atoms(spark, sf), 1.5).where("ord <> anchor")
     even, other = F.col("kind") % 2, F.col("chain") % 2
-    return pairs.agg(F.count_if((even == 0) & (other == 1)).alias("donor_acceptor"), F.count_if((even == 1) & (other == 0)).alias("acceptor_donor"), F.count_if(even != other).alias("hbonds"))
+    return spatial.cross_counts(anchors(spark, sf), atoms(spark, sf), 1.5, (even == 0, other == 0), (even == 1, other == 1), F.col("ord") != F.col("anchor"))
 
 
 @query(f"""WITH {ATOMS}, {ANCHORS}, p AS (SELECT anchor, kind, count(DISTINCT CASE WHEN chain % 2 = 0 THEN ord END) AS n_a, count(DISTINCT CASE WHEN chain % 2 = 1 THEN ord END) AS n_b FROM anchors LEFT JOIN atoms ON {D2} <= 2.25 GROUP BY 1, 2)
@@ -284,11 +266,18 @@ FRONTS = f"{BAL}, {_peel(3)}, fr AS (SELECT *, 1 AS pareto_front FROM f1 UNION A
 ORDER = "composite DESC, docking ASC NULLS LAST, balanced_score DESC, name"
 
 
-@query(f"WITH {FRONTS} SELECT cavity, ord, pareto_front, row_number() OVER (PARTITION BY cavity, pareto_front ORDER BY {ORDER}, ord) AS pareto_rank FROM fr", INT="pareto_rank")
+#: All fronts: points in order of falling composite and rising docking; a point's front is the first whose least docking so far is larger.
+BELOW = "len(list_filter(least, lambda t: t <= p.v))"
+DEPTHS = f"""{BAL}, pts AS (SELECT *, row_number() OVER (PARTITION BY cavity ORDER BY composite DESC, v) AS i FROM (SELECT DISTINCT cavity, composite, coalesce(docking, 'inf'::DOUBLE) AS v FROM bal)),
+ step(cavity, i, least, front) AS (SELECT cavity, i, [v], 1 FROM pts WHERE i = 1 UNION ALL
+ SELECT p.cavity, p.i, list_concat(list_append(least[1:{BELOW}], p.v), least[{BELOW} + 2:]), {BELOW} + 1 FROM step JOIN pts p ON p.cavity = step.cavity AND p.i = step.i + 1),
+ every AS (SELECT bal.*, step.front AS pareto_front FROM bal JOIN pts ON pts.cavity = bal.cavity AND pts.composite = bal.composite AND pts.v = coalesce(bal.docking, 'inf'::DOUBLE) JOIN step ON step.cavity = pts.cavity AND step.i = pts.i)"""
+
+
+@query(f"WITH RECURSIVE {DEPTHS} SELECT cavity, ord, pareto_front, row_number() OVER (PARTITION BY cavity, pareto_front ORDER BY {ORDER}, ord) AS pareto_rank FROM every", INT="pareto_rank pareto_front")
 def pareto_fronts_full(spark, sf):
     order = [F.desc("composite"), F.asc_nulls_last("docking"), F.desc("balanced_score"), F.col("name"), F.col("ord")]
-    out = ranked(spark, sf).where("pareto_front <= 3")
-    return pareto.rank_in_front(out, "cavity", order).select("cavity", "ord", "pareto_front", "pareto_rank")
+    return pareto.rank_in_front(ranked(spark, sf), "cavity", order).select("cavity", "ord", "pareto_front", "pareto_rank")
 
 
 PICKS = f"""{FRONTS}, m AS (SELECT bal.*, fr.pareto_front FROM bal LEFT JOIN fr USING (ord)),
@@ -353,7 +342,12 @@ def similarity_self_join(spark, sf):
     return similarity.similarity_join(fingerprints(spark, sf), "vec_id", "words", CUTOFF).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FP}, pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fb a JOIN fb b ON a.vec_id <> b.vec_id WHERE bit_count(a.w & b.w) / (a.n + b.n - bit_count(a.w & b.w)) >= {CUTOFF}),
+ o AS (SELECT fb.vec_id, row_number() OVER (ORDER BY count(pairs.b) DESC, fb.vec_id) AS r FROM fb LEFT JOIN pairs ON pairs.a = fb.vec_id GROUP BY fb.vec_id),
+ adj AS (SELECT x.r, any_value(x.vec_id) AS vec_id, coalesce(list(y.r) FILTER (y.r IS NOT NULL), []) AS near FROM o x LEFT JOIN pairs ON pairs.a = x.vec_id LEFT JOIN o y ON y.vec_id = pairs.b GROUP BY x.r),
+ w(i, centres) AS (SELECT 1::BIGINT, [1::BIGINT] UNION ALL SELECT i + 1, CASE WHEN list_has_any(near, centres) THEN centres ELSE list_append(centres, i + 1) END FROM w JOIN adj ON adj.r = i + 1),
+ c AS (SELECT centres FROM w ORDER BY i DESC LIMIT 1)
+ SELECT adj.vec_id, o.vec_id AS centroid FROM adj, c, o WHERE o.r = CASE WHEN list_contains(centres, adj.r) THEN adj.r ELSE list_min(list_filter(near, lambda x: list_contains(centres, x))) END""")
 def sphere_exclusion(spark, sf):
     fp = fingerprints(spark, sf)
     return similarity.sphere_exclusion(fp, "vec_id", similarity.similarity_join(fp, "vec_id", "words", CUTOFF))
@@ -433,7 +427,7 @@ def line_parser(spark, sf):
     return rows.select("doc_id", "line_no", F.substring("value", 1, 6).alias("record"), pdb.field(13, 16).alias("name"), F.length("value").alias("width"))
 
 
-@query(f"WITH {ATOMS} SELECT chain, count(*) AS n, round(sum(round(x, 3)), 3) AS sx, round(sum(round(y, 3)), 3) AS sy, round(sum(round(z, 3)), 3) AS sz FROM atoms WHERE ord < 9000 GROUP BY chain")
+@query(f"WITH {ATOMS} SELECT chain, count(*) AS n, round(sum(round(x, 3)), 3) AS sx, round(sum(round(y, 3)), 3) AS sy, round(sum(round(z, 3)), 3) AS sz FROM atoms GROUP BY chain")
 def pdb_roundtrip(spark, sf):
     rows = atoms(spark, sf)
     # lines as a writer would give them, read back by the parser; serial and residue numbers wrap at their columns' width
@@ -443,25 +437,25 @@ def pdb_roundtrip(spark, sf):
     return back.groupBy(F.col("pdb_id").alias("chain")).agg(F.count("*").alias("n"), *[F.round(F.sum(c), 3).alias(f"s{c[1]}") for c in ("ax", "ay", "az")])
 
 
-@query("""SELECT r_regionkey AS key, r_name AS name, NULL::INT AS region, NULL::VARCHAR AS segment FROM region UNION ALL BY NAME SELECT n_nationkey AS key, n_name AS name, n_regionkey AS region FROM nation UNION ALL BY NAME SELECT c_nationkey AS key, c_mktsegment AS segment FROM customer WHERE c_custkey <= 50""")
+@query("""SELECT r_regionkey AS key, r_name AS name, NULL::INT AS region, NULL::VARCHAR AS segment FROM region UNION ALL BY NAME SELECT n_nationkey AS key, n_name AS name, n_regionkey AS region FROM nation UNION ALL BY NAME SELECT c_nationkey AS key, c_mktsegment AS segment FROM customer""")
 def union_by_name_report(spark, sf):
     region = table(spark, sf, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    cust = table(spark, sf, "customer").where("c_custkey <= 50").select(F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("segment"))
+    cust = table(spark, sf, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("segment"))
     return writers.union_of_columns([region, nation, cust])
 
 
 def _toy(step: int) -> str:
     before = f"b{step - 1}"
+    every = " UNION ALL ".join(f"SELECT root, node, score, {i} AS growth_step FROM k{i} WHERE node % 3 <> 0" for i in range(1, step + 1))
     return f"""e{step} AS (SELECT (node * 7 + k * 13 + 1) % 2000 AS node, root, score + ((node * 7 + k * 13 + 1) % 2000) % 97 AS score FROM {before}, (SELECT unnest([0, 1, 2, 3]) AS k)),
- k{step} AS (SELECT node, root, max(score) AS score, {step} AS growth_step FROM e{step} GROUP BY node, root),
- b{step} AS (SELECT node, root, score FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, node) AS rn FROM k{step}) WHERE rn <= 3)"""
+ k{step} AS (SELECT node, root, max(score) AS score FROM e{step} GROUP BY node, root),
+ a{step} AS (SELECT root, node, score, growth_step FROM (SELECT *, row_number() OVER (PARTITION BY root, node ORDER BY growth_step) AS f FROM ({every})) WHERE f = 1),
+ b{step} AS (SELECT node, root, score FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, node) AS rn FROM k{step} WHERE node % 5 <> 0 AND root NOT IN (SELECT root FROM a{step} GROUP BY root HAVING count(*) >= 7)) WHERE rn <= 3)"""
 
 
-@query(f"""WITH b0 AS (SELECT vec_id AS node, vec_id AS root, 0::BIGINT AS score FROM embeddings WHERE vec_id % 50 = 0), {_toy(1)}, {_toy(2)}, {_toy(3)},
- al AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3),
- fs AS (SELECT node, root, score, growth_step FROM (SELECT *, row_number() OVER (PARTITION BY root, node ORDER BY growth_step) AS f FROM al) WHERE f = 1)
- SELECT root, node, score, growth_step, rank FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, node) AS rank FROM fs) WHERE rank <= 4""", INT="rank")
+@query(f"""WITH b0 AS (SELECT vec_id AS node, vec_id AS root, 0::BIGINT AS score FROM embeddings WHERE vec_id % 50 = 0), {_toy(1)}, {_toy(2)}, {_toy(3)}
+ SELECT root, node, score, growth_step, rank FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, node) AS rank FROM a3) WHERE rank <= 7""", INT="rank")
 def beam_search_toy(spark, sf):
     seeds = table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("node"), F.col("vec_id").alias("root"), F.lit(0).cast("long").alias("score"))
 
@@ -469,7 +463,8 @@ def beam_search_toy(spark, sf):
         nxt = states.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(4)]))).withColumn("node", (F.col("node") * 7 + F.col("k") * 13 + 1) % 2000)
         return nxt.select("node", "root", (F.col("score") + F.col("node") % 97).alias("score"))
 
-    out = beam.beam_search(seeds, grow, group="root", key="node", order=[F.desc("score"), F.col("node")], accept=F.lit(True), grows=F.lit(True), beam_width=3, steps=3, max_output=4)
+    # a group stops once it has 7 states; what is a multiple of 3 is no result, what is one of 5 doesn't grow
+    out = beam.beam_search(seeds, grow, group="root", key="node", order=[F.desc("score"), F.col("node")], accept=F.col("node") % 3 != 0, grows=F.col("node") % 5 != 0, beam_width=3, steps=3, max_output=7)
     return out.select("root", "node", "score", "growth_step", "rank")
 
 
@@ -497,10 +492,20 @@ def companion_join(spark, sf):
     return li.join(orders, "l_orderkey").groupBy("l_suppkey", "o_orderpriority").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
 
 
-@query(f"WITH {ENRICHED}, f AS (SELECT * FROM e WHERE eligible ORDER BY composite_score DESC, run_index LIMIT 10) SELECT run_index, round(composite_score, 4) AS composite_score FROM f")
+FRONT_4D = """eligible AND NOT EXISTS (SELECT 1 FROM e b WHERE b.eligible AND b.diversity_ratio >= a.diversity_ratio AND b.vina_mean <= a.vina_mean AND b.duration_sec <= a.duration_sec AND b.length_gap <= a.length_gap
+ AND (b.diversity_ratio > a.diversity_ratio OR b.vina_mean < a.vina_mean OR b.duration_sec < a.duration_sec OR b.length_gap < a.length_gap))"""
+
+
+@query(f"""WITH {ENRICHED}, p AS (SELECT * FROM e a WHERE {FRONT_4D}), s AS (SELECT run_index, composite_score, 'front' AS pool FROM p ORDER BY composite_score DESC, run_index LIMIT 10),
+ t AS (SELECT run_index, composite_score, 'eligible' AS pool FROM e WHERE eligible ORDER BY composite_score DESC, run_index LIMIT 10)
+ SELECT pool, run_index, round(composite_score, 4) AS composite_score FROM (SELECT * FROM s UNION ALL SELECT * FROM t)""")
 def shortlist_topk(spark, sf):
-    rows = enriched_runs(spark, sf).withColumn("pareto_front", F.lit(False))
-    return sweep.shortlist(rows, 10).select("run_index", F.round("composite_score", 4).alias("composite_score"))
+    """Of the front's runs, and of all eligible ones as it is when no front is marked."""
+    rows = enriched_runs(spark, sf)
+    front = pareto.front1(rows.where("eligible"), ["diversity_ratio"], ["vina_mean", "duration_sec", "length_gap"]).select("run_index", F.lit(True).alias("pareto_front"))
+    marked = rows.join(front, "run_index", "left").withColumn("pareto_front", F.coalesce("pareto_front", F.lit(False)))
+    some = lambda df, name: sweep.shortlist(df, 10).select(F.lit(name).alias("pool"), "run_index", F.round("composite_score", 4).alias("composite_score"))
+    return some(marked, "front").unionByName(some(marked.withColumn("pareto_front", F.lit(False)), "eligible"))
 
 
 @query(f"WITH {ATOMS} SELECT ord // 20 AS mol, count(*) AS n, round(avg(x), 6) AS cx, round(greatest(max(x) - min(x) + 8, 14), 6) AS size_x FROM atoms GROUP BY 1")
@@ -524,15 +529,15 @@ def sdf_roundtrip(spark, sf):
     return back.select(F.col("ord").alias("mol"), F.size("atoms").cast("long").alias("n_atoms"), chemistry.heavy_atoms(F.col("atoms")).cast("long").alias("heavy"), F.round(chemistry.weight(F.col("atoms")), 3).alias("mw"))
 
 
-@query()
+@query("SELECT p_partkey, p_size, p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice))")
 def stream_front1(spark, sf):
     """The first front of ``part`` kept by a stream over its file."""
-    import tempfile
-
     from lodestone.streaming import front
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-")
-    folder = f"{base}/front-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    folder = f"{shared_folder(spark)}/front-{uuid.uuid4().hex}"
     part = spark.readStream.schema(table(spark, sf, "part").schema).parquet(f"{sf}/part.parque*").select("p_partkey", "p_size", "p_retailprice")
     front.keep_front(part, f"{folder}/out", f"{folder}/state", ["p_size"], ["p_retailprice"]).awaitTermination()
     return front.current(spark, f"{folder}/out")
+
+
+from . import designs, structures  # noqa: E402, F401  registers its queries

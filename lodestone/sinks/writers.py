@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.numeric import round_or_blank
+from lodestone.operators.selection import global_rank
 
 # Columns of the design table in order, and those rounded to four places.
 DESIGN = ["rank", "id", "smiles", "pareto_front", "composite", "vina_score", "QED", "SA_score", "clash_frac", "out_frac", "ph4", "interaction", "hbond_score", "pipi_score", "hbond_matches", "pipi_matches", "heavy_atoms", "growth_step"]
@@ -15,10 +16,8 @@ ROUNDED = ["composite", "vina_score", "QED", "SA_score", "clash_frac", "out_frac
 
 
 def design_rows(states: DataFrame, order: list[Column]) -> DataFrame:
-    """The design table as text: rank and id by position, floats at four places, null as blank.
-
-    The position is a rank over the final selection, which is at most the output limit."""
-    ranked = states.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """The design table as text: rank and id by position, floats at four places, null as blank."""
+    ranked = global_rank(states, order, "rank")
     ranked = ranked.withColumn("id", F.format_string("design_%04d", "rank"))
     return ranked.select(*[(round_or_blank(F.col(c)) if c in ROUNDED else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in DESIGN])
 
@@ -40,6 +39,37 @@ def write_sdf(df: DataFrame, path: str, block: str = "block") -> None:
     df.select(block).write.text(path)
 
 
+def projected(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns as text; one that isn't there, or a null, is blank."""
+    return df.select(*[(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c) for c in columns])
+
+
+def design_props(states: DataFrame, optional: tuple[str, ...] = ("vina_score", "pareto_front")) -> Column:
+    """A design's properties as text, floats at four places: array<struct<name,value>>; an optional one that is null is left out by the writer."""
+    def text(c: str) -> Column:
+        v = F.format_string("%.4f", F.col(c)) if c in ROUNDED else F.col(c).cast("string")
+        return F.when(F.col(c).isNotNull(), v) if c in optional else F.coalesce(v, F.lit(""))
+
+    return F.array(*[F.struct(F.lit(c).alias("name"), text(c).alias("value")) for c in DESIGN if c in states.columns])
+
+
+def molecule_index(records: DataFrame, key: Column) -> DataFrame:
+    """(key, title, atoms, bonds, props): the first record of each key; blank keys go."""
+    rows = records.withColumn("key", key).where(F.trim("key") != "")
+    first = F.min_by(F.struct("title", "atoms", "bonds", "props"), F.struct("file", "ord"))
+    return rows.groupBy("key").agg(first.alias("r")).select("key", "r.*")
+
+
+def subset(selected: DataFrame, index: DataFrame, key: str, rank: str) -> DataFrame:
+    """Records of the selected candidates that have a molecule, with ``block``, in order of ``rank``: the molecule's properties, those of the selection winning.
+
+    ``selected`` has its own properties in a map column ``row``; blank ones are left out."""
+    found = selected.join(index.withColumnRenamed("key", key), key)
+    props = merged_props(F.col("props"), F.map_filter("row", lambda _, v: v.isNotNull() & (v != "")))
+    pairs = F.transform(F.array_sort(F.map_entries(props)), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+    return found.select(key, rank, mol_block(F.col("title"), F.col("atoms"), F.col("bonds"), pairs).alias("block")).orderBy(rank)
+
+
 def union_of_columns(frames: list[DataFrame]) -> DataFrame:
     """Rows of tables with different columns: columns in order of first appearance, missing ones null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -78,6 +108,33 @@ def decisions_json(pockets: DataFrame, key: str = "pdb_id") -> DataFrame:
     return pockets.groupBy(key).agg(F.array_sort(F.collect_list(body)).alias("pockets")).select(key, F.to_json(F.struct(key, "pockets")).alias("json"))
 
 
+def error_json(failures: DataFrame, key: str = "pdb_id") -> DataFrame:
+    """One JSON text for each structure that failed: its id, the error and its type."""
+    return failures.select(key, F.to_json(F.struct(key, "error", "type")).alias("json"))
+
+
+def sweep_report(facts: dict[str, object], front: DataFrame, shortlist: DataFrame, columns: list[str]) -> str:
+    """A run's report as Markdown: its facts, and tables of the front (15 rows) and the shortlist."""
+    lines = ["# Sweep Analysis Summary", "", *[f"- {k}: {v}" for k, v in facts.items()]]
+    for title, df, limit in (("Pareto Front", front, 15), ("Ranked Shortlist", shortlist, 50)):
+        lines += ["", f"## {title}", "", f"No {title} rows." if df.isEmpty() else markdown(df, columns, limit)]
+    return "\n".join(lines)
+
+
+def save_cache(df: DataFrame, path: str) -> None:
+    """Replace a cache of JSON lines: written beside it first, so that a failed write leaves the old one."""
+    spark = df.sparkSession
+    fresh, old = f"{path}.new", f"{path}.old"
+    df.write.mode("overwrite").json(fresh)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.delete(at(old), True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    fs.rename(at(fresh), at(path))
+    fs.delete(at(old), True)
+
+
 def markdown(df: DataFrame, columns: list[str], limit: int = 20) -> str:
     """A small table for a report."""
     rows = df.select(*columns).limit(limit).collect()

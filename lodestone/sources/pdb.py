@@ -19,6 +19,19 @@ def structure_id(path: Column, header: Column | None = None) -> Column:
     return F.coalesce(own, F.upper(F.nullif(F.trim(header), F.lit("")))) if header is not None else own
 
 
+def header_id(lines: DataFrame, key: str = "file") -> DataFrame:
+    """(key, header): columns 63-66 of the first HEADER line among the first 50 that holds an id there."""
+    own = F.trim(F.substring("value", 63, 4))
+    hit = lines.where((F.col("line_no") < 50) & F.col("value").startswith("HEADER") & (F.length("value") >= 66) & own.rlike("^[0-9][A-Za-z0-9]{3}$"))
+    return hit.groupBy(key).agg(F.min_by(own, "line_no").alias("header"))
+
+
+def short_id(path: Column) -> Column:
+    """The first four letters or digits of a file's name in upper case; null if they aren't."""
+    stem = F.substring(F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1), 1, 4)
+    return F.when(stem.rlike(r"^[\p{L}\p{N}]{4}$"), F.upper(stem))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): whole files are split, so that line numbers are exact; a file is one structure, not one table."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
@@ -65,6 +78,21 @@ def atoms(lines: DataFrame) -> DataFrame:
     ).where("x is not null and y is not null and z is not null")
 
 
+def coordinates(lines: DataFrame, key: str = "file") -> DataFrame:
+    """(key, line_no, chain, x, y, z) of every atom line, waters and markers too; the chain is its letter as it stands, a space included."""
+    v = F.col("value")
+    rows = lines.where((v.startswith("ATOM") | v.startswith("HETATM")) & (F.length(v) >= 54))
+    out = rows.select(key, "line_no", F.substring("value", 22, 1).alias("chain"), coordinate(31).alias("x"), coordinate(39).alias("y"), coordinate(47).alias("z"))
+    return out.where("x is not null and y is not null and z is not null")
+
+
+def chain_ids(lines: DataFrame, key: str = "file") -> DataFrame:
+    """(key, chains): the letters of the chains that atom lines name, sorted."""
+    v = F.col("value")
+    named = F.when((v.startswith("ATOM") | v.startswith("HETATM")) & (F.length(v) > 21), F.nullif(field(22, 22), F.lit("")))
+    return lines.groupBy(key).agg(F.sort_array(F.collect_set(named)).alias("chains"))
+
+
 def residue_key() -> Column:
     return F.concat(F.col("chain"), F.lit(":"), F.col("resseq"), F.col("icode"), F.lit(":"), F.col("resname"))
 
@@ -155,7 +183,7 @@ def chain_molecules(lines: DataFrame, key: str = "file") -> DataFrame:
     seen = F.max(F.when(mine, 1).otherwise(0)).over(order)
     other = F.max(F.when(~mine & (seen == 1) & F.col("value").rlike("^[A-Za-z]"), 1).otherwise(0)).over(order)
     part = lines.withColumn("ended", other).where(mine & (F.col("ended") == 0))
-    text = part.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.rtrim(F.substring("value", 11, 1000)).alias("t")))), lambda s: s["t"]), " ").alias("text"))
+    text = part.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.rtrim(F.substr("value", F.lit(11))).alias("t")))), lambda s: s["t"]), " ").alias("text"))
     blocks = text.select(key, F.posexplode(F.split("text", r"\bMOL_ID:\s*\d+\s*;")).alias("block", "body"))
     found = blocks.select(key, "block", F.trim(F.regexp_extract("body", r"(?i)\bMOLECULE:\s*([^;]+);", 1)).alias("molecule"), F.regexp_extract("body", r"(?i)\bCHAIN:\s*([^;]+);", 1).alias("chains"))
     found = found.where("molecule <> '' and chains <> ''").select(key, "block", "molecule", F.explode(F.split("chains", ",")).alias("chain"))

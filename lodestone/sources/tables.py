@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,21 +55,42 @@ def id_list(df: DataFrame, column: str | None = None) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(namespace, key, payload, ts, status); a missing or broken table is an empty one."""
+    """(namespace, key, payload, ts, status) of a cache of JSON lines; a missing cache is an empty one, and so is a line that can't be read."""
     schema = "namespace string, key string, payload string, ts long, status string"
     try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").parquet(path)
-    except Exception as error:  # the path doesn't exist yet
+        return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).where("key is not null")
+    except AnalysisException as error:  # the path doesn't exist yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schema)
 
 
+def read_json_map(spark: SparkSession, path: str) -> DataFrame:
+    """(key, payload) of files that each hold one JSON object; a missing or broken file holds nothing."""
+    try:
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "key string, payload string")
+    return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "payload"))
+
+
 def companion(path, ending: str, other: str):
     """The path of a file that goes with another: X_summary.csv to X_all_filtered.sdf."""
     return F.regexp_replace(path, ending.replace(".", r"\.") + "$", other)
 
 
+def structure_file(codes: DataFrame, files: DataFrame, code: str = "pdb_code", path: str = "path") -> DataFrame:
+    """(code, path, n_matches): the file CODE_DU.pdb of each code, the exact name before other spellings; null unless it is the only one."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    own = files.select(F.col(path), name.alias("__name"), F.upper(F.regexp_extract(name, r"(?i)^(.*)_DU\.pdb$", 1)).alias("__code")).where("__code <> ''")
+    wanted = codes.select(code).distinct().withColumn("__code", F.upper(F.trim(code)))
+    hit = wanted.join(own, "__code", "left").withColumn("__exact", F.col("__name") == F.concat("__code", F.lit("_DU.pdb")))
+    n, exact = F.count(path), F.max(F.when(F.col("__exact"), F.col(path)))
+    return hit.groupBy(code).agg(F.coalesce(exact, F.when(n == 1, F.max(path))).alias(path), n.alias("n_matches"))
+
+
 def newest_files(df: DataFrame, path: str = "path") -> DataFrame:
     """Paths in order, each once."""
     return df.select(path).distinct().orderBy(path)

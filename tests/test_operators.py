@@ -245,3 +245,58 @@ def test_every_atom_makes_the_round_trip(spark, tmp_path):
     for chain in (0, 1):
         own = [v for i, v, c in rows if c == chain]
         assert got[chain] == (len(own), *[round(sum(round(v[k] * 10, 3) for v in own), 3) for k in range(3)])
+
+
+def test_lookup_keeps_rows_single(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,)], "key int")
+    dim = spark.createDataFrame([(1, "b", 1), (1, "a", 2)], "key int, v string, no int")
+    assert sorted((r.key, r.v) for r in enrich.lookup(df, dim, "key", ["v"]).collect()) == [(1, "a"), (1, "a"), (2, None)]
+    assert {r.v for r in enrich.lookup(df, dim, "key", ["v"], [F.col("no")]).collect()} == {"b", None}
+
+
+def test_broken_caches_are_empty(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"namespace": "n", "key": "k", "payload": "p", "ts": 1, "status": "ok"}\n{"namespace": "n", "ke')
+    assert [(r.key, r.payload) for r in tables.read_cache(spark, str(tmp_path / "c.json")).collect()] == [("k", "p")]
+    (tmp_path / "m.json").write_text('{"a": {"cid": 1}, "b": null')
+    assert tables.read_json_map(spark, str(tmp_path / "m.json")).count() == 0
+    assert tables.read_cache(spark, str(tmp_path / "none")).count() == tables.read_json_map(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_front_of_many_rows_is_a_join(spark, monkeypatch):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, *[float(rng.randrange(30)) for _ in range(3)]) for i in range(300)], "i int, a double, b double, c double")
+    whole = {r.i for r in pareto.front1(df, ["a"], ["b", "c"]).collect()}
+    rows = df.collect()
+    beats = lambda x, y: x.a >= y.a and x.b <= y.b and x.c <= y.c and (x.a, x.b, x.c) != (y.a, y.b, y.c)
+    assert whole == {y.i for y in rows if not any(beats(x, y) for x in rows)}
+    monkeypatch.setattr(pareto, "MERGED", 0)
+    assert {r.i for r in pareto.front1(df, ["a"], ["b", "c"]).collect()} == whole
+
+
+def test_members_go_to_the_first_centroid(spark):
+    # 4 is next to the centroids 1 and 3; 1 comes first in the search but is settled later
+    pairs = [(1, 2), (1, 4), (3, 4), (3, 5), (3, 6), (2, 7), (2, 8), (7, 9), (7, 10), (7, 11)]
+    df = spark.createDataFrame([(i,) for i in range(1, 12)], "k int")
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(1, 12)}
+    centre: dict[int, int] = {}
+    for i in sorted(near, key=lambda i: (-len(near[i]), i)):
+        if i not in centre:
+            centre[i] = i
+            for j in near[i]:
+                centre.setdefault(j, i)
+    got = similarity.sphere_exclusion(df, "k", spark.createDataFrame(pairs, "a int, b int"))
+    assert {r.k: r.centroid for r in got.collect()} == centre
+
+
+def test_global_rank_of_empty_and_tied_rows(spark):
+    df = spark.range(0, 500, 1, 7).select("id", (F.col("id") % 3).alias("k"))
+    ranks = {r.id: r.rn for r in selection.global_rank(df, [F.col("k"), F.desc("id")]).collect()}
+    assert [i for i, _ in sorted(ranks.items(), key=lambda x: x[1])] == sorted(range(500), key=lambda i: (i % 3, -i)) and sorted(ranks.values()) == list(range(1, 501))
+    assert selection.global_rank(df.where("false"), [F.col("id")]).count() == 0
+
+
+def test_nearest_without_points(spark):
+    anc = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "anchor int, ax double, ay double, az double")
+    pts = spark.createDataFrame([(0.0, 0.0, 900.0)], "x double, y double, z double")
+    assert spatial.nearest(anc, pts, "anchor", 0.1).first().dist == 900.0
+    assert spatial.nearest(anc, pts.where("false"), "anchor", 0.1).first().dist == float("inf")
