@@ -12,10 +12,15 @@ hash of its slots by then.
 The wrapper tells where the article is on a host's pages and which blocks are
 its template: an element whose whole text is the same on several different pages
 holds no article, whatever its name or class, and constants at their aligned
-place are dropped inside an article too.  Text that varies is never dropped for
-being optional or in a repeated group, as paragraphs are both.  Names and classes
-choose between the elements that are left, and alone on hosts with few pages.
+place are dropped inside an article too.  A place whose text is links on all pages
+taken together is a menu where the host names no article, and so is a place of
+short, linked articles beside longer ones (teasers).  Other text that varies is never
+dropped for being optional or in a repeated group, as paragraphs are both.  Names and
+classes choose between the elements that are left, and alone on hosts with few pages.
 Each page is then read whole against its host's wrapper.
+
+A sequence of siblings that stays too irregular for groups and options is summarised
+as (a? b? ...)+, which keeps names but not places; no text is lost by it.
 """
 
 from __future__ import annotations
@@ -57,6 +62,10 @@ WIDEST = 24
 DIFFERENT = 5
 #: Levels of nesting that a path shows in full.
 DEEPEST = 120
+#: Share of a place's text in links from which it is a menu, and from which short articles are teasers.
+MENU, TEASER = 0.8, 0.3
+#: So many times shorter than the host's longest articles are teasers.
+SHORTER = 4
 
 
 def part_of(tag: str, attributes: str) -> str:
@@ -83,7 +92,7 @@ def noisy(key: str) -> bool:
 
 
 class Node:
-    __slots__ = ("key", "children", "text", "optional", "repeated", "pages", "seen", "whole")
+    __slots__ = ("key", "children", "text", "optional", "repeated", "pages", "seen", "whole", "chars", "links")
 
     def __init__(self, key: str):
         self.key, self.children, self.text = key, [], None
@@ -91,9 +100,10 @@ class Node:
         self.seen: tuple[int, ...] = ()  # up to DIFFERENT of the different pages that hold the constant text
         #: Of an element that can hold an article: hash of all its text and up to DIFFERENT pages, while all pages agree; then VARIES.
         self.whole: tuple[int, tuple[int, ...]] | int | None = None
+        self.chars = self.links = 0  # code points of its own text on all pages, and of those the ones in links
 
     def to(self) -> list:
-        return [self.key, self.text, int(self.optional) + 2 * int(self.repeated), self.pages, [c.to() for c in self.children], self.seen, self.whole]
+        return [self.key, self.text, int(self.optional) + 2 * int(self.repeated), self.pages, [c.to() for c in self.children], self.seen, self.whole, self.chars, self.links]
 
     @staticmethod
     def of(x: list) -> Node:
@@ -102,11 +112,12 @@ class Node:
         n.children = [Node.of(c) for c in x[4]]
         n.seen = tuple(x[5])
         n.whole = (x[6][0], tuple(x[6][1])) if isinstance(x[6], (list, tuple)) else x[6]
+        n.chars, n.links = x[7:9]
         return n
 
 
 def walk(source: str) -> Iterator[tuple[str, str | tuple[str, ...]]]:
-    """('open', path), ('close', path), ('break', path) and ('text', raw): block structure with the path of open elements; implied ends are closed.
+    """('open', path), ('close', path), ('break', path), ('text', raw) and ('link', 'open' or 'close'): block structure with the path of open elements; implied ends are closed.
 
     Elements nested deeper than DEEPEST show in the path only if they have a part to play."""
     stack: list[str] = []
@@ -162,6 +173,8 @@ def walk(source: str) -> Iterator[tuple[str, str | tuple[str, ...]]]:
         if tag in VOID:
             continue
         if tag in INLINE:
+            if tag == "a":
+                yield "link", "close" if closing else "open"
             if closing:
                 if tag in stack:
                     below = len(stack) - 1 - stack[::-1].index(tag)
@@ -208,6 +221,8 @@ def blocks(source: str) -> Iterator[tuple[tuple[str, ...], str]]:
     held: list[str] = []
     path: tuple[str, ...] = ()
     for kind, what in walk(source):
+        if kind == "link":
+            continue
         if kind == "text":
             held.append(what)
             continue
@@ -230,6 +245,7 @@ def outline(source: str) -> tuple[Node, list[Node | None], int]:
     whole = xxh3_64()
     holders: list[tuple[Node, object]] = []
     path: tuple[str, ...] = ()
+    linked, link = 0, -1  # code points of links since the last block, and the depth at which a link is open
 
     def open_holders() -> list[tuple[Node, object]]:
         while holders and not any(holders[-1][0] is x for x in open_nodes):
@@ -240,6 +256,7 @@ def outline(source: str) -> tuple[Node, list[Node | None], int]:
         node.whole = (own.intdigest() >> 1, ())
 
     def flush(path: tuple[str, ...]) -> None:
+        nonlocal linked, link
         if held and (text := squeezed(held)):
             del open_nodes[len(path) + 1 :]  # inline elements that have ended
             # text in an inline element has no node: such elements are noise
@@ -252,11 +269,20 @@ def outline(source: str) -> tuple[Node, list[Node | None], int]:
             if node is not None:
                 slot = (xxh3_64_intdigest(text) >> 1, len(text))
                 node.text = slot if node.text is None else (xxh3_64_intdigest(f"{node.text}{slot}") >> 1, node.text[1] + slot[1])
+                node.chars += len(text)
+                node.links += min(len(text), linked)
         held.clear()
+        linked = 0
+        if len(path) < link:  # a link that was never closed ends with its element
+            link = -1
 
     for kind, what in walk(source):
+        if kind == "link":
+            link = len(path) if what == "open" else -1
+            continue
         if kind == "text":
             held.append(what)
+            linked += len(what.strip()) if link >= 0 else 0
             continue
         flush(what[:-1] if kind == "open" else what)
         path = what[:-1] if kind == "close" else what
@@ -294,6 +320,14 @@ def folded(node: Node, page: int) -> Node:
     return node
 
 
+def alike(a: Node, b: Node) -> bool:
+    """Whether two siblings can be one repeated element: boxes only if half of what they hold is the same."""
+    if a.key != b.key or a.key not in ("div", "section"):
+        return a.key == b.key
+    x, y = ({g.key for c in n.children for g in (c.children if c.key.startswith("(") else [c])} for n in (a, b))
+    return 2 * len(x & y) >= len(x | y)
+
+
 def fold(children: list[Node]) -> list[Node]:
     for length in range(1, 5):
         out: list[Node] = []
@@ -303,7 +337,7 @@ def fold(children: list[Node]) -> list[Node]:
             names = [c.key for c in some]
             j = i + length
             runs = [some]
-            while len(some) == length and [c.key for c in children[j : j + length]] == names:
+            while len(some) == length == len(children[j : j + length]) and all(map(alike, some, children[j : j + length])):
                 runs.append(children[j : j + length])
                 j += length
             if len(runs) == 1 or (length > 1 and len(set(names)) == 1):
@@ -349,6 +383,8 @@ def merge(a: Node, b: Node, within: bool = False) -> None:
     """Align ``b`` into ``a`` (equal keys).  within: both stand on the same page."""
     a.optional |= b.optional
     a.repeated |= b.repeated
+    a.chars += b.chars
+    a.links += b.links
     if not within:
         a.pages += b.pages
     if a.text != b.text:
@@ -442,7 +478,8 @@ def roles(node: Node) -> dict:
     """What extraction needs of a wrapper: the kind of element that holds the article, and the template, as what :func:`skeleton` leaves of the wrapper.
 
     The kind is the first of article, main and words whose text varies between the host's
-    pages (or whose pages are too few to tell); ``body`` if there are such elements, but all are template."""
+    pages (or whose pages are too few to tell); ``body`` if there are such elements, but all are template.
+    Menus are part of the template."""
     found: set[str] = set()
     fixed = False
 
@@ -462,25 +499,75 @@ def roles(node: Node) -> dict:
 
     visit(node, False)
     main = next((k for k in ("article", "main", "words") if k in found), "body" if fixed else "")
-    return {"main": main, "template": skeleton(node)}
+    if node.pages < DIFFERENT:
+        menus: dict[int, float] = {}
+    elif main in ("", "body"):
+        menus = dict.fromkeys(linked_places(node), MENU)
+    else:
+        menus = dict.fromkeys(teasers(node, main), TEASER)
+    return {"main": main, "template": skeleton(node, menus)}
+
+
+def amounts(node: Node) -> tuple[int, int]:
+    """(code points, code points in links) of an element's whole text outside noise."""
+    if node.key and not node.key.startswith("(") and noisy(node.key):
+        return 0, 0
+    inner = [amounts(c) for c in node.children]
+    return node.chars + sum(c for c, _ in inner), node.links + sum(n for _, n in inner)
+
+
+def links_of(node: Node) -> float:
+    chars, links = amounts(node)
+    return links / chars if chars else 0.0
+
+
+def linked_places(node: Node) -> set[int]:
+    """ids of the outermost elements whose text is links."""
+    out: set[int] = set()
+    todo = list(node.children)
+    while todo:
+        x = todo.pop()
+        chars, links = amounts(x)
+        if chars and links >= MENU * chars and x.key.split(".")[0] not in ("h1", "body", "html"):
+            out.add(id(x))
+        else:
+            todo.extend(x.children)
+    return out
+
+
+def teasers(node: Node, main: str) -> set[int]:
+    """ids of the article elements that are short and linked beside the host's longer ones."""
+    found: list[tuple[Node, int, int]] = []
+    todo = list(node.children)
+    while todo:
+        x = todo.pop()
+        if x.key.startswith("(") or not noisy(x.key) and not holds_article(x.key, main):
+            todo.extend(x.children)
+        elif not noisy(x.key):
+            found.append((x, *amounts(x)))
+    most = max((chars for _, chars, _ in found), default=0)
+    return {id(x) for x, chars, links in found if chars * SHORTER < most and links >= TEASER * chars > 0}
 
 
-def skeleton(node: Node) -> list | None:
-    """[key, constant or none, whether it recurs, children, constant of all its text or none] of the nodes around template text, None if there is none.
+def skeleton(node: Node, menus: dict[int, float]) -> list | None:
+    """[key, constant or none, whether it recurs, children, constant of all its text or none, share of links from which it is a menu or 0] of the nodes around template text, None if there is none.
 
-    Template is the same text at the same place of DIFFERENT pages, in an element of its own.  Siblings
-    without any stay, as they tell the place of the others."""
+    Template is the same text at the same place of DIFFERENT pages, in an element of its own, and what
+    ``menus`` has.  Siblings without any stay, as they tell the place of the others."""
     bare = not node.key or node.key.startswith("(")
     if not bare and noisy(node.key):
         return None
     fixed = not bare and isinstance(node.text, tuple) and len(node.seen) >= DIFFERENT and node.key.split(".")[0] not in ("h1", "p", "article", "main")
+    if id(node) in menus:
+        least = menus[id(node)]
+        return [node.key, None, node.repeated, [[c.key, None, False, [], None, least] for c in node.children] if node.key.startswith("(") else [], None, least]
     if not bare and fixed_whole(node):
-        return [node.key, None, node.repeated, [], node.whole[0]]
-    inner = [skeleton(c) for c in node.children]
+        return [node.key, None, node.repeated, [], node.whole[0], 0]
+    inner = [skeleton(c, menus) for c in node.children]
     if not fixed and not any(inner):
         return None
-    children = [k or [c.key, None, c.repeated, [[g.key, None, False, [], None] for g in c.children] if c.key.startswith("(") else [], None] for k, c in zip(inner, node.children, strict=True)] if any(inner) else []
-    return [node.key, node.text[0] if fixed else None, node.repeated, children, None]
+    children = [k or [c.key, None, c.repeated, [[g.key, None, False, [], None, 0] for g in c.children] if c.key.startswith("(") else [], None, 0] for k, c in zip(inner, node.children, strict=True)] if any(inner) else []
+    return [node.key, node.text[0] if fixed else None, node.repeated, children, None, 0]
 
 
 def placed(children: list[Node], bones: list[list]) -> Iterator[tuple[Node, list]]:
@@ -519,7 +606,7 @@ def template_nodes(root: Node, bones: list) -> set[int]:
         node, bone = todo.pop()
         if bone[1] is not None and node.text is not None and node.text[0] == bone[1]:
             out.add(id(node))
-        if bone[4] is not None and node.whole is not None and node.whole[0] == bone[4]:
+        if bone[5] and links_of(node) >= bone[5] or bone[4] is not None and node.whole is not None and node.whole[0] == bone[4]:
             inner = [node]
             while inner:
                 out.add(id(inner[-1]))

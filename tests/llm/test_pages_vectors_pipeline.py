@@ -111,6 +111,36 @@ def test_wrapper_decides_where_the_article_is():
     assert wrappers.article(pages[2], few) == "Join us\nBecome a member\ntoday"
 
 
+def test_places_of_links_are_menus():
+    rng = random.Random(8)
+    link = lambda: f"<li><a href=/x>{rng.choice('abcdefgh')} {rng.randrange(999)}</a></li>"
+    page = "<body><div class=x1><ul>{m}</ul></div><div class=x2><h1><a href=/t>Title {i}</a></h1><p>Text {i} with <a href=/l>a link</a> and more words</p><ul><li>point {i}</li></ul></div><div class=x3>{n}</div></body>"
+    pages = [page.format(i=i, m=link() + link() * (i % 3), n=f"<p><a href=/r>See {i * 7}</a></p>") for i in range(9)]
+    known = wrapper_of(pages)
+    for i, p in enumerate(pages):
+        assert wrappers.article(p, known) == f"Title {i}\nText {i} with a link and more words\npoint {i}"
+    # without the wrapper, without names, a page alone can't tell
+    assert "See 14" in wrappers.article(pages[2], {})
+    # a host of nothing but links is read whole, and so is one of few pages
+    only = [f"<body><ul><li><a href=/>one {i}</a></ul></body>" for i in range(9)]
+    assert wrappers.article(only[3], wrapper_of(only)) == "one 3"
+    assert "See 14" in wrappers.article(pages[2], wrapper_of(pages[:4]))
+    # a link that is never closed ends with its element
+    torn = [p.replace("</a></h1>", "</h1>") for p in pages]
+    assert wrappers.article(torn[2], wrapper_of(torn)) == wrappers.article(pages[2], known)
+
+
+def test_short_linked_articles_beside_longer_ones_are_teasers():
+    page = "<body><main><article><h1>Title {0}</h1><p>" + "long text {0} " * 40 + "</p></article></main><section><article><h2><a href=/n>News {1}</a></h2><p>short {1}</p></article></section></body>"
+    pages = [page.format(i, i * 3 + 1) for i in range(8)]
+    want = "Title 2\n" + " ".join(["long text 2"] * 40)
+    assert wrappers.article(pages[2], wrapper_of(pages)) == want
+    assert wrappers.article(pages[2], {}) == want + "\nNews 7\nshort 7"
+    # articles of one length are all the page's
+    even = [p.replace("short", "long text " * 40) for p in pages]
+    assert wrappers.article(even[2], wrapper_of(even)).endswith("7")
+
+
 def test_copies_of_a_page_are_no_template():
     page = "<body><script>{}</script><div>Head</div><p>text</p><blockquote>quote</blockquote><table><tr><td>cell</td></tr></table></body>"
     copies = [page.format(i) for i in range(9)]
