@@ -205,22 +205,14 @@ def matcher(windows, names: list[str], types: list[pa.DataType] | None = None):
     return match
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, ids: list[str], *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", length: int = 13) -> DataFrame:
-    """One row per document: ``ids``, n_words, hits (runs of words inside an item's window), items (ids as strings, sorted).
-
-    An item's windows are its runs of ``length`` words; an item of fewer words is one
-    window.  Null texts have no words; items without an id or words take no part;
-    empty tables give no rows, or rows without hits.  Repeated documents each get a row.
-    """
-    if length > GAP:
-        raise ValueError(f"windows can have {GAP} words at most")
+def prepared(docs: DataFrame, benchmark: DataFrame, ids: list[str], text_col: str, item_col: str, item_text: str, length: int) -> list[tuple]:
+    """[(index, windows as a broadcast)]: one for each block of items, all with the same index."""
     spark = docs.sparkSession
     items = benchmark.where(F.col(f"`{item_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("string").alias("item"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    table, results = None, []
-    names = [f"__id_{i}" for i in range(len(ids))]
+    table, out = None, []
     for b in range(blocks):
         some = [(r.item, words_of(r.text)) for r in items.where(part == b).collect()]
         windows = Windows(some, length)
@@ -231,13 +223,85 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, ids: list[str], *, text
             words = spark.createDataFrame([(w,) for w in windows.vocabulary], "term string")
             counts = counts.join(words, "term", "left_semi")
         windows.rank({r.term: r.n for r in counts.collect()})  # no more rows than the block's items have words
+        out.append((table, spark.sparkContext.broadcast(windows)))
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, ids: list[str], *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", length: int = 13) -> DataFrame:
+    """One row per document: ``ids``, n_words, hits (runs of words inside an item's window), items (ids as strings, sorted).
+
+    An item's windows are its runs of ``length`` words; an item of fewer words is one
+    window.  Null texts have no words; items without an id or words take no part;
+    empty tables give no rows, or rows without hits.  Repeated documents each get a row;
+    texts are read whole.  Other columns, whatever their names, take no part; ``ids``
+    can't be called like a result.
+    """
+    if length > GAP:
+        raise ValueError(f"windows can have {GAP} words at most")
+    names = [f"__id_{i}" for i in range(len(ids))]
+    results = []
+    for table, windows in prepared(docs, benchmark, ids, text_col, item_col, item_text, length):
         fields = [T.StructField("segment", T.StringType()), T.StructField("ord", T.IntegerType()), T.StructField("n_words", T.LongType()), *T.StructType.fromDDL(HITS).fields]
         fields += [T.StructField(n, table.schema[n].dataType.elementType) for n in names]
-        results.append(table.mapInArrow(matcher(spark.sparkContext.broadcast(windows), names), T.StructType(fields)))
-    out = results[0] if blocks == 1 else merged(results, names)
+        results.append(table.mapInArrow(matcher(windows, names), T.StructType(fields)))
+    out = results[0] if len(results) == 1 else merged(results, names)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, ids, strict=True)], "n_words", "hits", "items")
 
 
+def finder(windows, names: list[str], distance: int):
+    """mapInArrow: segments to one row for each match: ids, item, kind, start, end (words from 0, end exclusive)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = windows.value
+        known = pa.array(w.vocabulary, pa.string())
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                s = Segment({c: one.column(one.schema.get_field_index(c))[0].as_py() for c in ("n_words", "starts", "positions")})
+                terms = one.column(one.schema.get_field_index("terms")).flatten()
+                if not len(terms) or not len(known):
+                    continue
+                local = pc.fill_null(pc.index_in(known, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                owners = [one.column(one.schema.get_field_index(c)).flatten() for c in names]
+                for window, items, order in zip(w.terms, w.items, w.order, strict=True):
+                    own = local[window]
+                    if own.min() < 0:
+                        continue
+                    exact = phrase(s, own.tolist(), order)
+                    rare = list(dict.fromkeys(own[order].tolist()))  # each term once, the rarest first
+                    close = near(s, rare, list(range(len(rare))), distance)
+                    for kind, places, span in (("phrase", exact, len(window)), ("near", close, 1)):
+                        for item in items if len(places) else ():
+                            doc = s.document(places)
+                            start = places - s.first[doc]
+                            found = {"item": pa.array([item] * len(places)), "kind": pa.array([kind] * len(places)), "start": pa.array(start, pa.int64()), "end": pa.array(start + span, pa.int64())}
+                            yield pa.RecordBatch.from_pydict(found | {c: v.take(pa.array(doc)) for c, v in zip(names, owners, strict=True)})
+        release()
+
+    return find
+
+
+def search(docs: DataFrame, phrases: DataFrame, ids: list[str], *, distance: int = 16, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Every match of whole items as a row: ``ids``, item, kind, start, end.
+
+    kind ``phrase``: the item's words in order at words start..end.  kind ``near``: an occurrence
+    (start) of the item's term that is rarest in the corpus with all its other terms within
+    ``distance`` words of it, in any order.  Items have GAP words at most; null texts have no
+    words; items without an id or words match nothing; empty tables give no rows; repeated
+    documents each have their own matches.
+    """
+    if distance > GAP:
+        raise ValueError(f"distances can be {GAP} words at most")
+    names = [f"__id_{i}" for i in range(len(ids))]
+    out = None
+    for table, windows in prepared(docs, phrases, ids, text_col, item_col, item_text, GAP):
+        fields = T.StructType.fromDDL("item string, kind string, start long, end long").fields
+        fields += [T.StructField(n, table.schema[n].dataType.elementType) for n in names]
+        found = table.mapInArrow(finder(windows, names, distance), T.StructType(fields))
+        out = found if out is None else out.unionByName(found)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, ids, strict=True)], "item", "kind", "start", "end")
+
+
 def merged(results: list[DataFrame], names: list[str]) -> DataFrame:
     """The blocks' rows of each document as one."""
     every = results[0]

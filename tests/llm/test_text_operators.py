@@ -383,6 +383,36 @@ def test_phrases_and_proximity():
     assert s.document(decontam.near(s, [at["b"], at["c"]], [0, 1], 3)).tolist() == [0, 1]
 
 
+def test_search_is_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choices("abcdefghijkl", k=n))
+    rows = [(i, text(rng.randrange(60))) for i in range(60)] + [(3, "A b, c"), (None, "a b c"), (70, None), (71, "")]
+    items = [(i, text(rng.randrange(1, 4))) for i in range(12)] + [(20, "A B"), (21, "a a"), (22, ""), (23, None), (None, "a")]
+    count = Counter(w for _, t in rows for w in words(t))
+    want = Counter()
+    vocabulary = {}
+    for k, t in items:
+        if k is None or not words(t):
+            continue
+        w = words(t)
+        vocabulary[k] = min(w, key=lambda x: count[x])
+        for d, body in rows:
+            b = words(body)
+            for i in range(len(b) - len(w) + 1):
+                want[d, str(k), "phrase", i, i + len(w)] += b[i : i + len(w)] == w
+            least = min(count[x] for x in w)
+            rarest = [x for x in dict.fromkeys(w) if count[x] == least]
+            for i in range(len(b)):
+                if b[i] in rarest[:1] and all(x in b[max(0, i - 4) : i + 5] for x in w):
+                    want[d, str(k), "near", i, i + 1] += 1
+    for size in (32 << 20, 8):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        docs_ = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item": F.lit(1), "start": F.lit(2)})
+        got = decontam.search(docs_, spark.createDataFrame(items, "item_id int, text string"), ["doc_id"], distance=4).collect()
+        assert Counter((r.doc_id, r.item, r.kind, r.start, r.end) for r in got) == +want
+    assert decontam.search(docs_.where("false"), spark.createDataFrame(items, "item_id int, text string"), ["doc_id"]).count() == 0
+
+
 # ---- sharding
 
 
