@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Elements whose lengths are summed at once; keeps prefix sums of n matches at n * (n / 256 + 256) steps.
 STRIDE = 256
+#: Code points of a chunk of a text that pieces are cut from.
+CHUNK = 1024
 
 SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
@@ -28,14 +30,18 @@ def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
 
-def running(lengths: Column) -> Column:
-    """Running totals of a non-empty array of ints."""
-    blocks = F.transform(F.sequence(F.lit(0), ((F.size(lengths) - 1) / STRIDE).cast("int")), lambda b: total(F.slice(lengths, b * STRIDE + 1, STRIDE)))
+def largest(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: F.greatest(a, x))
+
+
+def running(numbers: Column, of: Callable[[Column], Column] = total, both: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Running totals (or what ``of`` and ``both`` make of them) of a non-empty array of ints that aren't negative."""
+    blocks = F.transform(F.sequence(F.lit(0), ((F.size(numbers) - 1) / STRIDE).cast("int")), lambda b: of(F.slice(numbers, b * STRIDE + 1, STRIDE)))
     return let(
         blocks,
-        lambda sums: F.transform(
-            lengths,
-            lambda _, i: total(F.slice(sums, F.lit(1), F.floor(i / STRIDE).cast("int"))) + total(F.slice(lengths, F.floor(i / STRIDE).cast("int") * STRIDE + 1, i % STRIDE + 1)),
+        lambda known: F.transform(
+            numbers,
+            lambda _, i: both(of(F.slice(known, F.lit(1), F.floor(i / STRIDE).cast("int"))), of(F.slice(numbers, F.floor(i / STRIDE).cast("int") * STRIDE + 1, i % STRIDE + 1))),
         ),
     )
 
@@ -73,9 +79,9 @@ def spans(text: Column, pattern: str, context: int = 0, keep: Callable[[Column],
             )
 
         if keep is None:
-            return F.transform(let(lengths, running), one)
+            return F.transform(let(lengths, lambda x: running(x)), one)
         passing = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: keep(F.get(found, i)))
-        return let(let(lengths, running), lambda ends: F.transform(passing, lambda i: one(F.get(ends, i), i)))
+        return let(let(lengths, lambda x: running(x)), lambda ends: F.transform(passing, lambda i: one(F.get(ends, i), i)))
 
     return let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -88,21 +94,29 @@ def joined(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text that is given in chunks of CHUNK."""
+    first = F.floor(start / CHUNK).cast("int")
+    some = F.array_join(F.slice(chunks, first + 1, (F.floor(end / CHUNK) - first + 1).cast("int")), "")
+    return F.when(end > start, F.substr(some, (start % CHUNK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
 def replaced(text: Column, items: Column) -> Column:
-    """The text with each span of ``items`` (structs start, end, label) replaced by its label; overlapping spans become one, with the first's label."""
-    kind = "array<struct<start:int,end:int,label:string>>"
-    ordered = F.array_sort(F.transform(items, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label"))))
+    """The text with each span of ``items`` (structs start, end, label) replaced by its label; overlapping spans become one, with the first's label.
 
-    def fold(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (s["start"] < F.try_element_at(done, F.lit(-1))["end"])
-        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["label"].alias("label"))))
-        return F.when(joins, grown).otherwise(F.concat(done, F.array(s))).cast(kind)
+    Steps grow with spans and text, not with their product: the text is cut into chunks first."""
+    ordered = F.array_sort(F.transform(items, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label"))))
 
-    merged = F.aggregate(ordered, F.expr(f"cast(array() as {kind})"), fold)
+    def merged(o: Column, reach: Column) -> Column:
+        """Spans that don't overlap; reach: the furthest end so far, span by span."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i == 0) | (F.get(o, i)["start"] >= F.get(reach, i - 1)))
+        return let(starts, lambda k: F.transform(k, lambda i, n: F.struct(F.get(o, i)["start"].alias("start"), F.get(reach, F.coalesce(F.get(k, n + 1), F.size(o)) - 1).alias("end"), F.get(o, i)["label"].alias("label"))))
 
-    def write(m: Column) -> Column:
-        pieces = F.transform(m, lambda s, i: F.concat(F.substr(text, F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)), s["label"]))
-        return F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(m, -1)["end"] + 1))
+    def write(m: Column, chunks: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
+        pieces = F.transform(m, lambda s, i: F.concat(cut(chunks, before(i), s["start"]), s["label"]))
+        return F.concat(F.array_join(pieces, ""), cut(chunks, F.element_at(m, -1)["end"], F.length(text)))
 
-    return F.when(F.size(items) > 0, let(merged, write)).otherwise(text)
+    spans_of = let(ordered, lambda o: let(running(F.transform(o, lambda s: s["end"]), largest, F.greatest), lambda reach: merged(o, reach)))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.when(F.size(items) > 0, let(spans_of, lambda m: let(chunks, lambda c: write(m, c)))).otherwise(text)

@@ -8,11 +8,13 @@ of the documents that hold an entity e,
 
 which is 1 when t occurs only where e does.  p counts documents of the whole
 corpus, and so does t stand with e: anywhere in the same document, outside base
-spans.  A pair needs ``support`` different neighbourhoods of the entity (the terms
-among the NEAR_WORDS words within ROOM code points on either side, evidence only),
-so that copies of one document are no evidence.  Terms at or above ``remove`` are
-removed, those at or above ``generalise`` become their class, wherever they stand
-in the documents that hold the entity; documents without base spans stay as they are.
+spans.  A term is any run of letters.  A pair needs ``support`` different
+neighbourhoods of the entity (the terms among the ``near_words`` words within ``room``
+code points on either side), so that copies of one document are no evidence; candidates
+and counts know no window.  Terms at or above ``remove`` are removed, those at or above
+``generalise`` become their class (an acronym, a name or a word, by their letters),
+wherever they stand in the documents that hold the entity; documents without base spans
+stay as they are.
 
 Only DataFrame functions run here.  Counts are partial aggregates; exact copies
 of a text are one row with a weight before anything is exploded.
@@ -36,9 +38,7 @@ BASE = {
 KINDS = list(BASE)
 #: Kinds of the method's spans.
 DERIVED = ["remove", "generalise"]
-TERM = r"(?<!\p{L})\p{L}{3,40}+(?!\p{L})"
-ROOM = 96
-NEAR_WORDS = 8
+TERM = r"\p{L}++"
 FOUND = "array<struct<no:int,start:int,end:int,kind:string,entity:string>>"
 NEAR = "array<struct<entity:string,term:string,start:int,end:int>>"
 TERMS = "array<struct<no:int,start:int,end:int,kind:string>>"
@@ -66,13 +66,13 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def raw_spans(text: Column) -> dict[str, Column]:
-    """Per kind, the passing matches with their surroundings."""
+def raw_spans(text: Column, room: int = 0) -> dict[str, Column]:
+    """Per kind, the passing matches with ``room`` code points on either side."""
     needs = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": F.lit(True), "card": F.lit(True)}
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string,after:string>>)")
 
     def passing(kind: str) -> Column:
-        return spans(text, BASE[kind], ROOM, lambda v: passes(kind, v))
+        return spans(text, BASE[kind], room, lambda v: passes(kind, v))
 
     return {k: F.when(needs[k], passing(k)).otherwise(none) for k in BASE}
 
@@ -106,7 +106,7 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
 
 
-def neighbours(text: Column) -> Column:
+def neighbours(text: Column, near_words: int, room: int) -> Column:
     """Terms among the nearest words on either side of each base span: array<struct<entity,term,start,end>>."""
 
     def of(kind: str, found: Column) -> Column:
@@ -115,26 +115,26 @@ def neighbours(text: Column) -> Column:
         def around(s: Column) -> Column:
             entity = F.concat_ws(":", F.lit(kind), name(s["value"]))
             # a word at the cut edge may be a part of one
-            left = F.filter(spans(s["before"], TERM), lambda w: (w["start"] > 0) | (F.length(s["before"]) < ROOM))
-            right = F.filter(spans(s["after"], TERM), lambda w: (w["end"] < F.length(s["after"])) | (F.length(s["after"]) < ROOM))
-            left = F.slice(F.reverse(left), 1, NEAR_WORDS)
-            right = F.slice(right, 1, NEAR_WORDS)
+            left = F.filter(spans(s["before"], TERM), lambda w: (w["start"] > 0) | (F.length(s["before"]) < room))
+            right = F.filter(spans(s["after"], TERM), lambda w: (w["end"] < F.length(s["after"])) | (F.length(s["after"]) < room))
+            left = F.slice(F.reverse(left), 1, near_words)
+            right = F.slice(right, 1, near_words)
             put = lambda base: lambda w: F.struct(entity.alias("entity"), F.lower(w["value"]).alias("term"), (base + w["start"]).cast("int").alias("start"), (base + w["end"]).cast("int").alias("end"))
             return F.concat(F.transform(left, put(s["start"] - F.length(s["before"]))), F.transform(right, put(s["end"]))).cast(NEAR)
 
         return F.flatten(F.transform(found, around))
 
-    return F.flatten(F.array(*[of(k, c) for k, c in raw_spans(text).items()]))
+    return F.flatten(F.array(*[of(k, c) for k, c in raw_spans(text, room).items()]))
 
 
-def disclosures(docs: DataFrame, text_col: str = "text", support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> tuple[DataFrame, DataFrame]:
+def disclosures(docs: DataFrame, text_col: str = "text", support: int = 3, generalise: float = 0.8, remove: float = 0.95, near_words: int = 8, room: int = 96) -> tuple[DataFrame, DataFrame]:
     """(pairs, contexts): the disclosing pairs (entity, term, kind, no, disclosure), and the neighbours of base spans for each distinct text."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(text.alias("t"))
     near = rows.withColumn("base", base_spans(F.col("t"))).where(F.size("base") > 0)
     near = outside(near, F.col("t"), "base", "free")
     words = terms_of(F.col("t"))
-    near = near.select(F.sha2("t", 256).alias("text_key"), neighbours(F.col("t")).alias("near"), "base", words.alias("words"), terms_of(F.col("free")).alias("own"))
+    near = near.select(F.sha2("t", 256).alias("text_key"), neighbours(F.col("t"), near_words, room).alias("near"), "base", words.alias("words"), F.array_intersect(terms_of(F.col("free")), words).alias("own"))  # what a base span cuts off a word is none
     clear = F.filter("near", lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
     near = near.select("text_key", "words", "own", clear.alias("near"), F.array_distinct(F.transform("base", lambda b: b["entity"])).alias("entities"))
     contexts = stored(near.groupBy("text_key").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("near", "words", "own", "entities")]), "pii-contexts")
@@ -174,7 +174,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame
     """``docs`` with ``spans`` (base spans, then the method's, each with kind, start, end) and ``sanitised``, the text without them.
 
     Base spans become <EMAIL>, <IP>, <CARD>, <PHONE>; removed terms vanish,
-    generalised ones become <TERM>.  Null text has no spans and stays null; rows
+    generalised ones become <ACRONYM>, <NAME> or <WORD>.  Null text has no spans and stays null; rows
     that share a text get the same result; an empty table gives an empty table.
     Input columns named like a result give way to it.
     """
@@ -199,7 +199,9 @@ def sanitise(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame
     terms = F.array_sort(F.transform(every, lambda w: F.struct(w["no"].alias("no"), w["start"].alias("start"), w["end"].alias("end"), F.when(w["no"] == 4, DERIVED[0]).otherwise(DERIVED[1]).alias("kind")))).cast(TERMS)
     found = F.concat(plain, F.when(F.col("__key").isNotNull(), terms).otherwise(F.expr(f"cast(array() as {TERMS})")))
     rows = rows.withColumn("spans", found)
-    label = lambda s: F.when(s["kind"] == DERIVED[0], "").when(s["kind"] == DERIVED[1], "<TERM>").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+    word = lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"])
+    shape = lambda w: F.when(w.rlike(r"^\p{Lu}{2,}$"), "<ACRONYM>").when(w.rlike(r"^\p{Lu}"), "<NAME>").otherwise("<WORD>")
+    label = lambda s: F.when(s["kind"] == DERIVED[0], "").when(s["kind"] == DERIVED[1], shape(word(s))).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     changes = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label")))
     return rows.withColumn("sanitised", F.when(F.col(f"`{text_col}`").isNotNull(), replaced(text, changes))).drop("__base", "__own", "__key", "__free", *[f"__{k}" for k in DERIVED])
 

@@ -323,6 +323,109 @@ def test_terms_far_from_the_entity_disclose_it(spark):
     assert "zorblax" in few.sanitised
 
 
+def plain_sanitised(texts, support=3, generalise=0.8, remove=0.95, near_words=8, room=96):
+    """{text: [kind:start:end of the method's spans]} and {text: sanitised}, from the definitions."""
+    import regex
+
+    base, context, own, around = {}, {}, {}, {}
+    for t in set(texts):
+        found = []
+        for s in plain_pii(t):
+            kind, a, b = s.split(":")
+            v = t[int(a) : int(b)]
+            found.append((kind, int(a), int(b), f"{kind}:{v.lower()}" if kind in ("email", "ip") else f"{kind}:" + re.sub("[^0-9]", "", v)))
+        base[t] = found
+        covered = lambda m: any(m.start() < b and a < m.end() for _, a, b, _ in found)  # noqa: E731, B023
+        context[t] = {w.lower() for w in regex.findall(r"\p{L}+", t)}
+        free = "".join(" " if any(a <= i < b for _, a, b, _ in found) else c for i, c in enumerate(t))
+        own[t] = [(m.start(), m.end()) for m in regex.finditer(r"\p{L}+", free)]
+        for _, a, b, e in found:
+            left = [m for m in regex.finditer(r"\p{L}+", t) if a - room <= m.start() and m.end() <= a and (m.start() > a - room or a <= room - 1)][-near_words:]
+            right = [m for m in regex.finditer(r"\p{L}+", t) if b <= m.start() and m.end() <= b + room and (m.end() < b + room or len(t) - b < room)][:near_words]
+            around.setdefault((t, e), set()).update(m[0].lower() for m in left + right if not covered(m))
+    n, copies = len(texts), Counter(texts)
+    holds, n_term, both, places = Counter(), Counter(), Counter(), {}
+    for t, c in copies.items():
+        for w in context[t]:
+            n_term[w] += c
+        for e in {x[3] for x in base[t]}:
+            holds[e] += c
+            for w in {t[a:b].lower() for a, b in own[t]} & context[t]:
+                both[e, w] += c
+                places.setdefault((e, w), set()).add(frozenset(around[t, e]))
+    level = {}
+    for (e, w), k in both.items():
+        if len(places[e, w]) >= support and holds[e] < n:
+            d = np.log2(k * n / (holds[e] * n_term[w])) / np.log2(n / holds[e])
+            if d >= generalise:
+                level[e, w] = 4 if d >= remove else 5
+    spans, clean = {}, {}
+    for t in set(texts):
+        terms = []
+        for a, b in own[t]:
+            found = [level[x[3], t[a:b].lower()] for x in base[t] if (x[3], t[a:b].lower()) in level]
+            if found:
+                terms.append((min(found), a, b))
+        spans[t] = [("remove" if k == 4 else "generalise") + f":{a}:{b}" for k, a, b in sorted(terms)]
+        shape = lambda w: "<ACRONYM>" if regex.fullmatch(r"\p{Lu}{2,}", w) else "<NAME>" if regex.match(r"\p{Lu}", w) else "<WORD>"
+        every = sorted([(a, b, f"<{k.upper()}>") for k, a, b, _ in base[t]] + [(a, b, "" if k == 4 else shape(t[a:b])) for k, a, b in terms])
+        out, at, end = [], 0, 0
+        for a, b, label in every:
+            if a >= end:
+                out += [t[at:a] if a > at else "", label]
+            end = at = max(end, b)
+        clean[t] = "".join(out) + t[end:]
+    return spans, clean
+
+
+def test_sanitisation_is_brute_force(spark):
+    rng = random.Random(21)
+    people = [(f"{w}@corp.example", w.capitalize(), w[::-1].upper(), f"+1 555 01{i} 2{i}34") for i, w in enumerate(["zorblax", "quuxil", "wembley", "ärzte"])]
+    filler = ["and", "der", "la", "x", "Über", "cats", "dogs", "1999", "12", "\n", "é", "in", "of", "Rome", "4111 1111 1111 1111", "1.2.3.4"]
+    texts = []
+    for _ in range(160):
+        mail, name, tag, phone = rng.choice(people)
+        some = rng.choices(filler[:-2], k=rng.randrange(4, 40))
+        if rng.random() < 0.5:
+            some[0:0] = [name] * (rng.random() < 0.9) + [mail]
+            some += [tag] * (rng.random() < 0.9) + [phone] * (rng.random() < 0.3) + rng.choices(filler, k=3)
+        elif rng.random() < 0.15:
+            some.append(rng.choice([name, tag]))
+        texts.append(" ".join(some))
+    texts += texts[:9] * 3 + [None, ""]
+    whole = [t or "" for t in texts]
+    for thresholds in ({}, {"support": 2, "generalise": 0.5, "remove": 0.9, "near_words": 2, "room": 20}):
+        spans, clean = plain_sanitised(whole, **thresholds)
+        rows = pii.sanitise(docs(spark, texts), **thresholds)
+        got = {r.doc_id: r.spans for r in pii.digest(rows).collect()}
+        for r in rows.collect():
+            t = whole[r.doc_id]
+            assert [x for x in got[r.doc_id].split(",") if x.split(":")[0] in pii.DERIVED] == spans[t], (t, got[r.doc_id])
+            assert r.sanitised == (None if texts[r.doc_id] is None else clean[t])
+        assert any(x.startswith("generalise") for v in spans.values() for x in v) and any(x.startswith("remove") for v in spans.values() for x in v)
+
+
+def test_replacements_of_many_spans(spark):
+    from lodestone.llm import native
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        t = "".join(rng.choice("aé😀b") for _ in range(rng.randrange(0, 4000)))
+        items = [(a, min(len(t), a + rng.randrange(1, 9)), str(k)) for k, a in enumerate(rng.choices(range(max(1, len(t))), k=rng.randrange(0, 300))) if a < len(t)]
+        rows.append((i, t, items))
+    rows.append((60, "x1 " * 40_000, [(3 * i, 3 * i + 2, "<X>") for i in range(40_000)]))
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<start:int,end:int,label:string>>")
+    for r in df.select("i", native.replaced(F.col("t"), F.col("s")).alias("out")).collect():
+        _, t, items = rows[r.i]
+        out, at = [], 0
+        for a, b, label in sorted(items):
+            if a >= at:
+                out += [t[at:a], label]
+            at = max(at, b)
+        assert r.out == "".join(out) + t[at:]
+
+
 def test_context_of_spans_is_plain(spark):
     from lodestone.llm import native
 
