@@ -45,32 +45,45 @@ def interface_flags(res: Column) -> dict[str, Column]:
     return {"is_apolar": res.isin(INTERFACE_APOLAR), "is_polar": res.isin(INTERFACE_POLAR), "is_aromatic": res.isin(INTERFACE_AROMATIC), "is_aliphatic": res.isin(INTERFACE_ALIPHATIC)}
 
 
-def site_kinds(resname: Column, atom_name: Column, elem: Column, hetatm: Column, backbone: bool = True) -> Column:
-    """The kinds of interaction site that an atom is: array<string>.
-
-    The first rule that applies decides, so order matters: the ring nitrogen of
-    histidine is decided before the element rules, its backbone nitrogen by them.
-    """
-    res, atom, el = F.upper(resname), F.upper(F.trim(atom_name)), F.upper(F.trim(elem))
+#: Which sites an atom is: residues, atoms and elements that a rule is about (blank: any), whether it is about hetero
+#: groups only, and the kinds of site it gives (blank: none).  The first rule that applies to an atom decides.
+SITE_RULES = [
+    ("ASP GLU", "OD1 OD2 OE1 OE2", "", False, "acceptor neg"),
+    ("LYS", "NZ", "", False, "donor pos"),
+    ("ARG", "NE NH1 NH2", "", False, "donor pos"),
+    ("ASN GLN", "OD1 OE1", "", False, "acceptor"),
+    ("ASN GLN", "ND2 NE2", "", False, "donor"),
+    ("ASN GLN", "", "", False, ""),
+    ("SER THR TYR", "OG OG1 OH", "", False, "donor acceptor"),
+    ("HIS", "ND1 NE2", "", False, "acceptor aromatic"),
+    ("HIS", "CE1 CD2 CG", "", False, "aromatic"),
+    ("TRP", "NE1", "C N", False, "aromatic donor"),
+    ("TRP", "NE1", "", False, "donor"),
+    ("PHE TYR TRP", "", "C N", False, "aromatic"),
+    ("PHE TYR TRP", "", "", False, ""),
+    ("", "", "O", True, "acceptor"),
+    ("", "", "N", True, "donor acceptor"),
+    ("", "", "C S", True, "hydrophobe"),
+    ("", "", "", True, ""),
+    ("ALA VAL LEU ILE MET PRO", "", "C S", False, "hydrophobe"),
+    ("", "", "O", False, "acceptor"),
+    ("", "", "N", False, "donor"),
+    ("", "", "S", False, "hydrophobe"),
+]
+BACKBONE = "N C O OXT CA"
 
-    def kinds(*names: str) -> Column:
-        return F.array(*[F.lit(n) for n in names]) if names else F.expr("cast(array() as array<string>)")
 
-    none = kinds()
-    hydroxyl = res.isin("SER", "THR", "TYR") & atom.isin("OG", "OG1", "OH")
-    ring_his = (res == "HIS") & atom.isin("ND1", "NE2", "CE1", "CD2", "CG")
-    ring = F.when(el.isin("C", "N"), kinds("aromatic")).otherwise(none)
-    rules = F.when(F.lit(not backbone) & ~hetatm & atom.isin("N", "C", "O", "OXT", "CA"), none)
-    rules = rules.when(res.isin("ASP", "GLU") & atom.isin("OD1", "OD2", "OE1", "OE2"), kinds("acceptor", "neg"))
-    rules = rules.when((res == "LYS") & (atom == "NZ"), kinds("donor", "pos"))
-    rules = rules.when((res == "ARG") & atom.isin("NE", "NH1", "NH2"), kinds("donor", "pos"))
-    rules = rules.when(res.isin("ASN", "GLN"), F.when(atom.isin("OD1", "OE1"), kinds("acceptor")).when(atom.isin("ND2", "NE2"), kinds("donor")).otherwise(none))
-    rules = rules.when(hydroxyl, kinds("donor", "acceptor"))
-    rules = rules.when(ring_his, F.when(atom.isin("ND1", "NE2"), kinds("acceptor", "aromatic")).otherwise(kinds("aromatic")))
-    rules = rules.when(res.isin("PHE", "TYR", "TRP"), F.concat(ring, F.when((res == "TRP") & (atom == "NE1"), kinds("donor")).otherwise(none)))
-    rules = rules.when(hetatm, F.when(el == "O", kinds("acceptor")).when(el == "N", kinds("donor", "acceptor")).when(el.isin("C", "S"), kinds("hydrophobe")).otherwise(none))
-    rules = rules.when(res.isin("ALA", "VAL", "LEU", "ILE", "MET", "PRO") & el.isin("C", "S"), kinds("hydrophobe"))
-    return rules.when(el == "O", kinds("acceptor")).when(el == "N", kinds("donor")).when(el == "S", kinds("hydrophobe")).otherwise(none)
+def site_kinds(resname: Column, atom_name: Column, elem: Column, hetatm: Column, backbone: bool = True) -> Column:
+    """The kinds of interaction site that an atom is: array<string>; without ``backbone`` the main chain's atoms are none."""
+    parts = (F.upper(resname), F.upper(F.trim(atom_name)), F.upper(F.trim(elem)))
+    out = F.expr("cast(array() as array<string>)")
+    for *names, hetero_only, kinds in reversed(SITE_RULES):
+        applies = hetatm if hetero_only else F.lit(True)
+        for value, allowed in zip(parts, names, strict=True):
+            applies = applies & value.isin(allowed.split()) if allowed else applies
+        given = F.array(*[F.lit(k) for k in kinds.split()]) if kinds else F.expr("cast(array() as array<string>)")
+        out = F.when(applies, given).otherwise(out)
+    return out if backbone else F.when(~hetatm & parts[1].isin(BACKBONE.split()), F.expr("cast(array() as array<string>)")).otherwise(out)
 
 
 def direction_bases(spark: SparkSession) -> DataFrame:
