@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import geometry
+
 ATOM = "struct<elem:string,x:double,y:double,z:double>"
 BOND = "struct<a:int,b:int,order:int>"
 #: Average weights of the elements that designs are made of.
@@ -85,6 +87,39 @@ def largest_fragment(df: DataFrame, atoms: str = "atoms", bonds: str = "bonds")
     return rows.withColumns({bonds: kept, atoms: F.transform("__own", lambda i: F.get(atoms, i))}).drop("__of", "__best", "__own")
 
 
+def feature_direction(atoms: Column, bonds: Column, ids: Column) -> Column:
+    """The unit vector from the neighbours of a feature's atoms (places from 0) to the atoms' centre; null without neighbours."""
+    at = lambda i: F.array(F.get(atoms, i)["x"], F.get(atoms, i)["y"], F.get(atoms, i)["z"])
+    own = lambda i: F.array_contains(ids, i - 1)
+    out = F.flatten(F.transform(bonds, lambda b: F.when(own(b["a"]) & ~own(b["b"]), F.array(b["b"])).when(own(b["b"]) & ~own(b["a"]), F.array(b["a"])).otherwise(F.expr("cast(array() as array<int>)"))))
+    away = geometry.centroid(F.transform(out, lambda i: at(i - 1)))
+    return geometry.unit_vector(F.zip_with(geometry.centroid(F.transform(ids, at)), away, lambda a, b: a - b))
+
+
+def ring_plane(atoms: Column, ids: Column) -> Column:
+    """struct(centroid, normal) of a ring's atoms (places from 0)."""
+    points = F.transform(ids, lambda i: F.array(F.get(atoms, i)["x"], F.get(atoms, i)["y"], F.get(atoms, i)["z"]))
+    return F.struct(geometry.centroid(points).alias("centroid"), geometry.plane_normal(points).alias("normal"))
+
+
+def grown(states: DataFrame, choices: DataFrame, attach: str = "attach") -> DataFrame:
+    """States (atoms with free_h, bonds, the place to grow at, a choice's name) with the choice's atom and its extras bonded on.
+
+    ``choices`` has a row for each name, a few dozen: (name, elem, order, free_h, extras array<struct<elem,order,free_h>>).
+    A bond of higher order than the atom has free hydrogens is impossible and the state goes.
+    Places of new atoms are null until the state is embedded."""
+    rows = states.join(F.broadcast(choices.select("name", *[F.col(c).alias(f"__{c}") for c in ("elem", "order", "free_h", "extras")])), "name")
+    here = F.get("atoms", F.col(attach))
+    rows = rows.where(here["free_h"] >= F.col("__order")).withColumn("__n", F.size("atoms"))
+    none = F.lit(None).cast("double")
+    atom = lambda elem, free: F.struct(elem.alias("elem"), none.alias("x"), none.alias("y"), none.alias("z"), free.alias("free_h"))
+    bond = lambda a, b, order: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), order.alias("order"))
+    old = F.transform("atoms", lambda x, i: F.when(i == F.col(attach), x.withField("free_h", x["free_h"] - F.col("__order"))).otherwise(x))
+    atoms = F.concat(old, F.array(atom(F.col("__elem"), F.col("__free_h"))), F.transform("__extras", lambda e: atom(e["elem"], e["free_h"])))
+    bonds = F.concat("bonds", F.array(bond(F.col(attach) + 1, F.col("__n") + 1, F.col("__order"))), F.transform("__extras", lambda e, i: bond(F.col("__n") + 1, F.col("__n") + 2 + i, e["order"])))
+    return rows.withColumns({"atoms": atoms, "bonds": bonds}).drop("__elem", "__order", "__free_h", "__extras", "__n")
+
+
 def lipinski(mw: Column, logp: Column, hbd: Column, hba: Column) -> Column:
     return (mw <= 500) & (logp <= 5) & (hbd <= 5) & (hba <= 10)
 

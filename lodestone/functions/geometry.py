@@ -36,9 +36,8 @@ def centroid(points: Column) -> Column:
 
 
 def plane_normal(points: Column) -> Column:
-    """The unit normal of the plane through the first point and the first pair of others not in line with it; null if there is none."""
-    first = F.get(points, 0)
-    arms = F.transform(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), lambda p: F.zip_with(p, first, lambda a, b: a - b))
+    """The unit normal of the plane through the centroid and the first pair of points not in line with it; null if there is none."""
+    arms = F.transform(points, lambda p: F.zip_with(p, centroid(points), lambda a, b: a - b))
     normals = F.flatten(F.transform(arms, lambda a, i: F.transform(F.filter(arms, lambda b, j: j > i), lambda b: unit_vector(cross(a, b)))))
     return F.get(F.filter(normals, lambda n: n.isNotNull()), 0)
 

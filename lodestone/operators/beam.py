@@ -79,9 +79,9 @@ def made(poses: DataFrame, ph4_weight: float = 0.0, interaction_weight: float =
 
 
 def extendable(atoms: str, states: DataFrame) -> DataFrame:
-    """One row for each atom with a free hydrogen: (state, attach index)."""
+    """One row for each heavy atom with a free hydrogen: (state, attach index)."""
     out = states.select("*", F.posexplode(atoms).alias("attach", "atom"))
-    return out.where("atom.free_h > 0").drop("atom")
+    return out.where("atom.free_h > 0 and atom.elem <> 'H'").drop("atom")
 
 
 def expansions(states: DataFrame, fragments: DataFrame, group: list[str], max_attach: int, max_frags: int, seed: int) -> DataFrame:

@@ -24,9 +24,18 @@ def tanimoto(a: Column, b: Column, na: Column, nb: Column) -> Column:
 def similarity_join(df: DataFrame, key: str, words: str, cutoff: float) -> DataFrame:
     """Pairs (a < b) with similarity >= cutoff: (a, b, sim).
 
-    A pair that similar has bit counts in the ratio cutoff or nearer, so a row is
-    sent to the counts it can match and an equi-join on counts finds the rest."""
+    Sparse fingerprints (an eighth of the bits set, or fewer, on average) are joined on rare
+    bits, dense ones on the numbers of bits that can match; both are exact."""
     rows = df.select(F.col(key).alias("k"), F.col(words).alias("w"), bits(F.col(words)).alias("n")).where("n > 0")
+    share = rows.agg(F.avg("n").alias("n"), F.max(F.size("w")).alias("words")).first()
+    if share.n is not None and share.n * 8 <= share.words * 64:
+        return rare_bit_join(rows, cutoff)
+    return count_join(rows, cutoff)
+
+
+def count_join(rows: DataFrame, cutoff: float) -> DataFrame:
+    """A pair that similar has bit counts in the ratio cutoff or nearer, so a row is sent to
+    the counts it can match and an equi-join on counts finds the rest."""
     right = rows.select(F.col("k").alias("b"), F.col("w").alias("wb"), F.col("n").alias("nb"))
     lo = F.ceil(F.col("n") * F.lit(cutoff) - 1e-9).cast("int")
     hi = F.floor(F.col("n") / F.lit(cutoff) + 1e-9).cast("int")
@@ -35,6 +44,27 @@ def similarity_join(df: DataFrame, key: str, words: str, cutoff: float) -> DataF
     return left.join(right, "nb").where("a < b").select("a", "b", sim.alias("sim")).where(F.col("sim") >= cutoff)
 
 
+def rare_bit_join(rows: DataFrame, cutoff: float) -> DataFrame:
+    """A pair that similar shares one of the n - ceil(cutoff * n) + 1 rarest bits of either row,
+    so rows meet on those bits only; a pair is compared at the rarest bit that both have there.
+
+    Common bits, which would gather many rows, are rarely among a row's rarest."""
+    place = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) * 64 - 1), lambda i: F.get(w, F.floor(i / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))) != 0)
+    rows = rows.withColumn("bits", place(F.col("w")))
+    counts = rows.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count("*").alias("c")).collect()  # one row for each bit of a fingerprint
+    order = {r.bit: i for i, r in enumerate(sorted(counts, key=lambda r: (r.c, r.bit)))}
+    if not order:
+        return count_join(rows.drop("bits"), cutoff)
+    rank = F.lit([order.get(i, 0) for i in range(max(order) + 1)])
+    ranked = F.array_sort(F.transform("bits", lambda b: F.get(rank, b)))
+    rows = rows.withColumn("own", F.slice(ranked, F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(cutoff) - 1e-9) + 1).cast("int"))).drop("bits")
+    side = lambda s: rows.select(F.col("k").alias(s), F.col("w").alias(f"w{s}"), F.col("n").alias(f"n{s}"), F.col("own").alias(f"own{s}"), F.explode("own").alias("bit"))
+    pairs = side("a").join(side("b"), "bit").where((F.col("a") < F.col("b")) & (F.col("bit") == F.array_min(F.array_intersect("owna", "ownb"))))
+    pairs = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(cutoff) - 1e-9)
+    sim = tanimoto(F.col("wa"), F.col("wb"), F.col("na"), F.col("nb"))
+    return pairs.select("a", "b", sim.alias("sim")).where(F.col("sim") >= cutoff)
+
+
 def sphere_exclusion(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """(key, centroid): largest neighbourhood first, ties by key.
 

@@ -53,6 +53,16 @@ def csv_files(spark, sf):
     return back.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), numeric.lenient_double(F.col("c_acctbal")).alias("balance"))
 
 
+@query("SELECT c_custkey::VARCHAR AS key, c_name AS name, 'N' || c_nationkey AS annotation FROM customer")
+def csv_rewrite(spark, sf):
+    """A CSV table annotated in place, from what it held itself."""
+    path = scratch(spark, "csv")
+    writers.write_csv(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"), path)
+    old = tables.read_csv(spark, path)
+    writers.rewrite_csv(old.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("annotation")), path)
+    return tables.read_csv(spark, path).select("key", "name", "annotation")
+
+
 @query("SELECT DISTINCT 'runs/' || p_brand || '_summary.csv' AS path, 'runs/' || p_brand || '_all_filtered.sdf' AS companion FROM part")
 def summary_companions(spark, sf):
     files = tables.newest_files(table(spark, sf, "part").select(F.concat(F.lit("runs/"), F.col("p_brand"), F.lit("_summary.csv")).alias("path")))
@@ -370,6 +380,22 @@ def growth_seeds(spark, sf):
     return beam.extendable("atoms", states.withColumn("atoms", full)).select("anchor", "smiles", "attach", F.get("atoms", 0)["x"].alias("x"))
 
 
+@query(
+    """SELECT s_suppkey AS state, attach, name, (2 + 1 + CASE WHEN name = 'carbonyl' THEN 1 ELSE 0 END)::INT AS n_atoms, (1 + 1 + CASE WHEN name = 'carbonyl' THEN 1 ELSE 0 END)::INT AS n_bonds,
+ CASE attach WHEN 0 THEN s_suppkey % 4 ELSE 1 END - (CASE WHEN name = 'alkene' THEN 2 ELSE 1 END) AS left_h FROM supplier, (SELECT unnest([0, 1]) AS attach), (SELECT unnest(['methyl', 'alkene', 'carbonyl']) AS name)
+ WHERE CASE attach WHEN 0 THEN s_suppkey % 4 ELSE 1 END >= CASE WHEN name = 'alkene' THEN 2 ELSE 1 END""",
+    INT="left_h attach",
+)
+def growth_atoms(spark, sf):
+    """Single atoms, double bonds and atoms with an extra one, grown where the valence allows it."""
+    atom = lambda e, h: F.struct(F.lit(e).alias("elem"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), h.cast("int").alias("free_h"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("state"), F.array(atom("C", F.col("s_suppkey") % 4), atom("N", F.lit(1))).alias("atoms"), F.expr("array(named_struct('a', 1, 'b', 2, 'order', 1))").alias("bonds"))
+    choices = spark.createDataFrame([("methyl", "C", 1, 3, []), ("alkene", "C", 2, 2, []), ("carbonyl", "C", 1, 1, [("O", 2, 0)])], "name string, elem string, order int, free_h int, extras array<struct<elem:string,order:int,free_h:int>>")
+    states = s.withColumn("attach", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("name", F.explode(F.array(*[F.lit(n) for n in ("methyl", "alkene", "carbonyl")])))
+    out = chemistry.grown(states, choices)
+    return out.select("state", "attach", "name", F.size("atoms").alias("n_atoms"), F.size("bonds").alias("n_bonds"), F.get("atoms", F.col("attach"))["free_h"].alias("left_h"))
+
+
 @query(
     """WITH p AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS qed, l_linenumber::DOUBLE AS sa, CASE WHEN l_partkey % 17 <> 0 THEN l_tax * 5 END AS clash, l_discount * 4 AS outside FROM lineitem)
  SELECT l_orderkey, l_linenumber, round(0.40 * qed + 0.35 * greatest(0.0, (6.5 - sa) / 5.5) + 0.25 * (1 - clash) - 0.30 * outside + 0.5 * 0.25, 6) AS composite FROM p WHERE clash <= 0.30 AND outside <= 0.25"""

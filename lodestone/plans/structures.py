@@ -146,8 +146,8 @@ RINGS = ", ".join(f"('{r}', {_list(a)})" for r, a in residues.RING_ATOMS.items()
 @query(
     f"""WITH {ST}, ring(res, names) AS (VALUES {RINGS}),
  p AS (SELECT file, du_index, chain, resseq, icode, resname, list_position(names, name) AS place, x, y, z FROM a JOIN ring ON res = resname AND list_contains(names, name) JOIN du USING (file) WHERE {D2} <= 64.0),
- g AS (SELECT file, du_index, chain, resseq, icode, resname, avg(x) AS cx, list([x, y, z] ORDER BY place) AS q FROM p GROUP BY ALL HAVING count(*) >= 3),
- e AS (SELECT *, q[2][1] - q[1][1] AS a1, q[2][2] - q[1][2] AS a2, q[2][3] - q[1][3] AS a3, q[3][1] - q[1][1] AS b1, q[3][2] - q[1][2] AS b2, q[3][3] - q[1][3] AS b3 FROM g),
+ g AS (SELECT file, du_index, chain, resseq, icode, resname, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, list([x, y, z] ORDER BY place) AS q FROM p GROUP BY ALL HAVING count(*) >= 3),
+ e AS (SELECT *, q[1][1] - cx AS a1, q[1][2] - cy AS a2, q[1][3] - cz AS a3, q[2][1] - cx AS b1, q[2][2] - cy AS b2, q[2][3] - cz AS b3 FROM g),
  n AS (SELECT *, a2 * b3 - a3 * b2 AS nx, a3 * b1 - a1 * b3 AS ny, a1 * b2 - a2 * b1 AS nz FROM e)
  SELECT file, du_index, chain, resseq, resname, round(cx, 6) AS cx, round(nx / sqrt(nx * nx + ny * ny + nz * nz), 6) AS nx, round(nz / sqrt(nx * nx + ny * ny + nz * nz), 6) AS nz FROM n""",
     INT="du_index",
@@ -420,6 +420,22 @@ def docking_issues(spark, sf):
     return molecules(spark, sf).select("mol", chemistry.incompatible(F.col("atoms"), charges).alias("issue"))
 
 
+@query(
+    """WITH t AS (SELECT mol, x0[1] AS ax, x0[2] AS ay, x0[3] AS az, x0[4] AS bx, x0[5] AS by_, x0[6] AS bz FROM (SELECT vec_id AS mol, list_transform(embedding[1:6], lambda v: v::DOUBLE * 10) AS x0 FROM embeddings)),
+ d AS (SELECT *, ax - (bx + 1) / 2 AS dx, ay - (by_ + 1) / 2 AS dy, az - (bz + 1) / 2 AS dz FROM t), n AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS len FROM d)
+ SELECT mol, round(dx / len, 6) AS ux, round(dz / len, 6) AS uz, round((ax + bx + 1) / 3, 6) AS cx, true AS upright FROM n"""
+)
+def ligand_directions(spark, sf):
+    """The direction of an atom away from its two neighbours, and the plane through the three."""
+    v = lambda i: F.get("embedding", i).cast("double") * 10
+    atom = lambda *p: F.struct(F.lit("C").alias("elem"), *[c.alias(n) for c, n in zip(p, "xyz", strict=True)])
+    one = F.lit(1.0)
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("mol"), F.array(atom(v(0), v(1), v(2)), atom(v(3), v(4), v(5)), atom(one, one, one)).alias("atoms"), F.expr("array(named_struct('a', 2, 'b', 1, 'order', 1), named_struct('a', 1, 'b', 3, 'order', 1), named_struct('a', 2, 'b', 3, 'order', 1))").alias("bonds"))
+    rows = rows.withColumns({"d": chemistry.feature_direction(F.col("atoms"), F.col("bonds"), F.array(F.lit(0))), "p": chemistry.ring_plane(F.col("atoms"), F.array(F.lit(0), F.lit(1), F.lit(2)))})
+    arm = F.array(*[F.get("atoms", 1)[c] - F.get("atoms", 0)[c] for c in "xyz"])
+    return rows.select("mol", F.round(F.get("d", 0), 6).alias("ux"), F.round(F.get("d", 2), 6).alias("uz"), F.round(F.get("p.centroid", 0), 6).alias("cx"), (F.abs(geometry.dot(F.col("p.normal"), arm)) < 1e-6).alias("upright"))
+
+
 @query("SELECT c_custkey, 'AA' || c_custkey % 7 AS key, coalesce(upper(n_name), '') AS gene FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 30")
 def gene_lookup(spark, sf):
     """Chain to accession to gene: of several mappings the first counts, and a row stays one row."""

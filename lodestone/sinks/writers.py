@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.numeric import round_or_blank
@@ -121,11 +122,11 @@ def sweep_report(facts: dict[str, object], front: DataFrame, shortlist: DataFram
     return "\n".join(lines)
 
 
-def save_cache(df: DataFrame, path: str) -> None:
-    """Replace a cache of JSON lines: written beside it first, so that a failed write leaves the old one."""
+def swapped(df: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None]) -> None:
+    """Replace what lies at ``path``: written beside it first, so that a failed write leaves the old one, and ``df`` may read it."""
     spark = df.sparkSession
     fresh, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").json(fresh)
+    write(df.write.mode("overwrite"), fresh)
     at = spark._jvm.org.apache.hadoop.fs.Path
     fs = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     fs.delete(at(old), True)
@@ -135,6 +136,16 @@ def save_cache(df: DataFrame, path: str) -> None:
     fs.delete(at(old), True)
 
 
+def save_cache(df: DataFrame, path: str) -> None:
+    """Replace a cache of JSON lines."""
+    swapped(df, path, lambda w, p: w.json(p))
+
+
+def rewrite_csv(df: DataFrame, path: str) -> None:
+    """Replace a CSV table by a version of itself with other columns."""
+    swapped(df, path, lambda w, p: w.option("header", True).option("emptyValue", "").option("nullValue", "").csv(p))
+
+
 def markdown(df: DataFrame, columns: list[str], limit: int = 20) -> str:
     """A small table for a report."""
     rows = df.select(*columns).limit(limit).collect()

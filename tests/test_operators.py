@@ -300,3 +300,21 @@ def test_nearest_without_points(spark):
     pts = spark.createDataFrame([(0.0, 0.0, 900.0)], "x double, y double, z double")
     assert spatial.nearest(anc, pts, "anchor", 0.1).first().dist == 900.0
     assert spatial.nearest(anc, pts.where("false"), "anchor", 0.1).first().dist == float("inf")
+
+
+def test_rare_bit_join_is_all_pairs(spark):
+    rng = random.Random(6)
+    base = [sorted(rng.sample(range(256), 18)) for _ in range(12)]
+    sets = []
+    for i in range(120):
+        own = set(base[i % 12]) - set(rng.sample(base[i % 12], rng.randrange(5))) | set(rng.sample(range(256), rng.randrange(4))) | {255}
+        sets.append(own if i % 17 else set())
+    word = lambda s, k: sum((1 << (b % 64)) for b in s if b // 64 == k)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(i, [signed(word(s, k)) for k in range(4)]) for i, s in enumerate(sets)], "k int, w array<long>")
+    for cutoff in (0.4, 0.65, 1.0):
+        want = {(i, j) for i in range(120) for j in range(i + 1, 120) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= cutoff * len(sets[i] | sets[j]) - 1e-12}
+        assert {(r.a, r.b) for r in similarity.similarity_join(df, "k", "w", cutoff).collect()} == want
+        rows = df.select("k", "w", similarity.bits(F.col("w")).alias("n")).where("n > 0")
+        assert {(r.a, r.b) for r in similarity.count_join(rows, cutoff).collect()} == want
+    assert similarity.similarity_join(df.where("false"), "k", "w", 0.5).count() == 0
