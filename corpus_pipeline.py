@@ -19,7 +19,7 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those of no clear language."""
+    """Rejects documents without letters (null and empty ones too) and those of no clear language; repeated rows are judged alike."""
     model = langid.train(docs.where(~held_out()), MODEL)
     out = langid.identify(docs, model, into=("__lang", "__score"))
     # a model without languages (no labelled row) tells nothing: then only letters count
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the smallest doc_id (null last), of repeated rows the first."""
+    """Keeps one document of each group: the smallest doc_id (null last), of repeated rows the first; documents without words stay."""
     keyed = stored(docs.withColumn("__uid", F.monotonically_increasing_id()), "near-keyed")
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__uid").alias("uid"))
     groups = neardup.near_duplicates(keyed.select(row.alias("row"), "text"), id_col="row")
@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more of the words stands in benchmark windows."""
+    """Drops documents of which a twentieth or more of the words stands in benchmark windows; those without words stay."""
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.decontaminate(docs.select(key.alias("key"), "text"), benchmark, ["key"])
@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data and what discloses it; keeps every document."""
+    """Replaces personal data and what discloses it; keeps every document, repeated ones too; null texts stay null."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("text"))
     out = pii.sanitise(own)
     columns = [F.col("sanitised").alias(c) if c == "text" else F.length("sanitised").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("doc").getField(c).alias(c) for c in docs.columns]
@@ -55,7 +55,9 @@ def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids, n_tokens and the checks of parity and round trip."""
+    """Adds ids, n_tokens and the checks of parity and round trip; null and empty texts have no ids.
+
+    In all stages an empty table gives an empty table, and columns of other names stay as they are."""
     return sentencepieces.encode(docs, MODEL)
 
 
