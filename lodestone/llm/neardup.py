@@ -302,7 +302,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # forest: nodes with more than one member
     depth = depth_for(threshold, recall)
-    nodes = reps.select("set_key", "sig").mapInArrow(planter(depth), "node long, tree int, set_key binary")
+    # a set of n shingles is at most n / (n + 1) similar to another one: the smallest can't have links
+    exact = Fraction(str(threshold))
+    least = math.ceil(exact / (1 - exact)) if exact < 1 else None
+    plants = reps.where(F.col("n") >= least) if least is not None else reps.where("false")
+    nodes = plants.select("set_key", "sig").mapInArrow(planter(depth), "node long, tree int, set_key binary")
     full = nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
     members = nodes.join(full, "node").join(reps.select("set_key", "sig"), "set_key")
     members = blocked(members, F.ceil(F.col("members") / NODE_BLOCK), "set_key").select("node", "i", "j", "tree", "set_key", "sig")

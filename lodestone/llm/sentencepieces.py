@@ -205,7 +205,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", check: bool
     """``docs`` (columns ``keep``, by default all) with ids, n_tokens, parity and, with ``check``, round_trip: whether decoding the ids gives the text again.
 
     Null and empty texts have no ids.  A text that holds the marker U+2581 itself
-    can't come back as it was.  Columns of these names give way to the results.
+    can't come back as it was.  Texts are encoded whole, however long; repeated rows
+    each get their ids; an empty table gives an empty table.  Columns of these names
+    give way to the results.
     """
     rows, name = with_text(docs, text_col, keep, RESULTS)
     schema = rows.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("parity", "boolean")

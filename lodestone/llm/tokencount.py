@@ -106,7 +106,9 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", keep:
     """``docs`` (columns ``keep``, by default all) with ``n_tokens``, the pieces of the best unigram segmentation of the whole text under the model's scores.
 
     Null and empty texts have none.  A model of another type is read as a unigram
-    model with the scores that it states.  A column of this name gives way.
+    model with the scores that it states.  Texts are counted whole, however long;
+    repeated rows each get their count; an empty table gives an empty table.  A
+    column of this name gives way.
     """
     rows, name = with_text(docs, text_col, keep, ("n_tokens",))
     return rows.mapInArrow(counting(model_path, name), rows.drop("__text").schema.add("n_tokens", "long"))

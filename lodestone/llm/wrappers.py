@@ -729,7 +729,9 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     """``pages`` (columns ``keep``, by default all but the html) with ``text`` and ``n_chars``.
 
     Null or empty html: empty text.  A null address belongs to the empty host.  Pages
-    cut off anywhere are read as far as they go.  Columns text and n_chars give way.
+    cut off anywhere are read as far as they go, and long ones whole.  Repeated rows each
+    get a row and count as one page of the wrapper's evidence; an empty table gives an
+    empty table.  Columns text and n_chars give way.
     """
     keep = [c for c in (keep or [c for c in pages.columns if c != html_col]) if c not in ("text", "n_chars")]
     wrappers = infer(pages, url_col, html_col).select(F.col("host").alias("__host"), F.col("roles").alias("__roles"))
