@@ -57,7 +57,9 @@ ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|aria-hidden|hidden)(?:\s*=\s*(
 #: A slot's state: nothing, a constant (hash and length), or text that varies.
 VARIES = -1
 #: Children of a wrapper node that are kept in order; beyond, they become one repeated group of optional nodes.
-WIDEST = 24
+WIDEST = 64
+#: Siblings of a repeated group.
+LONGEST_GROUP = 8
 #: Different pages that have to agree before text counts as their template.
 DIFFERENT = 5
 #: Levels of nesting that a path shows in full.
@@ -329,7 +331,7 @@ def alike(a: Node, b: Node) -> bool:
 
 
 def fold(children: list[Node]) -> list[Node]:
-    for length in range(1, 5):
+    for length in range(1, LONGEST_GROUP + 1):
         out: list[Node] = []
         i = 0
         while i < len(children):
