@@ -17,7 +17,8 @@ covers whole texts.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ LATTICE = 4096
 PART = 1 << 16
 #: Keeps sums over segmentations within the range of a double: every character counts so many times its probability.
 LIFT = 32.0
+#: Tasks at most that the sample's words are spread over.
+SPREAD = 64
 #: Words whose scores a worker keeps.
 CACHE = 100_000
 
@@ -51,7 +54,13 @@ def vocabulary(path: str) -> list[str]:
     return sorted({p.piece.lower() for p in model.pieces if p.type == 1 and len(p.piece) <= LONGEST})
 
 
-def automaton(pieces: list[str]):
+@lru_cache(maxsize=1)
+def shared_automaton(pieces: tuple[str, ...]):
+    """The automaton of a vocabulary; tasks that follow on one another in a worker share it."""
+    return automaton(pieces)
+
+
+def automaton(pieces: Sequence[str]):
     import ahocorasick
 
     a = ahocorasick.Automaton()
@@ -133,7 +142,7 @@ def user(pieces: list[str], p):
     """mapInArrow: (lang, word, n) to (lang, piece, uses): matches of each piece if ``p`` is none, else expected uses under p[lang]."""
 
     def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, matches, known = len(pieces) + 1, automaton(pieces), None if p is None else p.value
+        size, matches, known = len(pieces) + 1, shared_automaton(tuple(pieces)), None if p is None else p.value
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
@@ -223,14 +232,16 @@ def train(labelled: DataFrame, model_path: str, *, lang_col: str = "lang", text_
     draw = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < share).dropDuplicates(["lang", "text"])
     got = sample.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return fit(stored(got, "language-words"), vocabulary(model_path))
+    # a small table on which much is done: spread, not coalesced by its bytes
+    tasks = min(SPREAD, labelled.sparkSession.sparkContext.defaultParallelism)
+    return fit(stored(got.repartition(tasks, "word"), "language-words"), vocabulary(model_path))
 
 
 class Scorer:
     """Log-likelihoods of words under each language, kept per worker."""
 
     def __init__(self, model: dict):
-        self.p, self.matches = model["p"], automaton(model["pieces"])
+        self.p, self.matches = model["p"], shared_automaton(tuple(model["pieces"]))
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(model["langs"])))
 
