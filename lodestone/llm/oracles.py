@@ -56,6 +56,23 @@ o AS (SELECT r, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access')
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (r)"""
 
 
+DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+LUHN = f"list_sum(list_transform(string_split(reverse({DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN c::INT * 2 - 9 ELSE c::INT * 2 END)) % 10 = 0"
+#: Kind, pattern, what a match has to meet.
+PERSONAL = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(p AS HUGEINT), 999) > 255)) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({DIGITS}) BETWEEN 16 AND 19 AND {LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) BETWEEN 8 AND 15"),
+]
+BASE_SPANS = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(f"SELECT r, {no} AS no, '{kind}' AS kind, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS m FROM d" for no, (kind, p, _) in enumerate(PERSONAL))}),
+g AS (SELECT r, no, kind, gaps, m, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+s AS (SELECT r, no, kind, m[i] AS v, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM g),
+q AS (SELECT r, no, kind, a::BIGINT AS s, (a + length(v))::BIGINT AS e FROM s WHERE CASE no {" ".join(f"WHEN {no} THEN {test}" for no, (_, _, test) in enumerate(PERSONAL))} END),
+o AS (SELECT r, {", ".join(f"count_if(no = {no}) AS n_{kind}" for no, (kind, _, _) in enumerate(PERSONAL))}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY no, s) AS base FROM q GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind, _, _ in PERSONAL)}, sha256(coalesce(base, '')) AS base_sha256 FROM d LEFT JOIN o USING (r)"""
+
 
 def _remainder(i: int) -> int:
     for _ in range(8):
@@ -80,4 +97,4 @@ p AS (SELECT *, row_number() OVER (ORDER BY (rank - 1 + {_draw("18", "stratum")}
 s AS (SELECT *, position * 16 // n AS shard FROM p)
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INT AS shard, (position - (shard * n + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard, source, rank::BIGINT AS stratum_rank FROM s"""
 
-ORACLES: dict[str, str] = {"op4_neardup": NEAR, "op6_decontaminate": HITS, "op7_interleave": SHARDS, "op9_topk": TOP, "op10_ledger": LEDGER}
+ORACLES: dict[str, str] = {"op4_neardup": NEAR, "pii_base_spans": BASE_SPANS, "op6_decontaminate": HITS, "op7_interleave": SHARDS, "op9_topk": TOP, "op10_ledger": LEDGER}
