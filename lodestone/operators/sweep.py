@@ -86,3 +86,9 @@ def bubbles(rows: DataFrame, docking: str) -> DataFrame:
     """What a bubble chart shows: diversity against docking, sized by accepted molecules, coloured by their median size, labelled."""
     label = F.concat_ws("/", *[F.concat(F.lit(n), F.col(c).cast("string")) for n, c in (("ns", "n_steps"), ("ne", "n_embed_attempts"), ("bw", "beam_width"), ("ma", "max_attach"), ("mf", "max_frags"))])
     return rows.where(F.col(docking).isNotNull()).select("run_index", F.col("diversity_ratio").alias("x"), F.col(docking).alias("y"), F.col("accepted_molecules").alias("size"), F.col("median_heavy_atoms").alias("colour"), label.alias("label"))
+
+
+def formatted(rows: DataFrame, places: list[str], flag: str = "pareto_front") -> DataFrame:
+    """Output rows: the given columns rounded to four places or blank, the front as yes or no."""
+    out = rows.withColumns({c: numeric.round_or_blank(F.col(c).cast("double")) for c in places})
+    return out.withColumn(flag, F.when(F.coalesce(F.col(flag), F.lit(False)), "yes").otherwise("no"))

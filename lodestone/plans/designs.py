@@ -458,6 +458,13 @@ def sweep_bubbles(spark, sf):
     return sweep.bubbles(sweep.with_sizes(runs, metrics), "vina_mean")
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN round(c_acctbal / 7, 4) END AS balance, CASE WHEN c_custkey % 4 = 0 THEN 'yes' ELSE 'no' END AS pareto_front, c_custkey % 3 = 0 AS blank FROM customer")
+def formatted_rows(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal") / 7).alias("balance"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 4 == 0).alias("pareto_front"))
+    out = sweep.formatted(c, ["balance"])
+    return out.select("c_custkey", numeric.lenient_double(F.col("balance")).alias("balance"), "pareto_front", (F.col("balance") == "").alias("blank"))
+
+
 @query("SELECT n_nationkey AS seed, true AS proper FROM nation")
 def seeded_rotations(spark, sf):
     """Rotations drawn by seeds keep lengths and are the same in every draw."""
