@@ -76,16 +76,18 @@ def sphere_exclusion(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     degree = both.groupBy("a").agg(F.count("*").alias("deg"))
     nodes = df.select(F.col(key).alias("a")).join(degree, "a", "left").select("a", F.struct((-F.coalesce("deg", F.lit(0))).alias("d"), F.col("a").alias("k")).alias("p"))
     edges = kept(both.join(nodes, "a").withColumnRenamed("p", "pa").join(nodes.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b"))
-    open_, found = kept(nodes), None
+    open_, live, found = nodes, edges, None
     while True:  # each round settles the open row of highest priority at least
-        live = edges.join(open_.select("a"), "a", "left_semi").join(open_.select(F.col("a").alias("b")), "b", "left_semi")
-        beaten = live.where("pb < pa").select("a").distinct()
-        centres = kept(open_.join(beaten, "a", "left_anti"))
+        best = live.groupBy("a").agg(F.min("pb").alias("best"))
+        first = F.col("best").isNull() | (F.col("p") < F.col("best"))
+        marked = kept(open_.join(best, "a", "left").select("a", "p", first.alias("centre")))
+        centres = marked.where("centre").select("a", "p")
         found = centres if found is None else found.unionByName(centres)
-        near = live.join(centres.select(F.col("a").alias("b")), "b", "left_semi").select("a")
-        open_ = kept(open_.join(centres.select("a").unionByName(near), "a", "left_anti"))
+        beside = live.join(centres.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        open_ = kept(marked.where("not centre").select("a", "p").join(beside, "a", "left_anti"))
         if open_.isEmpty():
             break
+        live = kept(live.join(open_.select("a"), "a", "left_semi").join(open_.select(F.col("a").alias("b")), "b", "left_semi"))
     members = edges.join(found.select(F.col("a").alias("b")), "b", "left_semi").join(found.select("a"), "a", "left_anti")
     members = members.groupBy("a").agg(F.min_by("b", "pb").alias("centroid"))
     return found.select("a", F.col("a").alias("centroid")).unionByName(members).select(F.col("a").alias(key), "centroid")
