@@ -111,6 +111,29 @@ def test_wrapper_decides_where_the_article_is():
     assert wrappers.article(pages[2], few) == "Join us\nBecome a member\ntoday"
 
 
+def test_slots_of_random_templates_are_the_text():
+    rng = random.Random(17)
+    tags = ["div", "h2", "section", "blockquote", "h3", "pre", "h4", "center", "address"]
+    for _ in range(40):
+        # constants, slots and optional slots in an order of the host; some hosts nest them in an article
+        parts = [(t, rng.choice(["constant", "slot", "slot", "optional"])) for t in rng.sample(tags, rng.randrange(3, 8))] + [("p", "slot")]
+        rng.shuffle(parts)
+        around = rng.choice(["<body>{}</body>", "<body><article>{}</article></body>", "<body><h1>Site</h1><div id=content>{}</div></body>"])
+        pages, wants = [], []
+        for i in range(9):
+            held, want = "", []
+            for k, (tag, kind) in enumerate(parts):
+                text = f"fixed {k}" if kind == "constant" else f"{rng.random()} {k} of {i}"
+                if kind == "optional" and rng.random() < 0.4:
+                    continue
+                held += f"<{tag}>{text}</{tag}>"
+                want += [text] * (kind != "constant")
+            pages.append(around.format(held))
+            wants.append("\n".join(want))
+        known = wrapper_of(pages)
+        assert [wrappers.article(p, known).removeprefix("Site\n") for p in pages] == wants, parts
+
+
 def test_places_of_links_are_menus():
     rng = random.Random(8)
     link = lambda: f"<li><a href=/x>{rng.choice('abcdefgh')} {rng.randrange(999)}</a></li>"

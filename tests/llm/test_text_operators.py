@@ -143,6 +143,77 @@ def test_language_of_odd_rows(spark):
     assert langid.identify(docs(spark).where("false"), model).count() == 0
 
 
+def plain_languages(labelled, texts, rounds=3, backing=2000.0):
+    """[(language, score)] of texts, every segmentation written out."""
+    import regex
+
+    pieces = langid.vocabulary(MODEL)
+    number = {x: i for i, x in enumerate(pieces)}
+    size = len(pieces) + 1
+    words_of = lambda t: [w[i : i + langid.LONGEST] for w in regex.findall(r"\p{L}+", (t or "").lower()) for i in range(0, len(w), langid.LONGEST)]
+
+    def cuts(w):
+        if not w:
+            return [[]]
+        heads = [(number[w[:n]], n) for n in range(1, len(w) + 1) if w[:n] in number]
+        if w[0] not in number:
+            heads.append((size - 1, 1))
+        return [[i, *rest] for i, n in heads for rest in cuts(w[n:])]
+
+    langs = sorted({k for k, _ in labelled})
+    counts = {k: Counter(w for t in {t for x, t in labelled if x == k} for w in words_of(t)) for k in langs}
+    every = {w: cuts("▁" + w) for w in {w for c in counts.values() for w in c} | {w for t in texts for w in words_of(t)}}
+
+    def normal(u):
+        flat = np.full(size, 1.0 / size)
+        shared = (u.sum(axis=0) + flat * 10) / (u.sum() + 10)
+        return (u + backing * (0.5 * shared + 0.5 * flat)) / (u.sum(axis=1, keepdims=True) + backing)
+
+    uses = np.zeros((len(langs), size))
+    for k, c in zip(range(len(langs)), counts.values(), strict=True):
+        for w, n in c.items():
+            m = "▁" + w
+            for a in range(len(m)):
+                uses[k, size - 1] += n * (m[a] not in number)
+                for b in range(a + 1, len(m) + 1):
+                    if m[a:b] in number:
+                        uses[k, number[m[a:b]]] += n
+    p = normal(uses)
+    for _ in range(rounds):
+        uses = np.zeros((len(langs), size))
+        for k, c in zip(range(len(langs)), counts.values(), strict=True):
+            for w, n in c.items():
+                weight = [float(np.prod(p[k, cut])) for cut in every[w]]
+                for cut, v in zip(every[w], weight, strict=True):
+                    for i in cut:
+                        uses[k, i] += n * v / sum(weight)
+        p = normal(uses)
+    out = []
+    for t in texts:
+        own = words_of(t)
+        if not own:
+            out.append(("und", 0.0))
+            continue
+        total = np.array([sum(np.log(sum(float(np.prod(p[k, cut])) for cut in every[w])) for w in own) for k in range(len(langs))])
+        out.append((langs[int(total.argmax())], float(1 / np.exp(total - total.max()).sum())))
+    return out
+
+
+def test_languages_are_brute_force(spark):
+    texts = {
+        "de": ["der hund und die katze", "das ist ein haus am see", "wir gehen über die straße"],
+        "en": ["the cat and the dog", "this is a house by a lake", "we walk over the road"],
+        "el": ["η γάτα και ο σκύλος", "το σπίτι στη λίμνη"],
+    }
+    labelled = [(k, t) for k, v in texts.items() for t in v for _ in range(3 if k == "en" else 1)]
+    seen = ["der see und das dach", "THE ROAD is over", "και the katze", "x", "", None, "1 2 3", "漢字 ist", "ein cat am lake", "a" * 3 + " b " + "ü" * 4]
+    rows = [(k, t) for k, t in labelled] + [(None, "the the the"), ("de", None)]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"), MODEL)
+    got = {r.doc_id: r for r in langid.identify(docs(spark, seen), model).collect()}
+    for i, (lang, score) in enumerate(plain_languages(labelled, seen)):
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-4, (seen[i], got[i], lang, score)
+
+
 # ---- near duplicates
 
 
