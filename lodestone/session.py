@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 
 def session(app: str = "lodestone", **conf: str) -> SparkSession:
@@ -40,5 +42,8 @@ def kept(df: DataFrame) -> DataFrame:
     (A checkpoint would compute it twice unless it were cached.)"""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    void = {f.name for f in df.schema if isinstance(f.dataType, NullType)}  # columns of no type, which files can't hold
+    stored = df.drop(*void)
+    stored.write.parquet(path)
+    back = spark.read.schema(stored.schema).parquet(path)
+    return back.select(*[F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns]) if void else back

@@ -318,3 +318,12 @@ def test_rare_bit_join_is_all_pairs(spark):
         rows = df.select("k", "w", similarity.bits(F.col("w")).alias("n")).where("n > 0")
         assert {(r.a, r.b) for r in similarity.count_join(rows, cutoff).collect()} == want
     assert similarity.similarity_join(df.where("false"), "k", "w", 0.5).count() == 0
+
+
+def test_kept_tables_keep_all_columns(spark):
+    from lodestone.session import kept
+
+    df = spark.range(3).select(F.lit(None).alias("void"), "id", F.col("id").cast("string").alias("a b"))
+    back = kept(df)
+    assert back.dtypes == df.dtypes and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert kept(df.where("false")).count() == 0
