@@ -511,11 +511,12 @@ def roles(node: Node) -> dict:
 
 
 def amounts(node: Node) -> tuple[int, int]:
-    """(code points, code points in links) of an element's whole text outside noise."""
+    """(code points, code points in links) of an element's whole text outside noise; a title's link is none."""
     if node.key and not node.key.startswith("(") and noisy(node.key):
         return 0, 0
     inner = [amounts(c) for c in node.children]
-    return node.chars + sum(c for c, _ in inner), node.links + sum(n for _, n in inner)
+    title = node.key.split(".")[0] == "h1"
+    return node.chars + sum(c for c, _ in inner), 0 if title else node.links + sum(n for _, n in inner)
 
 
 def links_of(node: Node) -> float:
@@ -530,7 +531,7 @@ def linked_places(node: Node) -> set[int]:
     while todo:
         x = todo.pop()
         chars, links = amounts(x)
-        if chars and links >= MENU * chars and x.key.split(".")[0] not in ("h1", "body", "html"):
+        if chars and links >= MENU * chars and x.key.split(".")[0] not in ("body", "html"):
             out.add(id(x))
         else:
             todo.extend(x.children)

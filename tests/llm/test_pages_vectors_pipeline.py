@@ -148,6 +148,9 @@ def test_places_of_links_are_menus():
     only = [f"<body><ul><li><a href=/>one {i}</a></ul></body>" for i in range(9)]
     assert wrappers.article(only[3], wrapper_of(only)) == "one 3"
     assert "See 14" in wrappers.article(pages[2], wrapper_of(pages[:4]))
+    # a linked title is no menu, whatever it stands in
+    boxed = [p.replace("<h1>", "<div><h1>").replace("</h1>", "</h1></div>") for p in pages]
+    assert [wrappers.article(p, wrapper_of(boxed)) for p in boxed] == [wrappers.article(p, known) for p in pages]
     # a link that is never closed ends with its element
     torn = [p.replace("</a></h1>", "</h1>") for p in pages]
     assert wrappers.article(torn[2], wrapper_of(torn)) == wrappers.article(pages[2], known)
