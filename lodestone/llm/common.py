@@ -43,6 +43,13 @@ def size_of(df: DataFrame) -> int:
     return total
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`stored` wrote and nothing reads any more (an iteration's former state)."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 #: A table up to this size on disk is sent to all tasks; a larger one is joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 

@@ -98,3 +98,30 @@ s AS (SELECT *, position * 16 // n AS shard FROM p)
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INT AS shard, (position - (shard * n + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard, source, rank::BIGINT AS stratum_rank FROM s"""
 
 ORACLES: dict[str, str] = {"op4_neardup": NEAR, "pii_base_spans": BASE_SPANS, "op6_decontaminate": HITS, "op7_interleave": SHARDS, "op9_topk": TOP, "op10_ledger": LEDGER}
+
+
+def op11_sql(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """Lloyd's rounds unrolled; squared distances by scalar products, exact in doubles for components below 2**20."""
+    steps = [
+        f"""v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+    WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS INTEGER) AS k, x FROM v QUALIFY k < {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (SELECT r, min(s) AS s FROM (
+    SELECT v.r, {{'d': list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x), 'k': c.k}} AS s FROM v, c{i} c) GROUP BY r)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""m{i} AS (SELECT k, list(m ORDER BY j) AS x FROM (SELECT a.s.k AS k, j, floor(sum(v.x[j]) / count(*)) AS m FROM v JOIN a{i} a USING (r), range(1, {dim + 1}) t(j) GROUP BY ALL) GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (k))"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT v.vec_id, a.s.k AS cluster, CAST(a.s.d AS BIGINT) AS distance, CAST(sum(a.s.d) OVER (PARTITION BY a.s.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.s.d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(list_transform(c.x, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.k = a.s.k"""
+
+
+ORACLES["op11_drake"] = op11_sql()

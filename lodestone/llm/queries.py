@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, pii, secrets, sentencepieces, sharding, tokencount, topk, wrappers
+from . import clusters, decontam, langid, neardup, pii, secrets, sentencepieces, sharding, tokencount, topk, wrappers
 
 #: The public tokenizer that operators 1, 2 and 8 use; a parameter of each.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -88,6 +88,10 @@ def op10_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs))
 
 
+def op11_drake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.digest(clusters.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=40, rounds=5, dim=64))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_langid": op2_langid,
@@ -100,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokencount": op8_tokencount,
     "op9_topk": op9_topk,
     "op10_ledger": op10_ledger,
+    "op11_drake": op11_drake,
 }
