@@ -61,6 +61,14 @@ def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size_of(df) <= limit else df
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A name for an inner column that none of ``columns`` has, however it is written."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_text(docs: DataFrame, text_col: str, keep: list[str] | None, results: tuple[str, ...]) -> tuple[DataFrame, str]:
     """Rows for a Python step and the name of their text column: the columns to keep, and the text once only.
 

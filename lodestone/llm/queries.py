@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, decontam, langid, neardup, pii, secrets, sentencepieces, sharding, tokencount, topk, wrappers
+from . import align, clusters, decontam, langid, neardup, pii, secrets, sentencepieces, sharding, tokencount, topk, toxicity, wrappers
 
 #: The public tokenizer that operators 1, 2 and 8 use; a parameter of each.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: The byte-level tokenizer that operator 12 aligns with it.
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,6 +95,19 @@ def op11_drake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.digest(clusters.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=40, rounds=5, dim=64))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_LEVEL, MODEL, keep=["doc_id"])
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels.where(~held_out()))
+    out = toxicity.score(docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out")), model, keep=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "score", "predicted", "terms")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_langid": op2_langid,
@@ -105,4 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_ledger": op10_ledger,
     "op11_drake": op11_drake,
+    "op12_align": op12_align,
+    "op13_toxicity": op13_toxicity,
 }
