@@ -33,7 +33,7 @@ TOKEN = re.compile(r"[^\W_]+(?:[@$!*]+[^\W_]+)*")
 MASKED = re.compile(r"[\d@$!*]")
 STRETCHED = re.compile(r"(.)\1{2,}")
 #: Letters of stems.
-SHORTEST, LONGEST = 3, 10
+SHORTEST, LONGEST = 3, 8
 #: Occurrences of a term in a text that are told apart: one, two, three or more.
 LEVELS = 3
 #: Code points on either side of a hit that tell its use.
@@ -112,7 +112,7 @@ class Trie:
 
 def edits_of(word: str, kind: str) -> int:
     """Edits that a lexicon word admits."""
-    return 2 if len(word) >= 8 else 1 if len(word) >= 5 or (kind == MASK and len(word) >= 4) else 0
+    return 2 if len(word) >= 9 else 1 if len(word) >= 5 or (kind == MASK and len(word) >= 4) else 0
 
 
 def masks(words: list[str]) -> np.ndarray:
@@ -278,6 +278,39 @@ def pruned(rows: list[tuple[str, float]], most: int) -> list[str]:
     return out
 
 
+#: Odd factors that make several hash functions of one.
+FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
+MARKS = [f"mark{i}" for i in range(len(FACTORS))]
+SHINGLE = 5
+
+
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the least of their five-word shingles by each hash function."""
+    import xxhash
+
+    factors = np.array(FACTORS, np.uint64)
+    for batch in slices(batches, "text"):
+        marks = []
+        for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+            words = TOKEN.findall(text.lower())
+            some = [" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
+            own = np.fromiter(map(xxhash.xxh3_64_intdigest, some), np.uint64, len(some))
+            marks.append((own[:, None] * factors[None, :]).min(axis=0).view(np.int64))
+        columns = np.array(marks, np.int64).reshape(-1, len(FACTORS))
+        yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(batch.schema.names)} | {m: columns[:, i] for i, m in enumerate(MARKS)})
+
+
+def thinned(sample: DataFrame) -> DataFrame:
+    """The sample with one of each group of near copies: of texts of one label that share a least shingle the longest, by one hash function after the other.
+
+    Words that copies of one toxic document share would else pass for terms."""
+    rows = sample.mapInArrow(marked, T.StructType([*sample.schema, *[T.StructField(m, T.LongType()) for m in MARKS]]))
+    for mark in MARKS:
+        best = F.max_by(F.struct("text", *[m for m in MARKS if m != mark]), F.struct(F.length("text"), "text")).alias("best")
+        rows = rows.groupBy("label", mark).agg(best).select("label", mark, "best.*")
+    return rows.select("text", "label")
+
+
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_docs: int) -> tuple[DataFrame, tuple[int, int]]:
     """(text, label) of up to ``max_docs`` documents of each label, each different text once, and how many documents have each label."""
     label, key = F.col(f"`{label_col}`"), F.col(f"`{id_col}`")
@@ -292,21 +325,21 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return out, (totals.get(0, 0), totals.get(1, 0))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 8000, max_terms: int = 200) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 4000, max_terms: int = 200) -> Model:
     """A model of ``labels`` (id, 0 or 1; others and null ids are ignored) over ``docs``.
 
     Learned from at most ``max_docs`` documents of each label, drawn by a hash of the
-    id, whole texts, each different text once; at most ``max_terms`` terms.  Without
+    id, whole texts, one of each group of equal or nearly equal texts; at most ``max_terms`` terms.  Without
     toxic or without clean documents the model has no terms."""
     spark = docs.sparkSession
     rows, (n_clean, n_toxic) = sampled(docs, labels, id_col, text_col, label_col, max_docs)
-    sample = stored(rows, "labelled")
+    tasks = max(1, min(64, spark.sparkContext.defaultParallelism * 2))
+    sample = stored(thinned(rows.repartition(tasks)), "labelled")
     count = dict(sample.groupBy("label").count().collect())
     clean, toxic = count.get(0, 0), count.get(1, 0)
     prior = n_toxic / max(1, n_clean + n_toxic)
     if not clean or not toxic:
         return Model(none=prior)
-    tasks = max(1, min(64, spark.sparkContext.defaultParallelism * 2))
     spread = sample.repartition(tasks)
     terms = spread.mapInArrow(term_counts, "term string, level int, toxic long, clean long").groupBy("term", "level").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     terms = stored(terms.where("toxic >= 3"), "toxic-terms")
@@ -316,7 +349,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     strongest = terms.where(more).groupBy("term").agg(F.max(ratio(F.col("toxic"), F.col("clean"), toxic, clean)).alias("ratio"))
     strongest = strongest.where(F.col("ratio") > bar).orderBy(F.desc("ratio"), "term").limit(40 * max_terms).collect()  # stems of one word come together
     lexicon = pruned([tuple(r) for r in strongest], max_terms)
-    at_least = {(r["term"], r["level"]): (r["toxic"], r["clean"]) for r in terms.where(F.col("term").isin(lexicon)).collect()}  # LEVELS rows a term
 
     def posterior(t: float, c: float, mean: float, trust: float) -> float:
         """Probability of toxic where t toxic and c clean texts of the sample had it, at the labels' own shares."""
@@ -324,13 +356,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         unit = prior / toxic + (1 - prior) / clean
         return (a + trust * unit / 2 * mean) / (a + b + trust * unit / 2)
 
+    at_least = {(r["term"], r["level"]): (r["toxic"], r["clean"]) for r in terms.where(F.col("term").isin(lexicon)).collect()}  # LEVELS rows a term
+    # being picked among so many takes as much evidence as this many toxic documents hold
+    spent = bar / math.log(1 / prior) if prior < 1 else 0.0
     model = Model()
     for t in lexicon:
         counts = [at_least.get((t, level), (0, 0)) for level in range(1, LEVELS + 2)]
         weights: list[float] = []
         for (a, b), (a_next, b_next) in zip(counts, counts[1:], strict=False):
             # more occurrences never count for less
-            weights.append(max([posterior(a - a_next, b - b_next, 0.5, 2) if a - a_next + b - b_next > 0 else 0.0, *weights[-1:]]))
+            weights.append(max([posterior(a - a_next, b - b_next, prior, spent) if a - a_next + b - b_next > 0 else 0.0, *weights[-1:]]))
         model.terms[t] = tuple(weights)
 
     def hit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,8 +373,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         held: dict[tuple[str, str], list[int]] = {}
         for batch, hits in found(batches, "text", lexicon):
             for label, some in zip(batch.column(batch.schema.get_field_index("label")).to_pylist(), hits, strict=True):
-                keys = {(kind, form) for _, kind, form, _ in some if kind != EXACT}
                 uses = {use for _, kind, _, use in some if kind == EXACT}
+                # a misspelling beside a term that is spelt right tells nothing of itself
+                keys = {(kind, form) for _, kind, form, _ in some} if not uses else set()
                 if PLAIN not in uses and uses:
                     keys.add(("window", CITED if CITED in uses else QUOTED))
                 if not some:

@@ -49,7 +49,7 @@ def plain_score(text, model):
         near = []
         for t in whole:
             d = min(distance(w, t), distance(squeezed, t))
-            if d <= (2 if len(t) >= 8 else 1 if len(t) >= (4 if masked else 5) else 0):
+            if d <= (2 if len(t) >= 9 else 1 if len(t) >= (4 if masked else 5) else 0):
                 near.append((d, t))
         if near:
             t = min(near)[1]
