@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, langid, neardup, pii, sentencepieces
-from lodestone.llm.common import sized, stored
+from lodestone.llm.common import fresh, sized, stored
 from lodestone.llm.queries import MODEL, held_out
 
 #: Documents whose language is less certain than this go, as do those without letters.
@@ -21,19 +21,21 @@ LEAST_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters (null and empty ones too) and those of no clear language; repeated rows are judged alike."""
     model = langid.train(docs.where(~held_out()), MODEL)
-    out = langid.identify(docs, model, into=("__lang", "__score"))
+    lang, score = fresh(docs.columns, "__lang"), fresh(docs.columns, "__score")
+    out = langid.identify(docs, model, into=(lang, score))
     # a model without languages (no labelled row) tells nothing: then only letters count
-    kept = (F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE) if model["langs"] else F.col("text").rlike(r"\p{L}")
+    kept = (F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE) if model["langs"] else F.col("text").rlike(r"\p{L}")
     return out.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the smallest doc_id (null last), of repeated rows the first; documents without words stay."""
-    keyed = stored(docs.withColumn("__uid", F.monotonically_increasing_id()), "near-keyed")
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__uid").alias("uid"))
+    uid = fresh(docs.columns, "__uid")
+    keyed = stored(docs.withColumn(uid, F.monotonically_increasing_id()), "near-keyed")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(uid).alias("uid"))
     groups = neardup.near_duplicates(keyed.select(row.alias("row"), "text"), id_col="row")
-    stay = groups.where(F.col("id") == F.col("class_id")).select(F.col("id.uid").alias("__uid"))
-    return keyed.join(stay, "__uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = groups.where(F.col("id") == F.col("class_id")).select(F.col("id.uid").alias(uid))
+    return keyed.join(stay, uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +43,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.decontaminate(docs.select(key.alias("key"), "text"), benchmark, ["key"])
-    bad = stored(decontam.digest(found, "key").where("contaminated").select(F.col("key").alias("__key")).distinct(), "contaminated")
+    own = fresh(docs.columns, "__key")
+    bad = stored(decontam.digest(found, "key").where("contaminated").select(F.col("key").alias(own)).distinct(), "contaminated")
     # judged by text alone, so equal texts go together
-    return docs.join(sized(bad), key == F.col("__key"), "left_anti")
+    return docs.join(sized(bad), key == F.col(own), "left_anti")
 
 
 def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

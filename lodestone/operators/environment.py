@@ -57,7 +57,9 @@ def top_chains(by_chain: DataFrame, by: str, chain: str, values: list[str], k: i
 
 
 def two_roles(res: DataFrame, by: list[str], role: str, first: str, second: str, flags: dict[str, Column], bfactor: str) -> DataFrame:
-    """Counts of two roles side by side, mean of per-residue B-factors, and their ratios (null on 0)."""
+    """Counts of two roles side by side, mean of per-residue B-factors, and their ratios (null on 0).
+
+    ``res``: a row for each residue, ``bfactor`` its mean (see :func:`residue_means`)."""
     mine = lambda r, c: F.count_if((F.col(role) == r) & c)
     whole = F.lit(True)
     pairs = {"N": whole, "apolar": flags["is_apolar"], "polar": flags["is_polar"], "aromatic": flags["is_aromatic"], "aliphatic": flags["is_aliphatic"]}
@@ -67,6 +69,11 @@ def two_roles(res: DataFrame, by: list[str], role: str, first: str, second: str,
     return res.groupBy(*by).agg(*cols)
 
 
+def residue_means(atoms: DataFrame, residue: list[str], bfactor: str, into: str = "bfactor") -> DataFrame:
+    """The mean B-factor of each residue's atoms; so a residue counts once whatever its size."""
+    return atoms.groupBy(*residue).agg(F.avg(bfactor).alias(into))
+
+
 def secondary_structure(res: DataFrame, by: list[str], role: str, code: str) -> DataFrame:
     """Helix (H, G, I), sheet (E, B) and loop (anything else, or no code) counts per role."""
     c = F.coalesce(F.col(code), F.lit("-"))

@@ -19,6 +19,12 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("__rn", rn).where("__rn = 1").drop("__rn")
 
 
+def identity_key(inchikey: Column, smiles: Column) -> Column:
+    """What a design is told apart by: its InChIKey, or its SMILES where that is missing or blank; null with neither."""
+    filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return F.coalesce(filled(inchikey), filled(smiles))
+
+
 def keep_best(df: DataFrame, keys: list[str], score: str, ord_col: str) -> DataFrame:
     """The row with the highest score of each key; of equal ones the first, and the key's first place in ``first_ord``."""
     w = Window.partitionBy(*keys)
@@ -63,10 +69,38 @@ def priority(df: DataFrame, hit: str, composite: str, ord_col: str) -> DataFrame
 
 
 def beam_stage(df: DataFrame, by: list[str], score: str, order: list[Column], fallback: int = 10) -> DataFrame:
-    """Groups with a negative score keep all rows with one and only those; others their best ``fallback`` rows."""
-    w = Window.partitionBy(*by)
-    out = df.withColumn("__neg", F.count_if(F.col(score) < 0).over(w)).withColumn("__rn", F.row_number().over(w.orderBy(*order)))
-    return out.where(((F.col("__neg") > 0) & (F.col(score) < 0)) | ((F.col("__neg") == 0) & (F.col("__rn") <= fallback))).drop("__neg", "__rn")
+    """Groups with a negative score keep all rows with one and only those; others their best ``fallback`` rows.
+
+    Which groups have one is an aggregate; only the others are ranked, and no further than ``fallback``."""
+    rows = df.where(F.col(score) < 0)
+    with_one = rows.select(*by).distinct()
+    rest = df.join(with_one, by, "left_anti")
+    return rows.unionByName(top_per_group(rest, by, order, fallback, "__rn").drop("__rn"))
+
+
+#: A group of up to this many rows is ranked by one task.
+GROUP_ROWS = 1_000_000
+
+
+def ranks(df: DataFrame, by: list[str], order: list[Column], name: str = "rn", largest: int = GROUP_ROWS) -> DataFrame:
+    """With the rank from 1 within each group, in a total order.
+
+    With a group of more than ``largest`` rows the whole is sorted by ranges, so that such a
+    group lies in several; a row's rank is its place in its range plus what its group
+    has in the ranges before.  No task holds more than its range, whatever the groups."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (sizes or 0) <= largest:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    place = F.monotonically_increasing_id()
+    rows = kept(df.orderBy(*by, *order).withColumns({"__part": F.shiftright(place, 33), "__at": place.bitwiseAND((1 << 33) - 1)}))
+    pieces = rows.groupBy(*by, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    # a window holds one row for each range that its group reaches into
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__part").alias("__in"), "__first", before.alias("__before"))
+    same = F.col("__part") == F.col("__in")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    return rows.join(pieces, same).withColumn(name, (F.col("__before") + F.col("__at") - F.col("__first") + 1).cast("int")).select(*df.columns, name)
 
 
 def drawn(seed: int, *columns: str) -> Column:

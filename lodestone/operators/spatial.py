@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import geometry, numeric
 from lodestone.session import kept
 
+from .selection import ranks
+
 AXES = ("x", "y", "z")
 CELLS = ["__cx", "__cy", "__cz"]
 
@@ -51,9 +53,11 @@ def alpha_carbons(anchors: DataFrame, atom_rows: DataFrame, cutoff: float, on: l
 def min_distances(anchors: DataFrame, points: DataFrame, by: list[str], kind: str | None = None) -> DataFrame:
     """The least distance from each anchor (columns ``by``) to any point (of equal ``kind``); +inf without points.
 
-    One side is taken to be small; :func:`nearest` is for two large ones."""
-    pairs = anchors.join(points, kind, "left") if kind else anchors.join(points, F.lit(True), "left")
-    return pairs.groupBy(*by).agg(F.coalesce(F.sqrt(F.min(d2())), F.lit(float("inf"))).alias("dist"))
+    Grid joins of doubling radius, from a thirty-second of what the data span (see :func:`nearest`)."""
+    rows = kept(anchors.withColumn("__anchor", F.struct(*by)))
+    others = kept(points)
+    out = nearest(rows, others, "__anchor", max(reach(rows, others) / 32, 1e-6), [kind] if kind else None)
+    return out.groupBy("__anchor").agg(F.min("dist").alias("dist")).select("__anchor.*", "dist")
 
 
 def reach(anchors: DataFrame, points: DataFrame) -> float:
@@ -160,4 +164,4 @@ def tolerance_match(points: DataFrame, members: DataFrame, by: list[str], group:
 
 
 def grouped_rank(df: DataFrame, by: list[str], order: list[Column], name: str = "rn") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ranks(df, by, order, name)

@@ -540,4 +540,4 @@ def stream_front1(spark, sf):
     return front.current(spark, f"{folder}/out")
 
 
-from . import designs, structures  # noqa: E402, F401  registers its queries
+from . import designs, molecules, structures  # noqa: E402, F401  registers its queries

@@ -17,6 +17,10 @@ from lodestone.sources import fragments, sdf, tables
 from .registry import query, table
 
 
+#: Of points in order of falling composite and rising docking: how many fronts have a docking as low.
+BELOW = "len(list_filter(least, lambda t: t <= p.v))"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -310,13 +314,17 @@ def canonical_keys(spark, sf):
     return chemistry.PORT.canonical(table(spark, sf, "part").select("p_partkey", smiles.alias("smiles")), "smiles").select("p_partkey", "canonical_smiles")
 
 
-@query("SELECT c_nationkey AS pdb_id, c_mktsegment AS chain_id, coalesce('IK-' || min(c_custkey), '') AS key FROM customer GROUP BY ALL")
+@query(
+    """WITH k AS (SELECT c_custkey AS ord, CASE WHEN c_custkey % 3 = 0 THEN 'SM-' || c_nationkey || c_mktsegment ELSE 'IK-' || c_nationkey END AS key FROM customer)
+ SELECT key, min(ord) AS ord FROM k GROUP BY key"""
+)
 def pair_dedup(spark, sf):
-    """Keep the first row of each pair; the key falls back from the InChIKey to the SMILES."""
+    """Keep the first row of each key, which falls back from the InChIKey to the SMILES where that is blank or missing."""
     c = table(spark, sf, "customer")
-    key = F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("IK-"), F.col("c_custkey"))), F.concat(F.lit("IK-"), F.col("c_custkey")))
-    rows = c.select(F.col("c_nationkey").alias("pdb_id"), F.col("c_mktsegment").alias("chain_id"), "c_custkey", key.alias("key"))
-    return selection.keep_first(rows, ["pdb_id", "chain_id"], [F.col("c_custkey")]).select("pdb_id", "chain_id", "key")
+    n = F.col("c_custkey")
+    inchikey = F.when(n % 3 != 0, F.concat(F.lit("IK-"), F.col("c_nationkey"))).when(n % 2 == 0, F.lit("  "))
+    rows = c.select(n.alias("ord"), inchikey.alias("InChIKey"), F.concat(F.lit("SM-"), "c_nationkey", "c_mktsegment").alias("SMILES"))
+    return selection.keep_first(rows.withColumn("key", selection.identity_key(F.col("InChIKey"), F.col("SMILES"))), ["key"], [F.col("ord")]).select("key", "ord")
 
 
 # ---- order, clusters
@@ -407,16 +415,17 @@ def growth_states(spark, sf):
 
 
 @query(
-    """WITH s AS (SELECT c_nationkey AS g, c_custkey AS ord, round(c_acctbal, 2) AS v, c_custkey % 100 AS c FROM customer), n AS (SELECT *, count_if(v < 0) OVER (PARTITION BY g) AS neg, row_number() OVER (PARTITION BY g ORDER BY v, c DESC, ord) AS r FROM s)
+    f"""WITH RECURSIVE s AS (SELECT c_nationkey AS g, c_custkey AS ord, round(c_acctbal, 2) AS v, c_custkey % 100 AS c FROM customer), pts AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY c DESC, v) AS i FROM (SELECT DISTINCT g, c, v FROM s)),
+ step(g, i, least, front) AS (SELECT g, i, [v], 1 FROM pts WHERE i = 1 UNION ALL SELECT p.g, p.i, list_concat(list_append(least[1:{BELOW}], p.v), least[{BELOW} + 2:]), {BELOW} + 1 FROM step JOIN pts p ON p.g = step.g AND p.i = step.i + 1), n AS (SELECT *, count_if(v < 0) OVER (PARTITION BY g) AS neg, row_number() OVER (PARTITION BY g ORDER BY v, c DESC, ord) AS r FROM s)
  SELECT 'composite' AS mode, ord, row_number() OVER (PARTITION BY g ORDER BY c DESC, ord) AS rank FROM s UNION ALL SELECT 'beam', ord, row_number() OVER (PARTITION BY g ORDER BY r) FROM n WHERE neg > 0 AND v < 0 OR neg = 0 AND r <= 10
- UNION ALL SELECT 'final', ord, 1 FROM (SELECT a.*, row_number() OVER (PARTITION BY g ORDER BY c DESC, v, ord) AS k FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.g = a.g AND b.c >= a.c AND b.v <= a.v AND (b.c > a.c OR b.v < a.v))) WHERE k = 1""",
+ UNION ALL SELECT 'final', ord, row_number() OVER (PARTITION BY g ORDER BY front, c DESC, v, ord) FROM (SELECT s.*, step.front FROM s JOIN pts p ON p.g = s.g AND p.c = s.c AND p.v = s.v JOIN step ON step.g = p.g AND step.i = p.i)""",
     INT="rank",
 )
 def rank_dispatch(spark, sf):
-    """By composite; within a beam by docking; at the end by front (its first state shown)."""
+    """By composite; within a beam by docking; at the end by front."""
     s = table(spark, sf, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("ord"), F.round("c_acctbal", 2).alias("v"), (F.col("c_custkey") % 100).alias("composite"))
     mode = lambda name, df: df.select(F.lit(name).alias("mode"), "ord", "rank")
-    return mode("composite", beam.ranked(s, "g", None, True)).unionByName(mode("beam", beam.ranked(s, "g", "v", True))).unionByName(mode("final", beam.ranked(s, "g", "v", False).where("rank = 1")))
+    return mode("composite", beam.ranked(s, "g", None, True)).unionByName(mode("beam", beam.ranked(s, "g", "v", True))).unionByName(mode("final", beam.ranked(s, "g", "v", False)))
 
 
 @query(
@@ -474,15 +483,29 @@ def seeded_rotations(spark, sf):
     return rows.select("seed", ((F.abs(geometry.dot(F.col("p"), F.col("p")) - 25) < 1e-9) & (F.col("p") == F.col("q"))).alias("proper"))
 
 
-@query("SELECT event_type AS key, min(ts)::TIMESTAMP AS first FROM events GROUP BY 1")
+@query("SELECT user_id || ':' || event_type AS key, count(*) AS n, min(ts)::TIMESTAMP AS first, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def stream_first_seen(spark, sf):
-    """Each key once, by a stream over the file."""
+    """Every event goes through a stream of several files; each key's first event and how often it came are kept as state."""
+    from lodestone.streaming import front
+
+    folder = f"{scratch(spark, 'seen')}/in"
+    table(spark, sf, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id").repartition(4, "event_id").write.parquet(folder)
+    seen = front.first_by_key(front.files(spark, folder, "key string, ts timestamp, event_id long"), "key", "ts", "event_id")
+    return front.collected(seen, scratch(spark, "seen-out"), ["key"], "n").select("key", "n", "first", "event_id")
+
+
+@query(
+    """WITH e AS (SELECT event_type AS kind, value, (epoch_us(ts) % 1000003)::DOUBLE AS cost, event_id FROM events)
+ SELECT a.kind, a.event_id, a.value, a.cost FROM e a WHERE a.value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e b WHERE b.kind = a.kind AND b.value >= a.value AND b.cost <= a.cost AND (b.value > a.value OR b.cost < a.cost))"""
+)
+def stream_fronts(spark, sf):
+    """The first front of each kind of event, kept as state while files arrive: changes only, not whole fronts, leave a batch."""
     from lodestone.streaming import front
 
-    folder = scratch(spark, "seen")
-    events = table(spark, sf, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    source = f"{folder}/in"
-    selection.keep_first(events, ["key"], [F.col("ts")]).unionByName(events.where("false")).write.parquet(source)
-    stream = front.first_seen(spark.readStream.schema(events.schema).parquet(source), "key", "ts", "10000 days")
-    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(T.StructType([T.StructField("key", T.StringType()), T.StructField("ts", T.TimestampType())])).parquet(f"{folder}/out").select("key", F.col("ts").alias("first"))
+    folder = f"{scratch(spark, 'fronts')}/in"
+    cost = (F.unix_micros(F.col("ts").cast("timestamp")) % 1000003).cast("double")
+    events = table(spark, sf, "events").where("value is not null").select(F.col("event_type").alias("kind"), "value", cost.alias("cost"), "event_id")
+    events.repartition(4, "event_id").write.parquet(folder)
+    stream = front.files(spark, folder, "kind string, value double, cost double, event_id long")
+    changes = front.front_by_key(stream, "kind", "value", "cost", "event_id")
+    return front.standing(changes, scratch(spark, "fronts-out"), "kind", "event_id").select("kind", "event_id", "value", "cost")

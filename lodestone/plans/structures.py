@@ -1,7 +1,7 @@
 """Queries of the structure readers, site rules and spatial operators on structures as text.
 
-Stand-in: each row of ``embeddings`` is one fixed-width atom line of one of ten structures,
-four to a residue; some lines have unreadable coordinates or are cut short.
+Stand-in: each row of ``embeddings`` is one fixed-width atom line of a structure of FILE_ATOMS atoms,
+four to a residue, the second half of a structure its second model; some lines have unreadable coordinates or are cut short.
 The SQL states the fields directly and never sees the text.
 """
 
@@ -27,8 +27,9 @@ ATOMS = {
 HETERO = ["LIG", "HOH", "DU"]
 CHAINS = ["A", "B", "C", " "]
 RADIUS = 3.0
-#: Atoms from this number on belong to the second model.
-SECOND = 300
+#: Atoms of a structure; those of the second half belong to its second model.
+FILE_ATOMS = 200
+FIRST_MODEL = f"ord % {FILE_ATOMS} < {FILE_ATOMS // 2}"
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,8 +48,9 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("resid") % 11 == 0, "A").otherwise(" "), *xyz, F.lit(1.0), (F.col("vec_id") % 37) * 1.25, elem,
     )
     line = F.when(F.col("vec_id") % 89 == 5, F.substring(line, 1, 40)).otherwise(line)
-    body = rows.select(F.concat(F.lit("f"), F.floor(F.col("vec_id") / 40) % 10).alias("file"), (F.col("vec_id") * 2).cast("int").alias("line_no"), line.alias("value"))
-    marks = body.select("file").distinct().select("file", F.explode(F.array(F.lit(-1), F.lit(2 * SECOND - 1))).alias("line_no"), F.lit("MODEL").alias("value"))
+    body = rows.select(F.concat(F.lit("f"), F.floor(F.col("vec_id") / FILE_ATOMS)).alias("file"), (F.col("vec_id") * 2).cast("int").alias("line_no"), line.alias("value"))
+    start = F.floor(F.col("vec_id") / FILE_ATOMS) * (2 * FILE_ATOMS)
+    marks = rows.select(start.cast("int").alias("at")).distinct().select(F.concat(F.lit("f"), (F.col("at") / (2 * FILE_ATOMS)).cast("int")).alias("file"), F.explode(F.array(F.col("at") - 1, F.col("at") + FILE_ATOMS - 1)).alias("line_no"), F.lit("MODEL").alias("value"))
     return kept(body.unionByName(marks))  # text as a file would have it, not an expression in every column that is cut from it
 
 
@@ -58,7 +60,7 @@ def _list(values: list[str]) -> str:
 
 ST = f"""st AS (SELECT *, {_list(list(ATOMS))}[r + 1] AS resname, [{", ".join(_list(v.split()) for v in ATOMS.values())}][r + 1][ord % 4 + 1] AS name, {_list(CHAINS)}[(resid // 3) % 4 + 1] AS raw,
   coalesce(nullif(trim({_list(CHAINS)}[(resid // 3) % 4 + 1]), ''), '?') AS chain, (resid % 900 + 1)::VARCHAR AS resseq, CASE WHEN resid % 11 = 0 THEN 'A' ELSE '' END AS icode
-  FROM (SELECT vec_id AS ord, (vec_id * 2)::INT AS line_no, 'f' || (vec_id // 40) % 10 AS file, vec_id // 4 AS resid, (vec_id // 4) % {len(ATOMS)} AS r, vec_id % 97 = 13 AS bad, vec_id % 89 = 5 AS short,
+  FROM (SELECT vec_id AS ord, (vec_id * 2)::INT AS line_no, 'f' || vec_id // {FILE_ATOMS} AS file, vec_id // 4 AS resid, (vec_id // 4) % {len(ATOMS)} AS r, vec_id % 97 = 13 AS bad, vec_id % 89 = 5 AS short,
   round(embedding[1]::DOUBLE * 10, 3) AS x, round(embedding[2]::DOUBLE * 10, 3) AS y, round(embedding[3]::DOUBLE * 10, 3) AS z, (vec_id % 37) * 1.25 AS b FROM embeddings)),
  a0 AS (SELECT *, CASE WHEN resname IN {tuple(HETERO)} THEN 'HETATM' ELSE 'ATOM' END AS record, CASE WHEN ord % 7 = 0 THEN '' WHEN name = 'DU' THEN 'DU' ELSE substr(name, 1, 1) END AS elem FROM st WHERE NOT short),
  a AS (SELECT * FROM a0 WHERE NOT bad),
@@ -173,7 +175,7 @@ def structure_receptor_lines(spark, sf):
     return pdb.receptor_lines(lines(spark, sf)).groupBy("file").agg(F.count("*").alias("n"), F.sum("line_no").alias("lines"))
 
 
-@query(f"WITH {ST} SELECT file, chain, resseq, icode, round(avg(x), 6) AS ax, round(avg(y), 6) AS ay, round(avg(z), 6) AS az FROM a WHERE resname = 'DU' AND ord < {SECOND} GROUP BY ALL")
+@query(f"WITH {ST} SELECT file, chain, resseq, icode, round(avg(x), 6) AS ax, round(avg(y), 6) AS ay, round(avg(z), 6) AS az FROM a WHERE resname = 'DU' AND {FIRST_MODEL} GROUP BY ALL")
 def structure_centres(spark, sf):
     return pdb.structure(parsed(spark, sf)).select("file", "chain", "resseq", "icode", *[F.round(c, 6).alias(c) for c in ("ax", "ay", "az")])
 
@@ -183,12 +185,12 @@ COMPOUND = ["HEADER    TEST", "COMPND    MOL_ID: 1; MOLECULE: LIGASE {n};", "COM
 
 def compounds(spark: SparkSession, sf: str) -> DataFrame:
     some = F.array(*[F.lit(x) for x in COMPOUND])
-    rows = table(spark, sf, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey") % 10).alias("file"), "s_suppkey").groupBy("file").agg(F.min("s_suppkey").alias("n"))
+    rows = table(spark, sf, "supplier").select(F.concat(F.lit("f"), F.floor(F.col("s_suppkey") / 4)).alias("file"), "s_suppkey").groupBy("file").agg(F.min("s_suppkey").alias("n"))
     rows = rows.select("file", "n", F.posexplode(some).alias("line_no", "value"))
     return rows.select("file", "line_no", F.replace("value", F.lit("{n}"), F.col("n").cast("string")).alias("value"))
 
 
-COMPOUNDS = "cm AS (SELECT file, unnest(['A', 'B', 'C']) AS chain, unnest(['LIGASE ' || n, 'PARTNER, ' || n, 'PARTNER, ' || n]) AS molecule FROM (SELECT 'f' || s_suppkey % 10 AS file, min(s_suppkey) AS n FROM supplier GROUP BY 1))"
+COMPOUNDS = "cm AS (SELECT file, unnest(['A', 'B', 'C']) AS chain, unnest(['LIGASE ' || n, 'PARTNER, ' || n, 'PARTNER, ' || n]) AS molecule FROM (SELECT 'f' || s_suppkey // 4 AS file, min(s_suppkey) AS n FROM supplier GROUP BY 1))"
 
 
 @query(f"WITH {COMPOUNDS} SELECT * FROM cm")
@@ -203,7 +205,7 @@ def structure_roles(spark, sf):
 
 @query(
     f"""WITH {ST}, {COMPOUNDS}, i AS (SELECT file, chain, count(DISTINCT CASE WHEN record = 'ATOM' AND name = 'CA' THEN resseq || ':' || icode END) AS n_residues_ca, max(CASE WHEN resname = 'DU' THEN 1 ELSE 0 END)::INT AS "has_DU",
- coalesce(string_agg(DISTINCT CASE WHEN resname = 'LIG' THEN resname END, ';'), '') AS het_resnames FROM a WHERE ord < {SECOND} GROUP BY file, chain) SELECT i.*, molecule FROM i LEFT JOIN cm USING (file, chain)"""
+ coalesce(string_agg(DISTINCT CASE WHEN resname = 'LIG' THEN resname END, ';'), '') AS het_resnames FROM a WHERE {FIRST_MODEL} GROUP BY file, chain) SELECT i.*, molecule FROM i LEFT JOIN cm USING (file, chain)"""
 )
 def structure_chain_info(spark, sf):
     return pdb.chain_info(parsed(spark, sf), pdb.chain_molecules(compounds(spark, sf)))
@@ -357,15 +359,15 @@ def direction_scores(spark, sf):
 
 
 @query(
-    f"""WITH {ST}, c AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY du_index) AS n, ax FROM du WHERE du_index < 2), s AS (SELECT file, max(ord % 100000) AS serial FROM st GROUP BY file)
+    f"""WITH {ST}, c AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY du_index) AS n, ax FROM du), s AS (SELECT file, max(ord % 100000) AS serial FROM st GROUP BY file)
  SELECT file, n AS place, (serial + n)::INT AS serial, n::INT AS resseq, ax FROM c JOIN s USING (file)""",
     INT="place",
 )
 def marked_structures(spark, sf):
-    """Two markers written into each structure before its end, and read back: their serial and residue numbers, and that they stand after all atoms."""
+    """All its markers written into each structure before its end, and read back: their serial and residue numbers, and that they stand after all atoms."""
     whole = lines(spark, sf)
     ends = whole.select("file").distinct().select("file", F.lit(2**31 - 2).alias("line_no"), F.lit("END").alias("value"))
-    centres = pdb.anchors(pdb.atoms(whole)).where("du_index < 2").select("file", F.col("du_index").alias("ord"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("az").alias("z"))
+    centres = pdb.anchors(pdb.atoms(whole)).select("file", F.col("du_index").alias("ord"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("az").alias("z"))
     out = writers.with_markers(whole.where("value <> 'MODEL'").unionByName(ends), centres)
     order = [F.col("section"), F.col("ord")]
     numbered = spatial.grouped_rank(out, ["file"], order, "line_no").select("file", F.col("line_no").cast("int").alias("line_no"), "value", "section")

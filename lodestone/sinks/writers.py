@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -123,17 +124,25 @@ def sweep_report(facts: dict[str, object], front: DataFrame, shortlist: DataFram
 
 
 def swapped(df: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None]) -> None:
-    """Replace what lies at ``path``: written beside it first, so that a failed write leaves the old one, and ``df`` may read it."""
+    """Replace what lies at ``path``: written beside it first, so that a failed write leaves the old one, and ``df`` may read it.
+
+    Names beside it are of this call alone.  A rename that doesn't succeed is an error, and the old table is put back."""
     spark = df.sparkSession
-    fresh, old = f"{path}.new", f"{path}.old"
-    write(df.write.mode("overwrite"), fresh)
+    own = uuid.uuid4().hex
+    fresh, old = f"{path}.new-{own}", f"{path}.old-{own}"
+    write(df.write.mode("error"), fresh)
     at = spark._jvm.org.apache.hadoop.fs.Path
     fs = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.delete(at(old), True)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(fresh), at(path))
-    fs.delete(at(old), True)
+    there = fs.exists(at(path))
+    if there and not fs.rename(at(path), at(old)):
+        fs.delete(at(fresh), True)
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(at(fresh), at(path)):
+        if there and not fs.rename(at(old), at(path)):
+            raise OSError(f"{path} lies at {old}")
+        raise OSError(f"{fresh} can't be moved to {path}")
+    if there:
+        fs.delete(at(old), True)
 
 
 def save_cache(df: DataFrame, path: str) -> None:

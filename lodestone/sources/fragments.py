@@ -1,4 +1,4 @@
-"""Fragment libraries: small tables, parsed on the driver."""
+"""Fragment libraries: small files parsed on the driver, or lines in any table."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ import csv
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions.smiles import graph
 
 # Header names and the built-in library.
 HEADER = {"smiles", "name", "fragment", "fragment_name", "id", "identifier", "reagent_id", "attach_map_num", "attachment_map_num"}
@@ -102,3 +105,18 @@ def single_atoms(spark: SparkSession) -> DataFrame:
 
 def alkenes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ALKENES, "name string, stereo string")
+
+
+def read_lines(df: DataFrame, line: str) -> DataFrame:
+    """Lines of fragment files, anywhere in a table, as (name, smiles, map, graph) beside the other columns; comments, blanks and lines without a SMILES go.
+
+    A line with a comma holds name, SMILES (quotes are left out); one with tabs or spaces SMILES, name and, if there is one, a map number; a bare SMILES names itself."""
+    text = F.trim(F.col(line))
+    commas = text.contains(",")
+    fields = F.filter(F.transform(F.when(commas, F.split(text, ",")).when(text.contains("\t"), F.split(text, "\t")).otherwise(F.split(text, r"\s+")), lambda x: F.trim(F.regexp_replace(F.trim(x), "^\"|\"$", ""))), lambda x: x != "")
+    rows = df.where((text != "") & ~text.startswith("#")).withColumn("__f", fields).where(F.size("__f").between(1, 3))
+    part = lambda i: F.get("__f", i)
+    named = F.when(commas & (F.size("__f") > 1), F.struct(part(0).alias("name"), part(1).alias("smiles"))).otherwise(F.struct(F.coalesce(part(1), part(0)).alias("name"), part(0).alias("smiles")))
+    own = [c for c in df.columns if c not in (line, "name", "smiles", "map", "graph")]
+    rows = rows.select(*own, named.alias("__n"), part(2).try_cast("int").alias("map")).select(*own, "__n.name", "__n.smiles", "map")
+    return rows.withColumn("graph", graph(F.col("smiles"))).where(F.col("graph").isNotNull())

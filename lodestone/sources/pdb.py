@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import geometry
 from lodestone.functions.residues import WATERS, site_kinds
+from lodestone.operators.spatial import grid_join
 
 POLYMER_RESIDUES = ["ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "MSE", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL"]
 CENTRE = r"Geometric pocket center at\s+([-+]?\d+(?:\.\d+)?)\s+([-+]?\d+(?:\.\d+)?)\s+([-+]?\d+(?:\.\d+)?)"
@@ -129,17 +130,17 @@ def no_hydrogen() -> Column:
 def clash_atoms(atom_rows: DataFrame, anchor_rows: DataFrame, radius: float, on: str = "file") -> DataFrame:
     """Atoms that a design can clash with, for each anchor: oxygens of hetero groups strictly inside the radius are left out."""
     rows = atom_rows.where(~is_marker() & ~F.col("resname").isin(WATERS) & no_hydrogen())
-    d2 = geometry.distance_sq(*[F.col(c) for c in ("x", "y", "z", "ax", "ay", "az")])
+    places = anchor_rows.select(on, "du_index", "ax", "ay", "az")
     oxygen = (F.col("record") == "HETATM") & (F.when(F.col("elem") != "", F.col("elem")).otherwise(F.substring("atom_name", 1, 1)) == "O")
-    return rows.join(anchor_rows.select(on, "du_index", "ax", "ay", "az"), on).where(~(oxygen & (d2 < radius * radius)))
+    near = grid_join(places, rows.where(oxygen), radius, [on]).where(F.col("d2") < radius * radius).select(on, "du_index", "line_no")
+    return rows.join(places, on).join(near, [on, "du_index", "line_no"], "left_anti")
 
 
 def interaction_sites(atom_rows: DataFrame, anchor_rows: DataFrame, radius: float, backbone: bool = True, on: str = "file") -> DataFrame:
     """One row per atom and kind within the radius (inclusive) of each anchor."""
     rows = atom_rows.where(~is_marker() & ~F.col("resname").isin(WATERS) & no_hydrogen())
-    d2 = geometry.distance_sq(*[F.col(c) for c in ("x", "y", "z", "ax", "ay", "az")])
     kinds = site_kinds(F.col("resname"), F.col("atom_name"), F.col("elem"), F.col("record") == "HETATM", backbone)
-    near = rows.join(anchor_rows.select(on, "du_index", "ax", "ay", "az"), on).where(d2 <= radius * radius)
+    near = grid_join(anchor_rows.select(on, "du_index", "ax", "ay", "az"), rows, radius, [on])
     return near.select(on, "du_index", "line_no", F.explode(kinds).alias("kind"), "x", "y", "z", "resname", "atom_name", "chain", "resseq", "icode", "record")
 
 
@@ -148,8 +149,7 @@ def directional_sites(atom_rows: DataFrame, anchor_rows: DataFrame, radius: floa
     from lodestone.functions.residues import direction_base
 
     group = [on, "du_index", "chain", "resseq", "icode", "resname"]
-    d2 = geometry.distance_sq(*[F.col(c) for c in ("x", "y", "z", "ax", "ay", "az")])
-    rows = atom_rows.where(~is_marker() & ~F.upper("resname").isin(WATERS) & no_hydrogen()).join(anchor_rows.select(on, "du_index", "ax", "ay", "az"), on).where(d2 <= radius * radius)
+    rows = grid_join(anchor_rows.select(on, "du_index", "ax", "ay", "az"), atom_rows.where(~is_marker() & ~F.upper("resname").isin(WATERS) & no_hydrogen()), radius, [on])
     last = rows.groupBy(*group, F.upper("atom_name").alias("name")).agg(F.max_by(F.array("x", "y", "z"), "line_no").alias("xyz"))
     residues = last.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("name", "xyz"))).alias("own"))
     sites = interaction_sites(atom_rows, anchor_rows, radius, backbone, on).where("kind in ('donor', 'acceptor')").join(residues, group)
@@ -162,8 +162,7 @@ def ring_planes(atom_rows: DataFrame, anchor_rows: DataFrame, radius: float, on:
     from lodestone.functions.residues import RING_ATOMS
 
     names = F.create_map(*[x for r, a in RING_ATOMS.items() for x in (F.lit(r), F.array(*[F.lit(n) for n in a]))])[F.upper("resname")]
-    d2 = geometry.distance_sq(*[F.col(c) for c in ("x", "y", "z", "ax", "ay", "az")])
-    rows = atom_rows.where(F.array_contains(names, F.upper("atom_name"))).join(anchor_rows.select(on, "du_index", "ax", "ay", "az"), on).where(d2 <= radius * radius)
+    rows = grid_join(anchor_rows.select(on, "du_index", "ax", "ay", "az"), atom_rows.where(F.array_contains(names, F.upper("atom_name"))), radius, [on])
     at = F.array_position(names, F.upper("atom_name"))
     rings = rows.groupBy(on, "du_index", "chain", "resseq", "icode", "resname").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.array("x", "y", "z").alias("p")))).alias("pts"))
     rings = rings.where(F.size("pts") >= 3).withColumn("points", F.transform("pts", lambda s: s["p"]))

@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import chemistry, numeric, text
 
 
 def read_sdf(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, title, atoms, bonds, props, block): one row per readable record; files are split at record ends, so large ones are read by many tasks."""
-    raw = spark.read.option("lineSep", "$$$$").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", r"^\r?\n", "").alias("block"))
-    return parse_sdf(raw)
+    """(file, ord, title, atoms, bonds, props, block): one row per readable record.
+
+    Records end at lines that are ``$$$$``, whichever way lines end; the same signs within a line
+    end nothing.  Files are split at record ends, so large ones are read by many tasks;
+    empty files and records that can't be read give no rows."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    raw = spark.read.option("lineSep", "\n$$$$").text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+    return parse_sdf(records(raw))
+
+
+#: What stands after a record's end: the rest of its line, which has to be empty.
+AFTER = r"^[ \t]*(\r?\n|\r?$)"
+
+
+def records(raw: DataFrame) -> DataFrame:
+    """(file, ord, block) of parts of files (file, place, value) that were cut before every line that begins with ``$$$$``.
+
+    A part that goes on in the same line was cut inside a record: it joins the part before, as only
+    the files with such a part are looked at again."""
+    first = raw.groupBy("file").agg(F.min("place").alias("place"), F.max(F.when(~F.col("value").rlike(AFTER), F.col("place"))).alias("odd"))
+    # a file's first part follows no record's end
+    wrong = first.where(F.col("odd") > F.col("place")).select("file")
+    starts = first.select("file", "place", F.lit(True).alias("starts"))
+    rows = raw.join(starts, ["file", "place"], "left")
+    whole = F.when(F.coalesce("starts", F.lit(False)), F.col("value")).otherwise(F.regexp_replace("value", AFTER, ""))
+    right = rows.join(wrong, "file", "left_anti").select("file", F.col("place.at").alias("ord"), whole.alias("block"))
+    own = F.coalesce("starts", F.lit(False)) | F.col("value").rlike(AFTER)
+    number = F.sum(own.cast("int")).over(Window.partitionBy("file").orderBy("place"))
+    joined = rows.join(wrong, "file", "left_semi").withColumn("number", number).withColumn("own", own)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda p: p["value"]), "\n$$$$")
+    joined = joined.groupBy("file", "number").agg(F.min("place").alias("place"), text.alias("value"), F.max("starts").alias("starts"))
+    return right.unionByName(joined.select("file", F.col("place.at").alias("ord"), whole.alias("block")))
 
 
 def parse_sdf(raw: DataFrame) -> DataFrame:

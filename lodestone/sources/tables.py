@@ -18,9 +18,12 @@ ALIASES = {
 ID_COLUMNS = ["pdb_id", "pdb", "pdbid", "PDB", "PDB_ID", "id"]
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, with the file and the row's place in it."""
-    df = spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """All columns as text, with the file and the row's place in it.
+
+    With ``line_breaks`` quoted values may hold some, and a file is read by one task, as a run's
+    summary is; files without, however large, are split if it is off."""
+    df = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
     return df.withColumns({"_file": F.input_file_name(), "_ord": F.monotonically_increasing_id()})
 
 
