@@ -33,11 +33,13 @@ def library(rows: DataFrame) -> DataFrame:
 
 
 def room(atoms: Column, bonds: Column, i: Column, order: Column) -> Column:
-    """What a bond of ``order`` at atom ``i`` leaves of its hydrogens; null where its valence has no room."""
+    """The hydrogens of atom ``i`` once it has a further bond of ``order``: one less for each, or what the next usual valence asks for; null where there is none."""
     x = F.get(atoms, i - 1)
-    usual = F.create_map(*[y for k, v in VALENCES.items() for y in (F.lit(k), F.lit(max(v)))])
-    used = degree_sum(bonds, i) + x["aromatic"].cast("int") + x["h"]
-    return F.when(x["h"] >= order, x["h"] - order).when(used + order <= F.try_element_at(usual, x["elem"]) + x["charge"], x["h"])
+    usual = F.create_map(*[y for k, v in VALENCES.items() for y in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
+    used = degree_sum(bonds, i) + x["aromatic"].cast("int") + order
+    some = F.try_element_at(usual, x["elem"])
+    some = F.filter(F.when(x["aromatic"], F.slice(some, 1, 1)).otherwise(some), lambda v: v + x["charge"] >= used)
+    return F.when(x["h"] >= order, x["h"] - order).otherwise(F.array_min(some) + x["charge"] - used)
 
 
 def bonded(graph: Column, attach: Column, here: Column, fragment: Column, place: Column, there: Column, order: Column) -> Column:

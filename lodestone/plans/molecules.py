@@ -217,22 +217,20 @@ def fragment_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def fragment_values() -> str:
     """Of each fragment: name, index, atoms, bonds, weight without the hydrogen that the new bond replaces (null: no room)."""
-    rows, used = [], 0
+    rows = []
     kinds = [(n, s, "ring", 0) for n, s in fragments.RINGS[:8]] + [(n, s, "fixed", m) for n, s, m in fragments.FIXED] + [(n, n, "first", 0) for n, *_ in fragments.SINGLE_ATOMS] + [(n, "C=CC", "first", 0) for n, _ in fragments.ALKENES]
     weights = {"C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "S": 32.06, "Cl": 35.45, "Br": 79.904}
-    for i, (name, text, kind, mark) in enumerate(kinds):
+    for i, (name, text, kind, _) in enumerate(kinds):
         atoms, bonds = drawn_graph(re.sub(r"\[([A-Z]):\d\]", r"\1", text))
         h = []
         for j, (elem, aromatic, _, given) in enumerate(atoms, 1):
             used = sum(o for a, b, o, _ in bonds if j in (a, b)) + aromatic
-            free = [v - used for v in smiles.VALENCES[elem][: 1 if aromatic else None] if v >= used]
-            h.append(given if given is not None else min(free, default=0))
-        if kind == "fixed":
-            h[0] -= 1  # written in brackets: without hydrogens where it is bonded on
-            left = 0
-        else:
-            left = 1
-        rows.append((name, i, len(atoms), len(bonds), round(sum(weights[a[0]] for a in atoms) + 1.008 * (sum(h) - left), 6)))
+            h.append(given if given is not None else min((v - used for v in smiles.VALENCES[elem][: 1 if aromatic else None] if v >= used), default=0))
+        # the new bond takes a hydrogen of the atom it is made at; one without turns to its next valence
+        at = 0 if kind != "ring" else next(j for j, (elem, aromatic, *_) in enumerate(atoms) if h[j] and not (elem == "N" and aromatic))
+        used = sum(o for a, b, o, _ in bonds if at + 1 in (a, b)) + 1
+        h[at] = h[at] - 1 if h[at] else min(v - used for v in smiles.VALENCES[atoms[at][0]] if v >= used)
+        rows.append((name, i, len(atoms), len(bonds), round(sum(weights[a[0]] for a in atoms) + 1.008 * sum(h), 6)))
     return values(rows)
 
 

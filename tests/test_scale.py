@@ -98,7 +98,7 @@ def fill(spark, folder, parts, schema):
 
 def test_stream_counts_duplicates_and_leaves_late_rows_out(spark, tmp_path):
     t = lambda m: f"2024-01-01 00:{m:02d}:00"
-    parts = [[("a", t(10), 1), ("a", t(5), 2), ("b", t(6), 3)], [("a", t(7), 4), ("b", t(6), 5)], [("a", t(40), 6)], [("c", t(1), 7), ("a", t(41), 8)], [("b", t(42), 9)]]
+    parts = [[("a", t(10), 1), ("a", t(5), 2), ("b", t(6), 3)], [("a", t(7), 4), ("b", t(6), 5)], [("a", t(40), 6)], [("a", t(41), 8)], [("c", t(1), 7), ("b", t(42), 9)]]
     folder = str(tmp_path / "in")
     fill(spark, folder, [[(k, i, s) for k, s, i in p] for p in parts], "key string, event_id long, s string")
     stream = front.files(spark, folder, "key string, event_id long, s string").withColumn("ts", F.col("s").cast("timestamp"))
