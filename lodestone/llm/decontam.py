@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, slices, stored, tokens
+from .common import WORD_GAP, release, slices, stored, tokens
 
 BLOCK_BYTES = 32 << 20
 #: Words between documents on a segment's axis; no phrase or proximity may be longer.
@@ -238,6 +238,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, ids: list[str], *, text
     """
     if length > GAP:
         raise ValueError(f"windows can have {GAP} words at most")
+    checked(ids, ("n_words", "hits", "items"))
     names = [f"__id_{i}" for i in range(len(ids))]
     results = []
     for table, windows in prepared(docs, benchmark, ids, text_col, item_col, item_text, length):
@@ -248,6 +249,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, ids: list[str], *, text
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, ids, strict=True)], "n_words", "hits", "items")
 
 
+def checked(ids: list[str], results: tuple[str, ...]) -> None:
+    if clash := [c for c in ids if c in results]:
+        raise ValueError(f"ids can't be called like results: {clash}")
+
+
 def finder(windows, names: list[str], distance: int):
     """mapInArrow: segments to one row for each match: ids, item, kind, start, end (words from 0, end exclusive)."""
 
@@ -286,12 +292,17 @@ def search(docs: DataFrame, phrases: DataFrame, ids: list[str], *, distance: int
 
     kind ``phrase``: the item's words in order at words start..end.  kind ``near``: an occurrence
     (start) of the item's term that is rarest in the corpus with all its other terms within
-    ``distance`` words of it, in any order.  Items have GAP words at most; null texts have no
+    ``distance`` words of it, in any order.  Items of more than GAP words are an error; null texts have no
     words; items without an id or words match nothing; empty tables give no rows; repeated
     documents each have their own matches.
     """
     if distance > GAP:
         raise ValueError(f"distances can be {GAP} words at most")
+    checked(ids, ("item", "kind", "start", "end"))
+    # runs of word characters, by the same definition as words_of()
+    longest = phrases.where(F.col(f"`{item_col}`").isNotNull()).agg(F.max(F.size(F.filter(F.split(F.lower(F.col(f"`{item_text}`")), WORD_GAP), lambda w: w != "")))).first()[0]
+    if (longest or 0) > GAP:
+        raise ValueError(f"items can have {GAP} words at most, one has {longest}")
     names = [f"__id_{i}" for i in range(len(ids))]
     out = None
     for table, windows in prepared(docs, phrases, ids, text_col, item_col, item_text, GAP):

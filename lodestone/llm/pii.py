@@ -180,13 +180,17 @@ def sanitise(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     pairs, contexts = disclosures(docs, text_col, **thresholds)
-    # by entity, so that no text is repeated for each of its terms; what matters of them is what it has
-    known = pairs.groupBy("entity").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(k) for k in DERIVED])
-    known = stored(known, "pii-terms-of-entities")
-    hit = contexts.select("text_key", "words", F.explode("entities").alias("entity")).join(sized(known), "entity")
-    hit = hit.groupBy("text_key").agg(*[F.array_distinct(F.flatten(F.collect_list(F.array_intersect(k, "words")))).alias(f"__{k}") for k in DERIVED])
+    # a row for each word of a document that holds an entity and that some entity is disclosed by; never all terms of an entity at once
+    words = contexts.select("text_key", "entities", F.explode("words").alias("term")).join(sized(pairs.select("term", "entity", "kind")), "term")
+    words = words.where(F.array_contains("entities", F.col("entity")))
+    hit = words.groupBy("text_key").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("term"))).alias(f"__{k}") for k in DERIVED])
     hit = sized(stored(hit.where(" or ".join(f"size(__{k}) > 0" for k in DERIVED)), "pii-terms-by-text")).withColumnRenamed("text_key", "__key")
-    rows = docs.withColumn("__base", base_spans(text))
+    # the input's columns travel in one, so that none of their names meets one of ours
+    names = [c for c in docs.columns if c.lower() not in ("spans", "sanitised")]
+    rest = [c for c in names if c != text_col]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row") if rest else F.lit(None).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.withColumn("__base", base_spans(text))
     rows = rows.withColumn("__own", F.when(F.size("__base") > 0, F.sha2(text, 256)))
     rows = rows.join(hit, F.col("__own") == F.col("__key"), "left")
     plain = F.transform("__base", lambda b: F.struct(b["no"].alias("no"), b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind"))).cast(TERMS)
@@ -203,7 +207,8 @@ def sanitise(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame
     shape = lambda w: F.when(w.rlike(r"^\p{Lu}{2,}$"), "<ACRONYM>").when(w.rlike(r"^\p{Lu}"), "<NAME>").otherwise("<WORD>")
     label = lambda s: F.when(s["kind"] == DERIVED[0], "").when(s["kind"] == DERIVED[1], shape(word(s))).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     changes = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label")))
-    return rows.withColumn("sanitised", F.when(F.col(f"`{text_col}`").isNotNull(), replaced(text, changes))).drop("__base", "__own", "__key", "__free", *[f"__{k}" for k in DERIVED])
+    done = F.when(F.col("text").isNotNull(), replaced(text, changes))
+    return rows.select(*[F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in names], "spans", done.alias("sanitised"))
 
 
 def digest(sanitised: DataFrame, id_col: str = "doc_id") -> DataFrame:

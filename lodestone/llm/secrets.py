@@ -34,7 +34,9 @@ MORE = {
 #: A text without this can't match.
 NEEDS = {"access": "AKIA", "pem": "PRIVATE KEY-----", "slack": "xox", "jwt": "eyJ", "github": "gh"}
 KINDS = [*BASE, *MORE]
-RULES = hashlib.sha256(repr((BASE, MORE)).encode()).hexdigest()[:16]
+#: Group 2 of an assignment has as many characters at least.
+SHORTEST = 6
+RULES = hashlib.sha256(repr((BASE, MORE, NEEDS, SHORTEST)).encode()).hexdigest()[:16]
 FINDINGS = "array<struct<start:int,no:int,end:int,kind:string>>"
 LEDGER = f"blob string, rules string, findings {FINDINGS}"
 
@@ -45,7 +47,7 @@ def findings(text: Column) -> Column:
     def of(kind: str, pattern: str) -> Column:
         found = spans(text, pattern)
         if kind == "assign":
-            found = F.filter(found, lambda s: F.length(F.regexp_extract(s["value"], BASE["assign"], 1)) >= 6)
+            found = F.filter(found, lambda s: F.length(F.regexp_extract(s["value"], BASE["assign"], 1)) >= SHORTEST)
         no = KINDS.index(kind)
         out = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("no"), s["end"].alias("end"), F.lit(kind).alias("kind")))
         if kind in NEEDS:
@@ -73,12 +75,13 @@ def scan(versions: DataFrame, text_col: str = "text", ledger: str | None = None)
     unseen.select("blob", F.lit(RULES).alias("rules"), findings(F.col("content")).alias("findings")).write.mode("append").parquet(ledger)
     known = spark.read.schema(LEDGER).parquet(ledger).where((F.col("rules") == RULES) & (F.size("findings") > 0))
     # two scans at once may both append a pair: one row of it counts
-    known = known.groupBy(F.col("blob").alias("__blob")).agg(F.first("findings").alias("__findings"))
-    rows = versions.withColumn("__b", F.sha2(text, 256))
-    out = rows.join(known, F.col("__b") == F.col("__blob"), "left")
+    known = known.groupBy(F.col("blob").alias("known")).agg(F.first("findings").alias("of_blob"))
+    # the input's columns travel in one, so that none of their names meets one of ours; those named like a result give way
+    names = [c for c in versions.columns if c.lower() not in ("blob", "findings")]
+    rows = versions.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row") if names else F.lit(None).alias("row"), F.sha2(text, 256).alias("own"))
+    out = rows.join(known, F.col("own") == F.col("known"), "left")
     none = F.expr(f"cast(array() as {FINDINGS})")
-    # input columns of these names give way to the results
-    return out.withColumns({"blob": F.col("__b"), "findings": F.coalesce("__findings", none)}).drop("__b", "__blob", "__findings")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("own").alias("blob"), F.coalesce("of_blob", none).alias("findings"))
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -72,13 +72,21 @@ def interleave(rows: DataFrame, stratum: str, seed: int = 17, bucket_rows: int =
     if stratum in RESULTS:
         raise ValueError(f"the stratum can't be called {stratum}")
     names = [c for c in rows.columns if c not in RESULTS]
-    columns = [F.col(f"`{c}`") for c in names]
+    # by place, so that none of their names meets one of ours
+    plain = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    out = interleaved(plain, f"c{names.index(stratum)}", seed, bucket_rows)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "stratum_rank", "position")
+
+
+def interleaved(rows: DataFrame, stratum: str, seed: int, bucket_rows: int) -> DataFrame:
+    """:func:`interleave` of columns c0, c1, ..."""
+    columns = [F.col(c) for c in rows.columns]
     n = rows.count()
     buckets = max(1, math.ceil(n / max(bucket_rows, math.isqrt(n))))
     keyed = numbered(rows.select(*columns)).select(
         *columns,
         "__copy",
-        F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("\x00")).alias("__stratum"),
+        F.coalesce(F.col(stratum).cast("string"), F.lit("\x00")).alias("__stratum"),
         draw(F.lit(seed), *columns, F.col("__copy")).alias("__hash"),
     ).withColumn("__bucket", bucket_of(uniform(F.col("__hash")), buckets))
     before = Window.partitionBy("__stratum").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,7 +128,8 @@ def shard(rows: DataFrame, stratum: str, shards: int = 16, seed: int = 17) -> Da
     rows = stored(rows, "shard-rows")
     n = F.lit(rows.count())
     placed = interleave(rows, stratum, seed)
+    names = [c for c in placed.columns if c not in RESULTS]
     cut = F.floor(F.col("position") * shards / n).cast("int")
     # floor(p * s / n) starts shard i at the ceiling of i * n / s
     first = F.floor((cut.cast("long") * n + shards - 1) / F.lit(shards))
-    return placed.withColumn("shard", cut).withColumn("slot", F.col("position") - first)
+    return placed.select(*[F.col(f"`{c}`") for c in names], "stratum_rank", "position", cut.alias("shard"), (F.col("position") - first).alias("slot"))

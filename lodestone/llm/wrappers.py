@@ -35,18 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, row_groups, sized, slices, stored
+from .common import fresh, release, row_groups, sized, slices, stored
 
 # Element names of HTML by their role here.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label map mark meter nobr output picture progress q ruby rb rp rt s samp small source span strike strong sub sup time track tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label map mark meter nobr output picture progress q ruby rb rp rt s samp small source span strike strong sub sup time track tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mfenced semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe noframes noembed xmp textarea title svg math object".split())
+RAW = set("script style noscript template iframe noframes noembed xmp textarea title svg object".split())
 DROPPED = RAW | set("head nav footer aside form button select menu dialog canvas audio video map fieldset".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An opening tag that ends an open one of these, up to the given container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of class, id and role attributes that tell an element's part.
-NOISE_WORDS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login paywall sidebar aside widget widgets related recommended recommendations share sharing social comment comments discussion disqus respond reply replies menu menubar nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar footer masthead skip hidden".split())
+NOISE_WORDS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login paywall sidebar aside widget widgets related recommended recommendations share sharing social comment comments disqus respond reply replies menu menubar nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar footer masthead skip hidden".split())
 MAIN_WORDS = set("article content post entry story main maincontent".split())
 
 TOKEN = re.compile(
@@ -645,6 +645,8 @@ def article(source: str | None, known: dict) -> str:
     # the host's place of the article; a page without it is read by what it has itself
     for kind in dict.fromkeys([main, "article", "main", "words"]):
         if kind and (some := [b for b in every if kind != "body" and any(holds_article(k, kind) for k in b[0])]):
+            # what heads an article belongs to it, what heads the page around it doesn't
+            some = [b for b in some if not any(k.split(".")[0] == "header" and not any(p.split(".")[0] == "article" for p in b[0][:n]) for n, k in enumerate(b[0]))] or some
             break
     else:
         # a page header is no article; without an article's element the rest of the body is
@@ -653,44 +655,38 @@ def article(source: str | None, known: dict) -> str:
 
 
 def inferrer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (host, part, __html) to partial wrappers."""
-    held: dict[str, Node] = {}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if held:
-            yield pa.RecordBatch.from_pydict({"host": list(held), "wrapper": [json.dumps(n.to()) for n in held.values()]})
-            held.clear()
-
-    for batch in slices(batches, "__html"):
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not source:
-                continue
-            one = tree(source)
-            if host in held:
-                merge(held[host], one)
+    """mapInArrow: (host, salt, html) sorted by host, salt and page to one partial wrapper for each host and salt."""
+    key, one = None, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"host": [key[0]], "salt": pa.array([key[1]], pa.int64()), "wrapper": [json.dumps(one.to())]})
+
+    for batch in slices(batches, "html"):
+        for host, salt, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if (host, salt) != key:
+                if one is not None:
+                    yield out()
+                key, one = (host, salt), None
+            if one is None:
+                one = tree(source)
             else:
-                held[host] = one
-        if len(held) > 5000:
-            yield from out()
-    yield from out()
+                merge(one, tree(source))
+    if one is not None:
+        yield out()
     release()
 
 
-def merger(keys: list[str]):
-    """mapInArrow over partial wrappers sorted by host (and salt): one for each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in row_groups(batches, keys):
-            one = None
-            for text in table.column("wrapper"):
-                other = Node.of(json.loads(text.as_py()))
-                if one is None:
-                    one = other
-                else:
-                    merge(one, other)
-            yield pa.RecordBatch.from_pydict({"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps(one.to())]})
-
-    return run
+def merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: partial wrappers sorted by host and salt to one for each host."""
+    for table in row_groups(batches, ["host"]):
+        one = None
+        for text in table.column("wrapper"):
+            other = Node.of(json.loads(text.as_py()))
+            if one is None:
+                one = other
+            else:
+                merge(one, other)
+        yield pa.RecordBatch.from_pydict({"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps(one.to())]})
 
 
 def describer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -705,27 +701,35 @@ def host_of(url):
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 64) -> DataFrame:
-    """(host, pattern, roles, pages): the wrapper of every host, from all its pages."""
-    rows = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("__html"))
-    schema = "host string, wrapper string"
-    parts = rows.mapInArrow(inferrer, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    parts = parts.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(merger(["host", "salt"]), schema)
-    whole = parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(merger(["host"]), schema)
+    """(host, pattern, roles, pages): the wrapper of every host, from all its pages.
+
+    Alignment depends on the order of what is aligned, so the order is one of content: a
+    page's digest gives its salt and its place, whatever the tables' rows, files and tasks."""
+    html = F.col(f"`{html_col}`").cast("string")
+    rows = pages.where(F.length(html) > 0).select(host_of(F.col(f"`{url_col}`")).alias("host"), F.pmod(F.xxhash64(html), F.lit(salts)).alias("salt"), html.alias("html"), F.md5(html.cast("binary")).alias("mark"))
+    parts = rows.repartition("host", "salt").sortWithinPartitions("host", "salt", "mark").select("host", "salt", "html").mapInArrow(inferrer, "host string, salt long, wrapper string")
+    whole = parts.repartition("host").sortWithinPartitions("host", "salt").mapInArrow(merger, "host string, wrapper string")
     return stored(whole.mapInArrow(describer, "host string, pattern string, roles string, pages long"), "wrappers")
 
 
-def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str | None, dict] = {None: {}}
-    for batch in slices(batches, "__html"):
-        texts = []
-        for source, role in zip(batch.column(batch.schema.get_field_index("__html")).to_pylist(), batch.column(batch.schema.get_field_index("__roles")).to_pylist(), strict=True):
-            if role not in known:
-                if len(known) > 10_000:
-                    known = {None: {}}
-                known[role] = json.loads(role)
-            texts.append(article(source, known[role]))
-        yield pa.RecordBatch.from_pydict({c: batch.column(i) for i, c in enumerate(batch.schema.names) if not c.startswith("__")} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
-    release()
+def extractor(keep: list[str], html: str, role_col: str):
+    """mapInArrow: the columns to keep, with the text of each page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, dict] = {None: {}}
+        for batch in slices(batches, html):
+            column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
+            texts = []
+            for source, role in zip(column(html).to_pylist(), column(role_col).to_pylist(), strict=True):
+                if role not in known:
+                    if len(known) > 10_000:
+                        known = {None: {}}
+                    known[role] = json.loads(role)
+                texts.append(article(source, known[role]))
+            yield pa.RecordBatch.from_pydict({c: column(c) for c in keep} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+        release()
+
+    return run
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -737,8 +741,9 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     empty table.  Columns text and n_chars give way.
     """
     keep = [c for c in (keep or [c for c in pages.columns if c != html_col]) if c not in ("text", "n_chars")]
-    wrappers = infer(pages, url_col, html_col).select(F.col("host").alias("__host"), F.col("roles").alias("__roles"))
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias("__html"), host_of(F.col(f"`{url_col}`")).alias("__key"))
-    rows = rows.join(sized(wrappers), F.col("__key") == F.col("__host"), "left").drop("__key", "__host")
+    html, key, host, role = (fresh(keep, c) for c in ("__html", "__key", "__host", "__roles"))
+    wrappers = infer(pages, url_col, html_col).select(F.col("host").alias(host), F.col("roles").alias(role))
+    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias(html), host_of(F.col(f"`{url_col}`")).alias(key))
+    rows = rows.join(sized(wrappers), F.col(key) == F.col(host), "left").drop(key, host)
     schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema.add("text", "string").add("n_chars", "long")
-    return rows.mapInArrow(extractor, schema)
+    return rows.mapInArrow(extractor(keep, html, role), schema)
