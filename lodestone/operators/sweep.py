@@ -8,19 +8,41 @@ from pyspark.sql import functions as F
 from lodestone.functions import numeric
 from lodestone.session import kept
 
+from .selection import global_rank
 
-def grid(spark: SparkSession, axes: dict[str, list[int]]) -> DataFrame:
-    """The product of the axes with run_index from 1, the last axis fastest."""
-    n = 1
+
+def placed(df: DataFrame, id_col: str, axes: dict[str, list[int]]) -> DataFrame:
+    """With the axes' values at each place (from 0) of their product, the last axis fastest."""
+    step = 1
     for values in axes.values():
-        n *= len(values)
-    out = spark.range(n).withColumn("run_index", (F.col("id") + 1).cast("int"))
-    step = n
+        step *= len(values)
     for name, values in axes.items():
         step //= len(values)
-        at = F.floor(F.col("id") / step).cast("int") % len(values)
-        out = out.withColumn(name, F.get(F.array(*[F.lit(v) for v in values]), at))
-    return out.drop("id")
+        at = F.floor(F.col(id_col) / step).cast("int") % len(values)
+        df = df.withColumn(name, F.get(F.array(*[F.lit(v) for v in values]), at))
+    return df
+
+
+def combinations(axes: dict[str, list[int]]) -> int:
+    n = 1
+    for values in axes.values():
+        n *= len(values)
+    return n
+
+
+def grid(spark: SparkSession, axes: dict[str, list[int]]) -> DataFrame:
+    """The product of the axes with run_index from 1, the last axis fastest."""
+    out = spark.range(combinations(axes)).withColumn("run_index", (F.col("id") + 1).cast("int"))
+    return placed(out, "id", axes).drop("id")
+
+
+def sweep(files: DataFrame, key: str, axes: dict[str, list[int]]) -> DataFrame:
+    """Every file (column ``key``) at every combination of the axes, with run_index from 1: by file, then the last axis fastest."""
+    n = combinations(axes)
+    ranked = global_rank(files, [F.col(key)], "__file")
+    rows = ranked.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    out = placed(rows, "__at", axes).withColumn("run_index", (F.col("__file") - 1) * n + F.col("__at") + 1)
+    return out.drop("__file", "__at")
 
 
 def tasks(files: DataFrame, n_col: str) -> DataFrame:

@@ -400,10 +400,11 @@ def metric_summary(spark, sf):
 GRID = {"n_steps": [4, 6, 8], "n_embed_attempts": [8], "beam_width": [25, 50], "max_attach": [1, 2, 3], "max_frags": [4, 8, 12, 16, 20]}
 
 
-@query("""SELECT row_number() OVER (ORDER BY n_steps, n_embed_attempts, beam_width, max_attach, max_frags)::INT AS run_index, n_steps, n_embed_attempts, beam_width, max_attach, max_frags
- FROM (SELECT unnest([4, 6, 8])::INT AS n_steps), (SELECT 8::INT AS n_embed_attempts), (SELECT unnest([25, 50])::INT AS beam_width), (SELECT unnest([1, 2, 3])::INT AS max_attach), (SELECT unnest([4, 8, 12, 16, 20])::INT AS max_frags)""")
+@query("""SELECT row_number() OVER (ORDER BY s_suppkey, n_steps, n_embed_attempts, beam_width, max_attach, max_frags) AS run_index, s_suppkey, n_steps, n_embed_attempts, beam_width, max_attach, max_frags
+ FROM (SELECT s_suppkey FROM supplier), (SELECT unnest([4, 6, 8])::INT AS n_steps), (SELECT 8::INT AS n_embed_attempts), (SELECT unnest([25, 50])::INT AS beam_width), (SELECT unnest([1, 2, 3])::INT AS max_attach), (SELECT unnest([4, 8, 12, 16, 20])::INT AS max_frags)""")
 def param_grid(spark, sf):
-    return sweep.grid(spark, GRID)
+    """A sweep's runs: every structure at every combination of parameters."""
+    return sweep.sweep(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", GRID)
 
 
 @query("""SELECT event_id, coalesce(nullif(trim(json_extract_string(props, '$.k')), ''), nullif(trim(json_extract_string(props, '$.key')), ''), event_type) AS name, TRY_CAST(json_extract_string(props, '$.v') AS DOUBLE) AS number FROM events""")

@@ -166,11 +166,14 @@ def selected_molecules(spark, sf):
     return back.select(F.col("file").alias("smiles"), F.col("ord").alias("rank"), "title", F.try_element_at("props", F.lit("SMILES")).alias("picked"), sdf.numeric_prop("vina_score").alias("vina"))
 
 
-@query("SELECT * FROM (VALUES ('Ph', 'c1ccccc1', 1), ('CCO', 'CCO', 1), ('dim', '[N:2](C)C', 2)) AS t(name, smiles, attach)", INT="attach")
+RING_ROWS = ", ".join(f"({i}, '{n}', '{s}')" for i, (n, s) in enumerate(fragments.RINGS))
+
+
+@query(f"WITH ring(i, name, smiles) AS (VALUES {RING_ROWS}) SELECT name, smiles, count(*) AS n FROM part JOIN ring ON i = p_partkey % {len(fragments.RINGS)} GROUP BY ALL")
 def fragment_library(spark, sf):
-    rings = fragments.parse("# rings\nc1ccccc1 Ph\n\nCCO\n")
-    fixed = fragments.parse("[N:2](C)C dim 2", fixed=True)
-    return spark.createDataFrame([(n, s, 1) for n, s in rings] + [tuple(f) for f in fixed], "name string, smiles string, attach int")
+    """The fragments that the lines of all parts name, each once, with how many lines do."""
+    line = F.element_at(F.lit([f"{s} {n}" for n, s in fragments.RINGS]), (F.col("p_partkey") % len(fragments.RINGS) + 1).cast("int"))
+    return fragments.read_lines(table(spark, sf, "part").select(line.alias("line")), "line").groupBy("name", "smiles").agg(F.count("*").alias("n"))
 
 
 # ---- design tables
