@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import graphs, smiles
 from lodestone.operators import growth, similarity, substructure
-from lodestone.session import kept
+from lodestone.session import each_once, kept, met
 from lodestone.sources import fragments
 
 from .registry import query, table
@@ -30,10 +30,24 @@ def spelt(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("id", F.concat("ring", "tail").alias("smiles"), F.concat(F.lit(" "), written, F.lit("("), "tail", F.lit(")")).alias("other"))
 
 
+def spellings(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, text): every other part in its second spelling."""
+    return spelt(spark, sf).select("id", F.when(F.col("id") % 2 == 0, F.col("smiles")).otherwise(F.col("other")).alias("text"))
+
+
+def read(texts: DataFrame, column: str) -> DataFrame:
+    """(column, graph and what :func:`graphs.perceived` adds) of each different text, read once however many parts have it; written."""
+    return each_once(texts, column, lambda some: graphs.perceived(kept(some.select(column, smiles.graph(F.col(column)).alias("graph")))))
+
+
 def molecules(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, graph and what :func:`graphs.perceived` adds), every other one in its second spelling; written once."""
-    text = F.when(F.col("id") % 2 == 0, F.col("smiles")).otherwise(F.col("other"))
-    return kept(graphs.perceived(kept(spelt(spark, sf).select("id", smiles.graph(text).alias("graph")))))
+    """The spellings of all parts as molecules, by ``text``; what is found of them goes back to the parts by :func:`of_parts`."""
+    return read(spellings(spark, sf), "text")
+
+
+def of_parts(spark: SparkSession, sf: str, found: DataFrame) -> DataFrame:
+    """(id and what was found of its text)"""
+    return met(spellings(spark, sf), kept(found), "text").drop("text")
 
 
 # ---- the same molecules in SQL: graphs of rings and groups as tables, put together by joins
@@ -98,7 +112,7 @@ WEIGHT = "CASE elem " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in {"C": 12.011
 def molecule_graphs(spark, sf):
     """SMILES read as graphs; hydrogens from valences."""
     m = molecules(spark, sf)
-    return m.select("id", F.size("atoms").alias("n_atoms"), F.size("bonds").alias("n_bonds"), graphs.formula(F.col("atoms")).alias("formula"), F.round(graphs.weight(F.col("atoms")), 3).alias("weight"))
+    return of_parts(spark, sf, m.select("text", F.size("atoms").alias("n_atoms"), F.size("bonds").alias("n_bonds"), graphs.formula(F.col("atoms")).alias("formula"), F.round(graphs.weight(F.col("atoms")), 3).alias("weight")))
 
 
 SURFACE_ROWS = values(list(graphs.SURFACE.items()))
@@ -120,7 +134,8 @@ SURFACE_ROWS = values(list(graphs.SURFACE.items()))
 def molecule_descriptors(spark, sf):
     d = graphs.descriptors()
     names = {"HAC": "hac", "HBD": "hbd", "HBA": "hba", "RotBonds": "rotatable", "Rings": "rings", "ArRings": "aromatic_rings"}
-    return molecules(spark, sf).select("id", *[d[k].alias(v) for k, v in names.items()], F.round(d["TPSA"], 2).alias("tpsa"), F.round(d["Fsp3"], 6).alias("fsp3"))
+    found = molecules(spark, sf).select("text", *[d[k].alias(v) for k, v in names.items()], F.round(d["TPSA"], 2).alias("tpsa"), F.round(d["Fsp3"], 6).alias("fsp3"))
+    return of_parts(spark, sf, found)
 
 
 SEEN = """c0 AS (SELECT id, i, substr(md5(concat_ws(':', elem, aromatic, charge, h, deg, '')), 1, 16) AS c FROM atom),
@@ -132,8 +147,8 @@ SEEN = """c0 AS (SELECT id, i, substr(md5(concat_ws(':', elem, aromatic, charge,
 @query(f"WITH {GRAPHS}, {SEEN} SELECT id, count(*)::INT AS n_bits, string_agg(bit, ',' ORDER BY bit) AS bits FROM bits GROUP BY id")
 def molecule_fingerprints(spark, sf):
     """Circular fingerprints of radius 2 as places of 2,048 bits."""
-    m = molecules(spark, sf).select("id", graphs.fingerprint_bits().alias("bits"))
-    return m.select("id", F.size("bits").alias("n_bits"), F.array_join("bits", ",").alias("bits"))
+    m = kept(molecules(spark, sf).select("text", graphs.fingerprint_bits().alias("bits")))
+    return of_parts(spark, sf, m.select("text", F.size("bits").alias("n_bits"), F.array_join("bits", ",").alias("bits")))
 
 
 @query(
@@ -144,17 +159,19 @@ def molecule_fingerprints(spark, sf):
 )
 def similar_molecules(spark, sf):
     """Pairs of different molecules whose circular fingerprints are 0.8 alike or more; they meet on their rarest bits."""
-    keyed = molecules(spark, sf).select("id", graphs.canonical_key().alias("key"), graphs.fingerprint_bits().alias("bits"))
+    first = spellings(spark, sf).groupBy("text").agg(F.min("id").alias("id"))
+    keyed = met(first, kept(molecules(spark, sf).select("text", graphs.canonical_key().alias("key"), graphs.fingerprint_bits().alias("bits"))), "text")
     one = kept(keyed.groupBy("key").agg(F.min("id").alias("id"), F.min_by("bits", "id").alias("bits")).select("id", graphs.words(F.col("bits")).alias("words")))
     return similarity.similarity_join(one, "id", "words", 0.8).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query("WITH c AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_partkey % 28, p_size % 7, p_partkey % 11) AS class_id FROM part) SELECT id, class_id, count(*) OVER (PARTITION BY class_id) AS n FROM c")
 def canonical_molecules(spark, sf):
-    """Two spellings of one molecule meet: the class of each part's, by canonical key; classes are met by an aggregate, not one window a class."""
-    keyed = kept(molecules(spark, sf).select("id", graphs.canonical_key().alias("key")))
-    classes = keyed.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
-    return keyed.join(classes, "key").select("id", "class_id", "n")
+    """Two spellings of one molecule meet: the class of each part's, by canonical key; classes are met by an aggregate of texts, not one window a class."""
+    texts = spellings(spark, sf).groupBy("text").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    keyed = kept(met(texts, kept(molecules(spark, sf).select("text", graphs.canonical_key().alias("key"))), "text"))
+    classes = keyed.groupBy("key").agg(F.min("first").alias("class_id"), F.sum("n").alias("n"))
+    return of_parts(spark, sf, keyed.select("text", "key").join(classes, "key").select("text", "class_id", "n"))
 
 
 def pattern_sql(ord_: int, name: str, text: str) -> str:
@@ -180,14 +197,15 @@ def alerts(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {GRAPHS} SELECT id, alert, n_mappings, n_places FROM ({ALERT_SQL})")
 def structural_alerts(spark, sf):
-    return substructure.matches(molecules(spark, sf), alerts(spark), "id").select("id", "alert", "n_mappings", "n_places")
+    found = substructure.matches(molecules(spark, sf), alerts(spark), "text")
+    return of_parts(spark, sf, found.select("text", "alert", "n_mappings", "n_places"))
 
 
 @query(f"WITH {GRAPHS}, found AS ({ALERT_SQL}) SELECT p_partkey AS id, arg_min(alert, ord) AS alert, count(alert) AS n_alerts FROM part LEFT JOIN found ON id = p_partkey GROUP BY p_partkey")
 def first_alerts(spark, sf):
     """Which alert rejects a molecule first."""
     m = molecules(spark, sf)
-    return substructure.first_alert(m, substructure.matches(m, alerts(spark), "id"), "id")
+    return of_parts(spark, sf, substructure.first_alert(m, substructure.matches(m, alerts(spark), "text"), "text"))
 
 
 # ---- growth
