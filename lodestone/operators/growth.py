@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import graphs, smiles
 from lodestone.functions.smiles import ATOM, BOND, GRAPH, VALENCES, degree_sum
-from lodestone.session import kept
+from lodestone.session import kept, met, spread
 
 from . import beam
 
@@ -63,13 +63,25 @@ def grown(states: DataFrame, fragments: DataFrame, group: list[str], max_attach:
     """Each state (columns ``group`` and graph) at up to ``max_attach`` atoms with hydrogens, by up to ``max_frags`` fragments each, drawn by a seeded digest; products that no valence allows are left out.
 
     ``fragments``: :func:`library`, a few dozen rows.  Adds name, stereo, attach, the product's graph, key and descriptors."""
-    spots = states.withColumn("__atoms", F.col("graph")["atoms"])
-    open_ = spots.select("*", F.posexplode("__atoms").alias("attach", "__atom")).where("__atom.h > 0 and __atom.elem <> 'H'").drop("__atom", "__atoms")
-    pairs = beam.expansions(open_, fragments.select("name", "fragment", "place", "order", "stereo"), group, max_attach, max_frags, seed)
+    rows = states.withColumn("__graph", F.sha2(F.to_json("graph"), 256))
+    return grown_from(rows.drop("graph"), kept(rows.groupBy("__graph").agg(F.first("graph").alias("graph"))), "__graph", fragments, group, max_attach, max_frags, seed).drop("__graph")
+
+
+def grown_from(states: DataFrame, found: DataFrame, by: str, fragments: DataFrame, group: list[str], max_attach: int, max_frags: int, seed: int) -> DataFrame:
+    """:func:`grown` of states whose graphs are in ``found`` (``by``, graph), each once.
+
+    What is drawn are places and names; a product of one graph, place and fragment is built and described once, however many states draw it."""
+    parts = kept(fragments.select("name", "fragment", "place", "order", "stereo").withColumn("__part", F.monotonically_increasing_id()))
+    free = F.filter(F.transform(F.col("graph")["atoms"], lambda x, i: F.when((x["h"] > 0) & (x["elem"] != "H"), i)), lambda i: i.isNotNull())
+    own = [c for c in states.columns if c not in ("key", "graph", "atoms", "bonds", "beside", "rings", "flat", *graphs.descriptors())]
+    open_ = met(states.select(*own), kept(found.select(by, free.alias("__free"))), by).select(*own, F.explode("__free").alias("attach"))
+    pairs = kept(beam.expansions(open_, parts.select("name", "__part"), group, max_attach, max_frags, seed))
+    product = [by, "attach", "__part"]
+    wanted = spread(pairs.select(*product).distinct(), *product).join(found.select(by, "graph"), by).join(F.broadcast(parts.drop("name")), "__part")
     g, f, at = F.col("graph"), F.col("fragment"), F.col("attach") + 1
-    rows = kept(pairs.withColumns({"__here": room(g["atoms"], g["bonds"], at, F.col("order")), "__there": room(f["atoms"], f["bonds"], F.col("place"), F.col("order"))}))
+    rows = kept(wanted.withColumns({"__here": room(g["atoms"], g["bonds"], at, F.col("order")), "__there": room(f["atoms"], f["bonds"], F.col("place"), F.col("order"))}))
     rows = rows.where("__here is not null and __there is not null").withColumn("graph", bonded(g, at, F.col("__here"), f, F.col("place"), F.col("__there"), F.col("order")))
-    return keyed(kept(rows.drop("fragment", "place", "order", "__here", "__there")))
+    return pairs.join(keyed(kept(rows.select(*product, "stereo", "graph"))), product).drop("__part")
 
 
 def keyed(states: DataFrame) -> DataFrame:

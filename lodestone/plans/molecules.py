@@ -263,8 +263,8 @@ def fragment_values() -> str:
 )
 def grown_products(spark, sf):
     """Every molecule grown at two places by three fragments of the library each."""
-    states = kept(graphs.perceived(kept(spelt(spark, sf).select("id", smiles.graph(F.col("smiles")).alias("graph")))).select("id", "graph"))
-    out = growth.grown(states, fragment_table(spark, sf), ["id"], 2, 3, 7)
+    states = spelt(spark, sf).select("id", "smiles")
+    out = growth.grown_from(states, read(states, "smiles").select("smiles", "graph"), "smiles", fragment_table(spark, sf), ["id"], 2, 3, 7)
     return out.select("id", "attach", "name", F.size("graph.atoms").alias("n_atoms"), F.size("graph.bonds").alias("n_bonds"), F.round("MW", 3).alias("weight"))
 
 

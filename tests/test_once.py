@@ -1,7 +1,10 @@
 """What many rows share is computed once."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import graphs, smiles
+from lodestone.operators import growth
 from lodestone.plans import molecules as M
 from lodestone.session import each_once, met
 
@@ -17,3 +20,16 @@ def test_each_spelling_of_the_parts_is_read_once(spark, sf_dir):
     texts = [r["text"] for r in M.spellings(spark, sf_dir).union(M.spellings(spark, sf_dir)).collect()]
     read = [r["text"] for r in M.molecules(spark, sf_dir).select("text").collect()]
     assert sorted(read) == sorted(set(texts)) and len(read) < len(texts)
+
+
+@pytest.mark.parametrize("copies", [40])
+def test_each_product_is_built_once(spark, copies, monkeypatch):
+    """States of one graph share its products; before, each state's were perceived anew."""
+    lib = [("F", "F", "first", 1, 0, None), ("Cl", "Cl", "first", 1, 0, None)]
+    frags = growth.library(spark.createDataFrame(lib, "name string, smiles string, kind string, order int, map int, stereo string"))
+    states = spark.createDataFrame([(i, "CC") for i in range(copies)], "id int, s string").select("id", smiles.graph(F.col("s")).alias("graph"))
+    sizes, keyed = [], growth.keyed
+    monkeypatch.setattr(growth, "keyed", lambda df: (sizes.append(df.count()), keyed(df))[1])
+    rows = growth.grown(states, frags, ["id"], 2, 2, 5).collect()
+    assert sizes == [4] and len(rows) == 4 * copies
+    assert {r["key"] for r in rows} == {r["k"] for r in graphs.perceived(spark.createDataFrame([("CCF",), ("CCCl",)], "s string").select(smiles.graph(F.col("s")).alias("graph"))).select(graphs.canonical_key().alias("k")).collect()}
