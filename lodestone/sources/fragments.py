@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.smiles import graph
+from lodestone.session import each_once, met
 
 # Header names and the built-in library.
 HEADER = {"smiles", "name", "fragment", "fragment_name", "id", "identifier", "reagent_id", "attach_map_num", "attachment_map_num"}
@@ -119,4 +120,6 @@ def read_lines(df: DataFrame, line: str) -> DataFrame:
     named = F.when(commas & (F.size("__f") > 1), F.struct(part(0).alias("name"), part(1).alias("smiles"))).otherwise(F.struct(F.coalesce(part(1), part(0)).alias("name"), part(0).alias("smiles")))
     own = [c for c in df.columns if c not in (line, "name", "smiles", "map", "graph")]
     rows = rows.select(*own, named.alias("__n"), part(2).try_cast("int").alias("map")).select(*own, "__n.name", "__n.smiles", "map")
-    return rows.withColumn("graph", graph(F.col("smiles"))).where(F.col("graph").isNotNull())
+    # each different SMILES is read once, however many lines have it
+    found = each_once(rows, "smiles", lambda some: some.select("smiles", graph(F.col("smiles")).alias("graph"))).where(F.col("graph").isNotNull())
+    return met(rows, found, "smiles")

@@ -7,6 +7,7 @@ from lodestone.functions import graphs, smiles
 from lodestone.operators import growth
 from lodestone.plans import molecules as M
 from lodestone.session import each_once, met
+from lodestone.sources import fragments
 
 
 def test_each_value_is_computed_once_and_null_meets_null(spark):
@@ -33,3 +34,11 @@ def test_each_product_is_built_once(spark, copies, monkeypatch):
     rows = growth.grown(states, frags, ["id"], 2, 2, 5).collect()
     assert sizes == [4] and len(rows) == 4 * copies
     assert {r["key"] for r in rows} == {r["k"] for r in graphs.perceived(spark.createDataFrame([("CCF",), ("CCCl",)], "s string").select(smiles.graph(F.col("s")).alias("graph"))).select(graphs.canonical_key().alias("k")).collect()}
+
+
+def test_each_smiles_of_fragment_lines_is_read_once(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(fragments, "each_once", lambda df, column, compute: each_once(df, column, lambda some: (sizes.append(some.count()), compute(some))[1]))
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(["CCO a", "CCO b", "c1cc x", "x,CCO", "CCN"])], "i int, t string")
+    rows = sorted((r["i"], r["name"], len(r["graph"]["atoms"])) for r in fragments.read_lines(lines, "t").collect())
+    assert rows == [(0, "a", 3), (1, "b", 3), (3, "x", 3), (4, "CCN", 3)] and sizes == [3]
