@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions import chemistry, geometry, numeric, text
 from lodestone.operators import beam, enrich, selection, similarity, spatial, sweep
-from lodestone.session import shared_folder
+from lodestone.session import shared_folder, spread
 from lodestone.sinks import writers
 from lodestone.sources import fragments, sdf, tables
 
@@ -126,7 +126,8 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     name = F.when(n % 4 == 0, "vina_score").when(n % 4 == 1, "my_Affinity").when(n % 4 == 2, "note").otherwise("composite")
     prop = lambda k, v: F.struct(k.alias("name"), v.alias("value"))
     props = F.array(prop(name, F.format_string("%.2f", -F.col("p_retailprice"))), prop(F.lit("SMILES"), F.concat(F.lit("C"), n % 500)))
-    return table(spark, sf, "part").select("p_partkey", "p_brand", writers.mol_block(F.concat(F.lit("m"), n), atoms, bonds, props).alias("block"))
+    part = spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_partkey")
+    return part.select("p_partkey", "p_brand", writers.mol_block(F.concat(F.lit("m"), n), atoms, bonds, props).alias("block"))
 
 
 def molecule_files(spark: SparkSession, sf: str) -> DataFrame:

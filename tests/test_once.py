@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import graphs, smiles
 from lodestone.operators import growth
+from lodestone.plans import designs
 from lodestone.plans import molecules as M
 from lodestone.session import each_once, met
 from lodestone.sources import fragments
@@ -42,3 +43,7 @@ def test_each_smiles_of_fragment_lines_is_read_once(spark, monkeypatch):
     lines = spark.createDataFrame([(i, t) for i, t in enumerate(["CCO a", "CCO b", "c1cc x", "x,CCO", "CCN"])], "i int, t string")
     rows = sorted((r["i"], r["name"], len(r["graph"]["atoms"])) for r in fragments.read_lines(lines, "t").collect())
     assert rows == [(0, "a", 3), (1, "b", 3), (3, "x", 3), (4, "CCN", 3)] and sizes == [3]
+
+
+def test_records_are_written_and_parsed_on_all_cores(spark, sf_dir):
+    assert designs.records(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
