@@ -1,5 +1,8 @@
 """Structures at sizes that the given tables don't reach."""
 
+import duckdb
+
+from lodestone.plans import catalog, structures
 from lodestone.sinks import writers
 from lodestone.sources import pdb
 
@@ -11,3 +14,14 @@ def test_serials_beyond_five_columns_are_read_back(spark):
     out = writers.with_markers(lines, centres)
     rows = pdb.atoms(out.where("section = 1").withColumnRenamed("ord", "line_no").drop("section")).orderBy("line_no").collect()
     assert [(r["serial"], r["resname"], r["chain"], r["resseq"], r["x"]) for r in rows] == [(100000, "DU", "Z", "1", 1.5), (100001, "DU", "Z", "2", 4.5)]
+
+
+def test_pairs_lie_within_ten_structures_that_grow_with_the_table(spark, tmp_path):
+    """Structures of bounded size would leave an anchor without most atoms of its structure."""
+    spark.range(2400).selectExpr("id as vec_id", "transform(sequence(1, 64), i -> cast(pmod(id * 7 + i * 13, 29) / 29.0 - 0.5 as float)) as embedding", "cast(id % 10 as int) as label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert structures.pdb.atoms(structures.lines(spark, str(tmp_path), ten=True)).select("file").distinct().count() == 10
+    for name in ("structure_sites", "alpha_carbon_join"):
+        pairs = spark_rows = {tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert pairs == set(con.sql(catalog.ORACLES[name]).fetchall()) and {r[0] for r in spark_rows} == {f"f{i}" for i in range(10)}
