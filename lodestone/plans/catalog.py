@@ -55,8 +55,8 @@ COUNTS = """count(*) AS n_residues, count_if(chain % 5 = 0) AS n_pos, count_if(c
 
 
 def nearby_residues(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = near(spark, sf)
-    return pairs.groupBy("anchor", "resid").agg(F.min("d2").alias("min_d2"), F.min("chain").alias("chain"))
+    pairs = spatial.block_join(anchors(spark, sf), atoms(spark, sf), RADIUS, ["anchor"], ["resid"])
+    return pairs.groupBy("__a", "__p", "anchor", "resid").agg(F.min("d2").alias("min_d2"), F.min("chain").alias("chain")).drop("__a", "__p")
 
 
 @query(f"WITH {ATOMS}, {ANCHORS} SELECT anchor, count(ord) AS n, round(min({D2}), 6) AS min_d2 FROM anchors JOIN atoms ON {D2} <= 4.0 GROUP BY anchor")
