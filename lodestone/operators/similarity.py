@@ -25,14 +25,38 @@ def similarity_join(df: DataFrame, key: str, words: str, cutoff: float) -> DataF
     """Pairs (a < b) with similarity >= cutoff: (a, b, sim).
 
     Sparse fingerprints (an eighth of the bits set, or fewer, on average) are joined on rare
-    bits, dense ones on the numbers of bits that can match; both are exact."""
+    bits, dense ones compared in pairs of blocks (those of uneven length on the numbers of bits that can match); all are exact."""
     rows = df.select(F.col(key).alias("k"), F.col(words).alias("w"), bits(F.col(words)).alias("n")).where("n > 0")
-    share = rows.agg(F.avg("n").alias("n"), F.max(F.size("w")).alias("words")).first()
+    share = rows.agg(F.avg("n").alias("n"), F.max(F.size("w")).alias("words"), F.min(F.size("w")).alias("least")).first()
     if share.n is not None and share.n * 8 <= share.words * 64:
         return rare_bit_join(rows, cutoff)
+    if share.n is not None and share.words == share.least <= 64:
+        return block_pairs(rows, cutoff, share.words)
     return count_join(rows, cutoff)
 
 
+#: Rows of a block of :func:`block_pairs`, fewer than Spark's buffer of a merge join holds.
+BLOCK = 2048
+
+
+def block_pairs(rows: DataFrame, cutoff: float, words: int) -> DataFrame:
+    """All pairs, compared in pairs of blocks: for dense fingerprints, of which hardly a pair can be ruled out unseen.
+
+    Words stand in columns of their own, so that a comparison is a few machine operations; a task holds
+    a pair of blocks, and each pair of rows is met once."""
+    n = max(1, math.ceil(rows.count() / BLOCK))
+    block = F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    side = lambda s: [F.col("k").alias(f"k{s}"), F.col("n").alias(f"n{s}"), *[F.get("w", i).alias(f"w{s}{i}") for i in range(words)]]
+    left = rows.select(*side(0), block.alias("__i")).withColumn("__j", F.explode(F.sequence(F.col("__i"), F.lit(n - 1))))
+    right = rows.select(*side(1), block.alias("__j")).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__j"))))
+    tasks = min(n * (n + 1) // 2, 10_000)
+    common = sum(F.bit_count(F.col(f"w0{i}").bitwiseAND(F.col(f"w1{i}"))) for i in range(words))
+    sim = common / F.nullif(F.col("n0") + F.col("n1") - common, F.lit(0))
+    met = left.repartition(tasks, "__i", "__j").join(right.repartition(tasks, "__i", "__j"), ["__i", "__j"])
+    met = met.where(((F.col("__i") < F.col("__j")) | (F.col("k0") < F.col("k1"))) & (sim >= cutoff))
+    return met.select(F.least("k0", "k1").alias("a"), F.greatest("k0", "k1").alias("b"), sim.alias("sim"))
+
+
 def count_join(rows: DataFrame, cutoff: float) -> DataFrame:
     """A pair that similar has bit counts in the ratio cutoff or nearer, so a row is sent to
     the counts it can match and an equi-join on counts finds the rest."""
@@ -72,6 +96,7 @@ def sphere_exclusion(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     neighbours then can't become one.  All such rows of a round are settled at once, which
     gives the centroids of the sequential search; at the end every other row goes to its
     neighbouring centroid of highest priority, the one that search would meet first."""
+    pairs = kept(pairs.select("a", "b"))  # read many times
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count("*").alias("deg"))
     nodes = df.select(F.col(key).alias("a")).join(degree, "a", "left").select("a", F.struct((-F.coalesce("deg", F.lit(0))).alias("d"), F.col("a").alias("k")).alias("p"))

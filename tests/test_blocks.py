@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import spatial
+from lodestone.operators import similarity, spatial
 
 
 def test_block_join_equals_grid_join_and_keeps_keys_together(spark, monkeypatch):
@@ -29,3 +29,15 @@ def test_a_crowd_in_one_cell_is_dealt_to_many_tasks(spark, monkeypatch):
     sizes = spatial.block_join(anchors, points, 1.0, ["anchor"], ["point_id"]).groupBy("__a", "__p").count().collect()
     assert len(sizes) == 20 and max(r["count"] for r in sizes) < 300
     assert sorted((r["anchor"], r["side"], r["n_match"]) for r in spatial.tolerance_match(anchors, points, ["anchor"], "side", 1.0).collect()) == [(a, s, 500) for a in range(3) for s in range(2)]
+
+
+def test_dense_fingerprints_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    rng = random.Random(2)
+    words = {i: [rng.getrandbits(64) - 2**63 for _ in range(2)] for i in range(150)} | {500: [0, 0]}
+    df = spark.createDataFrame(list(words.items()), "i int, w array<long>")
+    bits = {i: {(k, j) for k, x in enumerate(w) for j in range(64) if x >> j & 1} for i, w in words.items()}
+    pairs = similarity.similarity_join(df, "i", "w", 0.35)
+    want = {(a, b): len(x & y) / len(x | y) for a, x in bits.items() for b, y in bits.items() if a < b and x | y and len(x & y) / len(x | y) >= 0.35}
+    assert {(r["a"], r["b"]): r["sim"] for r in pairs.collect()} == want and want
+    assert pairs.rdd.getNumPartitions() > 20  # one pair of blocks each, not one count of bits
