@@ -487,14 +487,23 @@ def seeded_rotations(spark, sf):
     return rows.select("seed", ((F.abs(geometry.dot(F.col("p"), F.col("p")) - 25) < 1e-9) & (F.col("p") == F.col("q"))).alias("proper"))
 
 
+def arriving(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` written as files dealt by ``key``, and their stream: four batches, each of as many files as there are cores."""
+    from lodestone.streaming import front
+
+    spark = df.sparkSession
+    folder, cores = f"{scratch(spark, name)}/in", spark.sparkContext.defaultParallelism
+    df.repartition(4 * cores, key).write.parquet(folder)
+    return front.files(spark, folder, df.schema, cores)
+
+
 @query("SELECT user_id || ':' || event_type AS key, count(*) AS n, min(ts)::TIMESTAMP AS first, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def stream_first_seen(spark, sf):
     """Every event goes through a stream of several files; each key's first event and how often it came are kept as state."""
     from lodestone.streaming import front
 
-    folder = f"{scratch(spark, 'seen')}/in"
-    table(spark, sf, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id").repartition(4, "event_id").write.parquet(folder)
-    seen = front.first_by_key(front.files(spark, folder, "key string, ts timestamp, event_id long"), "key", "ts", "event_id")
+    events = table(spark, sf, "events").select(F.concat("user_id", F.lit(":"), "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    seen = front.first_by_key(arriving(events, "seen", "event_id"), "key", "ts", "event_id")
     return front.collected(seen, scratch(spark, "seen-out"), ["key"], "n").select("key", "n", "first", "event_id")
 
 
@@ -506,10 +515,7 @@ def stream_fronts(spark, sf):
     """The first front of each kind of event, kept as state while files arrive: changes only, not whole fronts, leave a batch."""
     from lodestone.streaming import front
 
-    folder = f"{scratch(spark, 'fronts')}/in"
     cost = (F.unix_micros(F.col("ts").cast("timestamp")) % 1000003).cast("double")
     events = table(spark, sf, "events").where("value is not null").select(F.col("event_type").alias("kind"), "value", cost.alias("cost"), "event_id")
-    events.repartition(4, "event_id").write.parquet(folder)
-    stream = front.files(spark, folder, "kind string, value double, cost double, event_id long")
-    changes = front.front_by_key(stream, "kind", "value", "cost", "event_id")
+    changes = front.front_by_key(arriving(events, "fronts", "event_id"), "kind", "value", "cost", "event_id")
     return front.standing(changes, scratch(spark, "fronts-out"), "kind", "event_id").select("kind", "event_id", "value", "cost")

@@ -1,8 +1,8 @@
 """A growing folder of runs as a stream: first-seen rows, and first fronts kept up to date.
 
-State is kept by key and leaves with the watermark: :func:`first_by_key` and
-:func:`front_by_key` touch only the keys of a batch and give out changes, which
-:func:`collected` and :func:`standing` read back.
+State is kept by key: :func:`first_by_key` (whose state leaves with the watermark,
+if it has one) and :func:`front_by_key` touch only the keys of a batch and give out
+changes, which :func:`collected` and :func:`standing` read back.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from lodestone.operators.pareto import front1
 
@@ -50,25 +51,25 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/v{max(int(n[1:]) for n in names if n.startswith('v'))}")
 
 
-def files(spark: SparkSession, folder: str, schema: str, per_trigger: int = 1) -> DataFrame:
+def files(spark: SparkSession, folder: str, schema: str | StructType, per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def watched(stream: DataFrame, time: str, delay: str | None) -> tuple[DataFrame, str]:
-    """The stream with a watermark, and how its state times out; without a delay state stays."""
-    return (stream.withWatermark(time, delay), GroupStateTimeout.EventTimeTimeout) if delay else (stream, GroupStateTimeout.NoTimeout)
-
-
 def micros(time: pd.Series) -> pd.Series:
     return time.astype("datetime64[us]").astype("int64")
 
 
 def first_by_key(stream: DataFrame, key: str, time: str, item: str, delay: str | None = None) -> DataFrame:
-    """(key, n, first, item, batch_n): after each batch, of the keys in it, how many rows came so far, and the first of them by time and item.
+    """(key, n, first, item): after each batch, of the keys in it, how many rows came so far, and the first of them by time and item.
 
-    With ``delay``, rows later than the watermark are left out by it and a key's state goes
-    once the watermark passes its last row; a key that comes again then starts anew."""
-    rows, timeout = watched(stream.select(key, time, item), time, delay)
+    Without ``delay`` no state leaves, so it is an aggregate, folded before its rows are shuffled; rows of
+    null time come last there, and those of null item are counted only. With ``delay``, rows later than the
+    watermark are left out by it and a key's state goes once the watermark passes its last row; a key that
+    comes again then starts anew. This takes a call of Python for each key of a batch."""
+    if not delay:
+        place = F.when(F.col(item).isNotNull(), F.struct(F.col(time).isNull(), F.col(time), F.col(item).alias("own")))
+        ahead = stream.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.min(place).alias("ahead"))
+        return ahead.select(key, "n", "first", F.col("ahead.own").alias(item))
 
     def update(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -82,11 +83,11 @@ def first_by_key(stream: DataFrame, key: str, time: str, item: str, delay: str |
             if first is None or best < (first, own):
                 first, own = best
         state.update((n, first, own, last))
-        if delay:
-            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + 1)
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: [name[0]], "n": [n], "first": pd.to_datetime([first], unit="us", utc=True), item: [own]})
 
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} string, n long, first timestamp, {item} long", "n long, first long, own long, last long", "update", timeout)
+    rows = stream.select(key, time, item).withWatermark(time, delay)
+    return rows.groupBy(key).applyInPandasWithState(update, f"{key} string, n long, first timestamp, {item} long", "n long, first long, own long, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def front_by_key(stream: DataFrame, key: str, high: str, low: str, item: str) -> DataFrame:
