@@ -488,13 +488,13 @@ def seeded_rotations(spark, sf):
 
 
 def arriving(df: DataFrame, name: str, key: str) -> DataFrame:
-    """``df`` written as files dealt by ``key``, and their stream: four batches, each of as many files as there are cores."""
+    """``df`` written as files dealt by ``key``, and their stream: four batches, however many files there are; as many as cores in each."""
     from lodestone.streaming import front
 
-    spark = df.sparkSession
-    folder, cores = f"{scratch(spark, name)}/in", spark.sparkContext.defaultParallelism
-    df.repartition(4 * cores, key).write.parquet(folder)
-    return front.files(spark, folder, df.schema, cores)
+    spark, folder = df.sparkSession, f"{scratch(df.sparkSession, name)}/in"
+    df.repartition(4 * spark.sparkContext.defaultParallelism, key).write.parquet(folder)
+    n_files = len(spark.read.schema(df.schema).parquet(folder).inputFiles())
+    return front.files(spark, folder, df.schema, -(-n_files // 4))
 
 
 @query("SELECT user_id || ':' || event_type AS key, count(*) AS n, min(ts)::TIMESTAMP AS first, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")

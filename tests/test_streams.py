@@ -41,3 +41,11 @@ def test_stream_first_seen_has_files_for_all_cores_and_null_keys(spark, tmp_path
     assert got == {k: (len(own), min((r[1], r[0]) for r in own)[1]) for k in map(key, rows) for own in [[r for r in rows if key(r) == k]]}
     (folder, per_trigger), cores = read[0], spark.sparkContext.defaultParallelism
     assert per_trigger == cores and len(list(Path(folder).glob("part-*"))) == 4 * cores
+
+
+def test_arriving_takes_four_batches_however_many_files_there_are(spark, monkeypatch):
+    df = spark.range(2000)
+    own = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *columns: own(self, 37, *columns))
+    monkeypatch.setattr(front, "files", lambda s, folder, schema, per_trigger: per_trigger)
+    assert designs.arriving(df, "many", "id") == 10
