@@ -29,7 +29,7 @@ def test_pairs_lie_within_ten_structures_that_grow_with_the_table(spark, tmp_pat
 
 def test_ring_atoms_of_one_name_come_last_line_first(spark):
     """Two residues of one label: the plane lies by the last line of the first name, then the line before it."""
-    names, places = ["CG", "CD1", "CZ", "CG", "CD1", "CZ"], [(1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 2, 0), (3, 0, 0), (0, 1, 2)]
+    names, places = ["CG", "CD1", "CZ", "CG", "CD1", "CZ"], [(1, 0, 0), (0, 1, 0), (0, 0, 1), (2, 2, 0), (3, 0, 0), (0, 1, 2)]
     rows = spark.createDataFrame([("f", "A", "1", "", "TYR", n, i, *map(float, p)) for i, (n, p) in enumerate(zip(names, places, strict=True))], "file string, chain string, resseq string, icode string, resname string, atom_name string, line_no int, x double, y double, z double")
     marks = spark.createDataFrame([("f", 0, 0.0, 0.0, 0.0)], "file string, du_index int, ax double, ay double, az double")
     (ring,) = pdb.ring_planes(rows, marks, 8.0).collect()
@@ -37,3 +37,13 @@ def test_ring_atoms_of_one_name_come_last_line_first(spark):
     a, b = ([places[i][k] - centre[k] for k in range(3)] for i in (3, 0))
     n = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
     assert all(abs(x - y / sum(v * v for v in n) ** 0.5) < 1e-9 for x, y in zip(ring["normal"], n, strict=True)) and all(abs(x - y) < 1e-9 for x, y in zip(ring["centroid"], centre, strict=True))
+
+
+def dealt_in_blocks(out):
+    """Only the two sides are shuffled, dealt by number; nothing that grows with their pairs."""
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_rings_and_anchors_meet_in_blocks(spark, sf_dir):
+    assert dealt_in_blocks(structures.structure_rings(spark, sf_dir))
