@@ -47,3 +47,7 @@ def dealt_in_blocks(out):
 
 def test_rings_and_anchors_meet_in_blocks(spark, sf_dir):
     assert dealt_in_blocks(structures.structure_rings(spark, sf_dir))
+
+
+def test_sites_and_anchors_meet_in_blocks(spark, sf_dir):
+    assert dealt_in_blocks(structures.structure_directions(spark, sf_dir))
