@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.session import kept
 
@@ -118,6 +124,119 @@ def sphere_exclusion(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return found.select("a", F.col("a").alias("centroid")).unionByName(members).select(F.col("a").alias(key), "centroid")
 
 
+#: Rows of a block whose neighbours are counted, and open rows of highest priority among which a round looks for centroids.
+COUNTED, FIRST = 8192, 8192
+
+
+def words_of(column: pa.ChunkedArray, words: int) -> np.ndarray:
+    """A column of arrays of ``words`` 64-bit words as a matrix."""
+    return pc.list_flatten(column).to_numpy().view(np.uint64).reshape(-1, words)
+
+
+def least_common(words: int, cutoff: float) -> np.ndarray:
+    """By the bits of both together: how many in common make a pair that similar (more than there are, where none does)."""
+    both = np.arange(128 * words + 1)[:, None]
+    common = np.arange(64 * words + 1)[None, :]
+    either = np.maximum(both - common, 1)
+    hit = (common / either >= cutoff) & (2 * common <= both)
+    return np.where(hit.any(1), hit.argmax(1), 64 * words + 1).astype(np.int32)
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which rows of ``a`` are similar to which of ``b``."""
+    common = np.bitwise_count(a[:, None, 0] & b[None, :, 0]).astype(np.int16)
+    for i in range(1, a.shape[1]):
+        common += np.bitwise_count(a[:, None, i] & b[None, :, i])
+    na, nb = (np.bitwise_count(x).sum(1, dtype=np.int32) for x in (a, b))
+    return common >= least.astype(np.int16)[na[:, None] + nb[None, :]]
+
+
+def strips(n: int, other: int) -> Iterator[slice]:
+    """Rows to compare at once, so that about 256,000 pairs are held."""
+    size = max(1, 262_144 // max(1, other))
+    return (slice(i, i + size) for i in range(0, n, size))
+
+
+def neighbour_counts(rows: DataFrame, words: int, cutoff: float) -> DataFrame:
+    """(k, deg): how many other rows are that similar, for those with any; counted in pairs of blocks, no pair is written."""
+    n = max(1, math.ceil(rows.count() / COUNTED))
+    block = F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    base = rows.select("k", "w", block.alias("own"))
+    pairs = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    left = base.select("k", "w", F.col("own").alias("i"), pairs(F.col("own"), F.lit(n - 1)).alias("j"))
+    right = base.select("k", "w", pairs(F.lit(0), F.col("own")).alias("i"), F.col("own").alias("j"))
+    tasks = min(n * (n + 1) // 2, 10_000)
+    least = least_common(words, cutoff)
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = words_of(a["w"], words), words_of(b["w"], words)
+        own, other = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for s in strips(len(x), len(y)):
+            hit = alike(x[s], y, least)
+            own[s] += np.count_nonzero(hit, axis=1)
+            other += np.count_nonzero(hit, axis=0)
+        if len(a) and len(b) and a["i"][0].as_py() == a["j"][0].as_py():
+            return pa.table({"k": a["k"], "deg": own - 1})  # a block with itself: each row met itself once
+        return pa.table({"k": pa.chunked_array(a["k"].chunks + b["k"].chunks, a["k"].type), "deg": np.concatenate([own, other])})
+
+    deal = lambda df: df.repartition(tasks, "i", "j").groupBy("i", "j")
+    counted = deal(left).cogroup(deal(right)).applyInArrow(count, T.StructType([base.schema["k"], T.StructField("deg", T.LongType())]))
+    return counted.groupBy("k").agg(F.sum("deg").alias("deg")).where("deg > 0")
+
+
+def exclusion_spheres(df: DataFrame, key: str, words: str, cutoff: float) -> DataFrame:
+    """:func:`sphere_exclusion` of all pairs with similarity >= cutoff, which for dense fingerprints are counted and never written.
+
+    A round takes the FIRST open rows of highest priority, finds the centroids among them one after the other, and settles every
+    open row that is similar to one.  Centroids of a later round come later in the search, so a row's first centroid stays its own."""
+    rows = df.select(F.col(key).alias("k"), F.col(words).alias("w"), bits(F.col(words)).alias("n"))
+    share = rows.where("n > 0").agg(F.avg("n").alias("n"), F.max(F.size("w")).alias("words"), F.min(F.size("w")).alias("least")).first()
+    if share.n is None or share.n * 8 <= share.words * 64 or share.words != share.least or share.words > 64:
+        return sphere_exclusion(df, key, similarity_join(df, key, words, cutoff))
+    some = kept(rows.where("n > 0").select("k", "w"))
+    size, least = share.words, least_common(share.words, cutoff)
+    open_ = kept(some.join(neighbour_counts(some, size, cutoff), "k", "left").select("k", "w", F.coalesce("deg", F.lit(0)).alias("deg")))
+    alone = rows.where("n is null or n = 0").select("k", F.col("k").alias("centroid"))
+    done = [alone, open_.where("deg = 0").select("k", F.col("k").alias("centroid"))]
+    open_ = open_.where("deg > 0")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The centroids among rows in the order of the search, with their places."""
+        table = pa.Table.from_batches(list(batches))
+        if not len(table):
+            return
+        w = words_of(table["w"], size)
+        free, found = np.ones(len(w), bool), []
+        for i in range(len(w)):
+            if free[i]:
+                found.append(i)
+                free[i:] &= ~alike(w[i : i + 1], w[i:], least)[0]
+        yield from table.take(found).select(["k", "w"]).append_column("at", pa.array(found, pa.int64())).to_batches()
+
+    def settle(a: pa.Table, b: pa.Table) -> pa.Table:
+        """Open rows with their first centroid, or null."""
+        b = b.sort_by("at")
+        x, y = words_of(a["w"], size), words_of(b["w"], size)
+        first = np.full(len(x), -1)
+        for s in strips(len(x), len(y)) if len(y) else ():
+            hit = alike(x[s], y, least)
+            first[s] = np.where(hit.any(1), hit.argmax(1), -1)
+        return a.select(["k", "w", "deg"]).append_column("centroid", b["k"].take(pa.array(first, mask=first < 0)))
+
+    k = rows.schema["k"]
+    while not open_.isEmpty():
+        top = open_.orderBy(F.desc("deg"), "k").limit(FIRST).coalesce(1).sortWithinPartitions(F.desc("deg"), "k")
+        centres = kept(top.mapInArrow(search, T.StructType([k, rows.schema["w"], T.StructField("at", T.LongType())])))
+        n = max(1, math.ceil(open_.count() / COUNTED))
+        dealt = open_.withColumn("i", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")).repartition(n, "i").groupBy("i")
+        every = centres.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(n, "i").groupBy("i")
+        schema = T.StructType([k, rows.schema["w"], T.StructField("deg", T.LongType()), T.StructField("centroid", k.dataType)])
+        now = kept(dealt.cogroup(every).applyInArrow(settle, schema))
+        done.append(now.where("centroid is not null").select("k", "centroid"))
+        open_ = now.where("centroid is null").select("k", "w", "deg")
+    return reduce(DataFrame.unionByName, done).select(F.col("k").alias(key), "centroid")
+
+
 def sign_words(vector: Column, dims: int = 64) -> Column:
     """The signs of a vector as one array of 64-bit words."""
     def word(i: int) -> Column:

@@ -349,8 +349,7 @@ def similarity_self_join(spark, sf):
  c AS (SELECT centres FROM w ORDER BY i DESC LIMIT 1)
  SELECT adj.vec_id, o.vec_id AS centroid FROM adj, c, o WHERE o.r = CASE WHEN list_contains(centres, adj.r) THEN adj.r ELSE list_min(list_filter(near, lambda x: list_contains(centres, x))) END""")
 def sphere_exclusion(spark, sf):
-    fp = fingerprints(spark, sf)
-    return similarity.sphere_exclusion(fp, "vec_id", similarity.similarity_join(fp, "vec_id", "words", CUTOFF))
+    return similarity.exclusion_spheres(fingerprints(spark, sf), "vec_id", "words", CUTOFF)
 
 
 @query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_quantity * 12 AS mw, l_discount * 60 AS logp, l_linenumber AS hbd, l_partkey % 12 AS hba, l_suppkey % 13 AS rot, l_tax * 2000 AS tpsa, l_returnflag = 'R' AS hit FROM lineitem)

@@ -41,3 +41,20 @@ def test_dense_fingerprints_are_compared_in_blocks(spark, monkeypatch):
     want = {(a, b): len(x & y) / len(x | y) for a, x in bits.items() for b, y in bits.items() if a < b and x | y and len(x & y) / len(x | y) >= 0.35}
     assert {(r["a"], r["b"]): r["sim"] for r in pairs.collect()} == want and want
     assert pairs.rdd.getNumPartitions() > 20  # one pair of blocks each, not one count of bits
+
+
+def test_spheres_of_dense_fingerprints_write_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "COUNTED", 40)
+    monkeypatch.setattr(similarity, "FIRST", 30)
+    monkeypatch.setattr(similarity, "similarity_join", None)
+    rng = random.Random(3)
+    words = {i: [rng.getrandbits(64) - 2**63 for _ in range(2)] for i in range(150)} | {500: [0, 0], 501: [-1, 5], 502: [-1, 5]}
+    bits = {i: {(k, j) for k, x in enumerate(w) for j in range(64) if x >> j & 1} for i, w in words.items()}
+    near = {i: {j for j in words if i != j and bits[i] | bits[j] and len(bits[i] & bits[j]) / len(bits[i] | bits[j]) >= 0.39} for i in words}
+    centre: dict[int, int] = {}
+    for i in sorted(words, key=lambda i: (-len(near[i]), i)):
+        if i not in centre:
+            centre |= {i: i} | {j: i for j in near[i] if j not in centre}
+    df = spark.createDataFrame(list(words.items()), "i int, w array<long>")
+    got = {r["i"]: r["centroid"] for r in similarity.exclusion_spheres(df, "i", "w", 0.39).collect()}
+    assert got == centre and 10 < len(set(got.values())) < 150
